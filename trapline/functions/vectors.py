@@ -6,6 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 NORM_FLOOR = 1e-12
 COSINE_FLOOR = 1e-8
@@ -56,7 +57,7 @@ def arrow_matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1)
 
 
-@F.arrow_udf("double")
+@F.arrow_udf(DoubleType())
 def batch_dot(a: pa.Array, b: pa.Array) -> pa.Array:
     """`dot` over Arrow batches, for tables with very many pairs."""
     if len(a) == 0:

@@ -231,8 +231,8 @@ def context_proposer(
             "loc", F.pmod(F.hash("cell"), shares("loc_n")).alias("part"),
             F.pmod(F.hash(key), shares("cell_n")).alias("salt"),
         ).distinct()
-        histograms = needed.join(cells, "loc")
-        picked = tries.groupBy(*by).cogroup(histograms.groupBy(*by)).applyInPandas(pick, schema)
+        histograms = needed.join(cells, "loc").withColumnsRenamed({c: f"h_{c}" for c in by})
+        picked = tries.groupBy(*by).cogroup(histograms.groupBy(*[f"h_{c}" for c in by])).applyInPandas(pick, schema)
         met = picked.join(theirs, "gid")
         square = lambda c: F.pow(c, F.lit(2.0))
         slow = square(F.col("year") - F.col("p_year")) + square(
