@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column
@@ -17,6 +19,11 @@ def as_double(v: Column) -> Column:
     return v.cast("array<double>")
 
 
+def bind(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Evaluates `value` once per row and uses it in `body`, also inside `transform` and the like."""
+    return F.transform(F.array(value), body)[0]
+
+
 def dot(a: Column, b: Column) -> Column:
     products = F.zip_with(as_double(a), as_double(b), lambda x, y: x * y)
     return F.aggregate(products, F.lit(0.0), lambda acc, x: acc + x)
@@ -28,7 +35,7 @@ def norm(a: Column) -> Column:
 
 def l2_normalize(a: Column) -> Column:
     length = F.greatest(norm(a), F.lit(NORM_FLOOR))
-    return F.transform(as_double(a), lambda x: x / length)
+    return bind(length, lambda n: F.transform(as_double(a), lambda x: x / n))
 
 
 def cosine(a: Column, b: Column) -> Column:

@@ -77,10 +77,15 @@ def pairwise_context_distance(rows: DataFrame) -> DataFrame:
 
 def softmax_weights(scores: Column, temperature: float) -> Column:
     """Softmax of one row of scores."""
-    top = F.array_max(scores)
-    powers = F.transform(scores, lambda s: F.exp((s - top) / F.lit(temperature)))
-    total = F.aggregate(powers, F.lit(0.0), lambda acc, p: acc + p)
-    return F.transform(powers, lambda p: p / total)
+
+    def share(powers: Column) -> Column:
+        total = F.aggregate(powers, F.lit(0.0), lambda acc, p: acc + p)
+        return vectors.bind(total, lambda t: F.transform(powers, lambda p: p / t))
+
+    def weigh(top: Column) -> Column:
+        return vectors.bind(F.transform(scores, lambda s: F.exp((s - top) / F.lit(temperature))), share)
+
+    return vectors.bind(F.array_max(scores), weigh)
 
 
 def nt_xent_score(pairs: DataFrame, temperature: float = TEMPERATURE) -> DataFrame:
