@@ -134,16 +134,21 @@ def context_index(rows: DataFrame, key: str, location: str = "location", moment:
     return index, cells
 
 
-def clock_gap(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Distance of two clock readings (seconds of the day) in the cyclic hour, minute and second."""
+def _chord_table(labels: int, span: float) -> np.ndarray:
+    """Squared distance of every two readings of one hand of the clock."""
+    reading = np.arange(labels)
+    return np.sin(np.pi * (reading[:, None] - reading[None, :]) / span) ** 2
 
-    def part(pa, pb, span):
-        return np.sin(np.pi * (pa - pb) / span) ** 2
 
+HOURS, MINUTES, SECONDS = _chord_table(24, HOUR_SPAN), _chord_table(60, MINUTE_SPAN), _chord_table(60, SECOND_SPAN)
+
+
+def clock_gap(cell: int, others: np.ndarray) -> np.ndarray:
+    """Distance of one clock reading (second of the day) to others in the cyclic hour, minute and second."""
     return np.sqrt(
-        part(a // 3600, b // 3600, HOUR_SPAN)
-        + part(a // 60 % 60, b // 60 % 60, MINUTE_SPAN)
-        + part(a % 60, b % 60, SECOND_SPAN)
+        HOURS[cell // 3600][others // 3600]
+        + MINUTES[cell // 60 % 60][others // 60 % 60]
+        + SECONDS[cell % 60][others % 60]
     )
 
 
@@ -249,7 +254,7 @@ def context_proposer(
 
 def positive_context(
     rows: DataFrame, key: str, location: str = "location", moment: str = "datetime",
-    temperature: float = CONTEXT_TEMPERATURE, seed: int = RUN_SEED, round_: int = 0, first: int = 4,
+    temperature: float = CONTEXT_TEMPERATURE, seed: int = RUN_SEED, round_: int = 0, first: int = 2,
 ) -> DataFrame:
     """One draw per row from softmax(-distance / T) over the context vectors of all rows.
 
