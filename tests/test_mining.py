@@ -161,7 +161,8 @@ def test_burst_draws_are_uniform_over_self_and_burst(spark):
             rows.append((f"{g}{img}", f"l{g}", t + timedelta(seconds=s), f"{g}:{crop}"))
     crops = spark.createDataFrame(rows, "img_id string, location string, datetime timestamp_ntz, img_path string")
     near = bursts.burst_neighbours(bursts.burst_images(crops))
-    found = positives.positive_burst(crops, near, bursts.boxes_per_image(crops)).collect()
+    sizes = bursts.with_burst_sizes(near, bursts.boxes_per_image(crops))
+    found = positives.positive_burst(crops, sizes).collect()
     counts = Counter((r.img_path.split(":")[1], r.partner.split(":")[1]) for r in found)
     assert all(r.img_path.split(":")[0] == r.partner.split(":")[0] for r in found)
     fits(counts, np.full((3, 3), 1 / 3), ["1", "2", "3"], 400)

@@ -52,7 +52,7 @@ def with_counts(spark, d):
 
 
 def featured(spark, d):
-    return features.context_features(with_counts(spark, d))
+    return features.context_features(fx.counted_crops(spark, d))
 
 
 def vector_columns(column, names, places=6):

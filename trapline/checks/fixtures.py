@@ -6,11 +6,13 @@ the given tables is used.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trapline.functions.hashing import digest
-from trapline.operators import curation, sampling
+from trapline.operators import bursts, curation, sampling
 from trapline.plans.context import crops_with_images
 from trapline.session import configure, cut
 
@@ -118,24 +120,39 @@ def crops_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     return crops_with_images(named, images(spark, sf_dir))
 
 
-_stored: dict[tuple[str, str], DataFrame] = {}
+_stored: dict[tuple[str, str, str], DataFrame] = {}
 
 
-def crops(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same as a stored table: later steps read the manifest that curation has written."""
-    where = (spark.sparkContext.applicationId, sf_dir)
+def stored(spark: SparkSession, sf_dir: str, name: str, build: Callable[..., DataFrame]) -> DataFrame:
+    """A table that later steps read from storage; built from the whole given tables on first use."""
+    where = (spark.sparkContext.applicationId, sf_dir, name)
     if where not in _stored:
-        _stored[where] = cut(crops_of(spark, sf_dir))
+        _stored[where] = cut(build(spark, sf_dir))
     return _stored[where]
 
 
+def crops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The manifest that curation has written."""
+    return stored(spark, sf_dir, "crops", crops_of)
+
+
+def counted_crops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Crops with the number of crops of their image."""
+    return stored(
+        spark, sf_dir, "counted",
+        lambda s, d: crops(s, d).join(bursts.boxes_per_image(crops(s, d)), "img_id"),
+    )
+
+
 def items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Embeddings with the location and capture time of the event of the same number."""
-    shots = images(spark, sf_dir).select(F.col("id").alias("img_id"), "location", "datetime")
-    return (
-        table(spark, sf_dir, "embeddings")
-        .withColumn("img_id", F.concat(F.lit("img"), "vec_id")).join(shots, "img_id").drop("img_id")
-    )
+
+    def build(spark: SparkSession, sf_dir: str) -> DataFrame:
+        shots = images(spark, sf_dir).select(F.col("id").alias("img_id"), "location", "datetime")
+        vectors = table(spark, sf_dir, "embeddings").withColumn("img_id", F.concat(F.lit("img"), "vec_id"))
+        return vectors.join(shots, "img_id").drop("img_id")
+
+    return stored(spark, sf_dir, "items", build)
 
 
 ITEMS_SQL = f"""with {IMAGES_SQL},

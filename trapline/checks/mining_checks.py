@@ -7,10 +7,10 @@ import math
 from pyspark.sql import functions as F
 
 from trapline.checks import fixtures as fx
-from trapline.checks.context_checks import COUNTS_SQL, LONG_GAP, neighbours, neighbours_sql
+from trapline.checks.context_checks import COUNTS_SQL, LONG_GAP, neighbours_sql, sizes
 from trapline.checks.curation_checks import near, whole
 from trapline.functions.capture_time import DAY_SPAN, HOUR_SPAN, MINUTE_SPAN, SECOND_SPAN
-from trapline.operators import bursts, draws, encoding, positives, scoring
+from trapline.operators import draws, encoding, positives, scoring
 from trapline.operators.positives import RUN_SEED
 
 NOISE = 0.2
@@ -19,7 +19,7 @@ ATTEMPTS = 512
 
 def burst_draws(spark, d):
     crops = fx.crops(spark, d)
-    return positives.positive_burst(crops, neighbours(spark, d, LONG_GAP), bursts.boxes_per_image(crops))
+    return positives.positive_burst(crops, sizes(spark, d, LONG_GAP))
 
 
 def class_draws(spark, d, **options):

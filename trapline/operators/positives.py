@@ -7,7 +7,6 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from trapline.functions.hashing import digest, index_draw, unit_draw
-from trapline.operators.bursts import with_burst_sizes
 from trapline.operators.ordinals import hex_bucket, with_ordinal
 from trapline.session import settle_small
 
@@ -23,15 +22,14 @@ def _numbered(rows: DataFrame, group: list[str], key: str, name: str) -> DataFra
     return with_ordinal(hashed, group, hex_bucket(F.col("_h")), ["_h", key], name).drop("_h")
 
 
-def positive_burst(
-    crops: DataFrame, neighbours: DataFrame, counts: DataFrame, seed: int = RUN_SEED, round_: int = 0
-) -> DataFrame:
+def positive_burst(crops: DataFrame, sizes: DataFrame, seed: int = RUN_SEED, round_: int = 0) -> DataFrame:
     """Uniform over the crop itself and its burst, by count and position: no list is read.
 
+    `sizes` is one row per image, from `bursts.with_burst_sizes`.
+
     Image, previous and next image form one range of positions; the drawn position is looked up.
     """
     placed = _numbered(crops.select("img_id", "img_path"), ["img_id"], "img_path", "pos")
-    sizes = with_burst_sizes(neighbours, counts)
     total = F.col("boxes_per_img_id") + F.col("n_prev") + F.col("n_next")
     drawn = crops.select("img_id", "img_path").join(sizes, "img_id").withColumn(
         "i", index_draw(total, seed, round_, F.col("img_path"))

@@ -24,10 +24,10 @@ def context_table(
 ) -> DataFrame:
     """`crops` has a `species`; see `crops_with_images`.
 
-    The crops feed six branches, so they are written out once.
+    The crops and the bursts (one narrow row per image) feed several branches, so both are written out once.
     """
     crops = cut(crops)
     neighbours = bursts.burst_neighbours(bursts.burst_images(crops), gap_seconds)
-    sizes = bursts.with_burst_sizes(neighbours, bursts.boxes_per_image(crops))
+    sizes = cut(bursts.with_burst_sizes(neighbours, bursts.boxes_per_image(crops)))
     attached = bursts.attach_burst(crops, sizes, bursts.burst_lists(sizes, crops))
     return sampling.stratified_sample(attached, rates, seed, train_sets)

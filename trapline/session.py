@@ -17,6 +17,7 @@ def configure(spark: SparkSession) -> SparkSession:
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     spark.conf.set("spark.sql.adaptive.enabled", "true")
     spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "true")
+    spark.conf.set("spark.sql.adaptive.forceOptimizeSkewedJoin", "true")  # split hot keys even if it costs a shuffle
     spark.conf.set("spark.sql.execution.arrow.pyspark.enabled", "true")
     return spark
 
