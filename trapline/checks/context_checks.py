@@ -22,14 +22,18 @@ def sizes(spark, d, gap):
     return bursts.with_burst_sizes(neighbours(spark, d, gap), bursts.boxes_per_image(fx.crops(spark, d)))
 
 
+def stored_sizes(spark, d):
+    """The bursts at the long gap, as written by an earlier step."""
+    return fx.stored(spark, d, "sizes", lambda s, p: sizes(s, p, LONG_GAP))
+
+
 def neighbour_ids(spark, d, gap):
     return neighbours(spark, d, gap).select("img_id", "prev_img", "next_img")
 
 
 def positive_paths(spark, d):
     return bursts.attach_burst(
-        fx.crops(spark, d), sizes(spark, d, LONG_GAP),
-        bursts.burst_lists(sizes(spark, d, LONG_GAP), fx.crops(spark, d)),
+        fx.crops(spark, d), stored_sizes(spark, d), bursts.burst_lists(stored_sizes(spark, d), fx.crops(spark, d))
     )
 
 

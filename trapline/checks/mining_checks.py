@@ -7,7 +7,7 @@ import math
 from pyspark.sql import functions as F
 
 from trapline.checks import fixtures as fx
-from trapline.checks.context_checks import COUNTS_SQL, LONG_GAP, neighbours_sql, sizes
+from trapline.checks.context_checks import COUNTS_SQL, neighbours_sql, stored_sizes
 from trapline.checks.curation_checks import near, whole
 from trapline.functions.capture_time import DAY_SPAN, HOUR_SPAN, MINUTE_SPAN, SECOND_SPAN
 from trapline.operators import draws, encoding, positives, scoring
@@ -19,7 +19,7 @@ ATTEMPTS = 512
 
 def burst_draws(spark, d):
     crops = fx.crops(spark, d)
-    return positives.positive_burst(crops, sizes(spark, d, LONG_GAP))
+    return positives.positive_burst(crops, stored_sizes(spark, d))
 
 
 def class_draws(spark, d, **options):
