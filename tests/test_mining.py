@@ -177,3 +177,34 @@ def test_one_hot_distance_matches_the_sparse_one(spark):
     for i, a in enumerate(keys):
         for j, b in enumerate(keys):
             assert np.linalg.norm(dense[a] - dense[b]) == pytest.approx(want[i, j])
+
+
+def without_self(logits, same):
+    """Softmax over copies of small tables, with one copy of the row itself left out."""
+    p = np.exp(logits - logits.max(axis=1, keepdims=True)) * same
+    return p / p.sum(axis=1, keepdims=True)
+
+
+@pytest.mark.parametrize("temperature", [0.05, 1.0])
+def test_context_draws_without_self(spark, temperature):
+    copies, rows = 60, shots()
+    table = repeated(spark, rows, "key", SHOT, copies)
+    counts = Counter()
+    for r in range(3):
+        found = draws.positive_context(table, "key", temperature=temperature, round_=r, exclude_self=True).collect()
+        assert len(found) == copies * len(rows) and all(f.key != f.partner for f in found)
+        counts.update((f.key.split(":")[1], f.partner.split(":")[1]) for f in found)
+    n = len(rows)
+    weights = np.full((n, n), copies) - np.eye(n)
+    fits(counts, without_self(context_logits(rows, temperature), weights), [r[0] for r in rows], 3 * copies)
+
+
+def test_other_draws_without_self(spark):
+    rows = spark.createDataFrame([(str(i), [math.cos(i), math.sin(i)]) for i in range(40)], "key string, emb array<double>")
+    found = draws.positive_embedding(rows, "key", "emb", exclude_self=True).collect()
+    assert len(found) == 40 and all(r.key != r.partner for r in found)
+    crops = labelled(spark, 600).unionByName(spark.createDataFrame([("only", 77, "l0")], "img_path string, category_id int, location string"))
+    truth = {r.img_path: r.category_id for r in crops.collect()}
+    pairs = positives.positive_class(crops, exclude_self=True).collect()
+    assert len(pairs) == 601 and all(p.partner != p.img_path for p in pairs)
+    assert all(p.partner is None if p.img_path == "only" else truth[p.partner] == truth[p.img_path] for p in pairs)

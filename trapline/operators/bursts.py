@@ -10,7 +10,7 @@ from trapline.functions.capture_time import epoch_micros
 
 GAP_SECONDS = 5.0
 BLOCK_SECONDS = 3600
-INLINE_LIMIT = 10_000
+INLINE_LIMIT = 1_000
 
 
 def distinct_sequence_rows(crops: DataFrame) -> DataFrame:

@@ -36,7 +36,7 @@ from trapline.session import cut, settle_small
 
 CONTEXT_TEMPERATURE = 0.05
 EMBEDDING_TEMPERATURE = 0.5
-GROUP_ROWS = 50_000
+GROUP_ROWS = 16_384
 MAX_ATTEMPTS = 1 << 20
 
 
@@ -73,11 +73,16 @@ def embedding_index(rows: DataFrame, key: str, vector: str) -> DataFrame:
 
 def positive_embedding(
     rows: DataFrame, key: str, vector: str, temperature: float = EMBEDDING_TEMPERATURE,
-    seed: int = RUN_SEED, round_: int = 0, first: int = 16,
+    seed: int = RUN_SEED, round_: int = 0, first: int = 16, exclude_self: bool = False,
 ) -> DataFrame:
-    """One draw per row from softmax(<e_i, e_j> / T) over all rows. Vectors have at most unit length."""
+    """One draw per row from softmax(<e_i, e_j> / T) over all rows. Vectors have at most unit length.
+
+    The row itself is a candidate unless `exclude_self`.
+    """
     index = embedding_index(rows, key, vector)
     n = index.count()
+    if exclude_self and n == 1:
+        raise ValueError("a single row has no other candidate")
     theirs = index.select("gid", F.col(key).alias("partner"), F.col("vec").alias("partner_vec"))
 
     def propose(pending: DataFrame, start: int, width: int) -> DataFrame:
@@ -88,7 +93,8 @@ def positive_embedding(
         chance = F.exp((cos - 1.0) / F.lit(temperature))
         luck = unit_draw(seed, round_, "accept", F.col(key), F.col("attempt"))
         pairs = tries.join(theirs, "gid").select(key, "attempt", "partner", luck.alias("luck"), chance.alias("chance"))
-        return pairs.where(F.col("luck") < F.col("chance"))
+        accepted = pairs.where(F.col("luck") < F.col("chance"))
+        return accepted.where(F.col(key) != F.col("partner")) if exclude_self else accepted
 
     return draw_until_accepted(index.select(key, "vec"), key, propose, first)
 
@@ -120,10 +126,9 @@ def context_index(rows: DataFrame, key: str, location: str = "location", moment:
             "loc", "cell", "cell_n", "loc_n", (F.col("loc_start") + F.col("cell_start")).alias("first_gid")
         )
     )
-    known, _ = settle_small(ranges)
     placed = with_ordinal(base, ["loc", "cell"], hex_bucket(F.col("_h")), ["_h", key], "pos").drop("_h")
     index = cut(
-        placed.join(known, ["loc", "cell"]).select(
+        placed.join(ranges, ["loc", "cell"]).select(
             key, "loc", "cell", "day", "year", "cell_n", "loc_n", (F.col("first_gid") + F.col("pos")).alias("gid")
         )
     )
@@ -152,8 +157,11 @@ def clock_gap(cell: int, others: np.ndarray) -> np.ndarray:
     )
 
 
-def _cell_picker(key: str, n_rows: int, temperature: float):
-    """Picks one member number per attempt from the histogram of the attempts' location."""
+def _cell_picker(key: str, n_rows: int, temperature: float, exclude_self: bool):
+    """Picks one member number per attempt from the histogram of the attempts' location.
+
+    With `exclude_self` the row's own cell counts one member less, and the row's own number is skipped.
+    """
     elsewhere = n_rows * math.exp(-math.sqrt(2.0) / temperature)
 
     def pick(tries: pd.DataFrame, location: pd.DataFrame) -> pd.DataFrame:
@@ -170,15 +178,19 @@ def _cell_picker(key: str, n_rows: int, temperature: float):
         cuts = np.flatnonzero(np.diff(own[order])) + 1
         for part in np.split(order, cuts):
             gap = clock_gap(own[part[0]], cells)
-            upto = np.cumsum(sizes * np.exp(-gap / temperature))
+            counts = sizes - (cells == own[part[0]]) if exclude_self else sizes
+            upto = np.cumsum(counts * np.exp(-gap / temperature))
             mark = which[part] * (upto[-1] + elsewhere)
             away = mark >= upto[-1]
             at = np.minimum(np.searchsorted(upto, mark, side="right"), len(cells) - 1)
             gid[part] = np.where(
                 away,
                 np.floor(member[part] * n_rows),
-                firsts[at] + np.floor(member[part] * sizes[at]),
+                firsts[at] + np.floor(member[part] * counts[at]),
             ).astype(np.int64)
+            if exclude_self:
+                me = tries["own_gid"].to_numpy()[part]
+                gid[part] += ~away & (counts[at] < sizes[at]) & (gid[part] >= me)
             bound[part] = np.where(away, 0.0, gap[at])
             foreign[part] = away
         return pd.DataFrame(
@@ -203,13 +215,15 @@ def _clock_chords(a: Column, b: Column) -> Column:
 
 
 def context_proposer(
-    index: DataFrame, cells: DataFrame, key: str, temperature: float, seed: int, round_: int
+    index: DataFrame, cells: DataFrame, key: str, temperature: float, seed: int, round_: int, exclude_self: bool = False
 ) -> Callable[[DataFrame, int, int], DataFrame]:
     """Attempts that pass the context test: (key, attempt, partner)."""
     n = index.count()
+    if exclude_self and n == 1:
+        raise ValueError("a single row has no other candidate")
     key_type = index.schema[key].dataType.simpleString()
     loc_type = index.schema["loc"].dataType.simpleString()
-    pick = _cell_picker(key, n, temperature)
+    pick = _cell_picker(key, n, temperature, exclude_self)
     schema = (
         f"{key} {key_type}, attempt int, loc {loc_type}, cell int, day int, year double, gid bigint, "
         "bound double, foreign boolean"
@@ -226,7 +240,7 @@ def context_proposer(
 
         # A location is cut by cell and a crowded cell again by row; each part meets the whole histogram.
         tries = _attempts(pending, start, width).select(
-            key, "attempt", "loc", "cell", "day", "year",
+            key, "attempt", "loc", "cell", "day", "year", F.col("gid").alias("own_gid"),
             F.pmod(F.hash("cell"), shares("loc_n")).alias("part"),
             F.pmod(F.hash(key), shares("cell_n")).alias("salt"),
             unit_draw(seed, round_, "cell", F.col(key), F.col("attempt")).alias("u_cell"),
@@ -255,24 +269,25 @@ def context_proposer(
 def positive_context(
     rows: DataFrame, key: str, location: str = "location", moment: str = "datetime",
     temperature: float = CONTEXT_TEMPERATURE, seed: int = RUN_SEED, round_: int = 0, first: int = 2,
+    exclude_self: bool = False,
 ) -> DataFrame:
     """One draw per row from softmax(-distance / T) over the context vectors of all rows.
 
-    Location and capture time must not be null.
+    Location and capture time must not be null. The row itself is a candidate unless `exclude_self`.
     """
     index, cells = context_index(rows, key, location, moment)
-    propose = context_proposer(index, cells, key, temperature, seed, round_)
+    propose = context_proposer(index, cells, key, temperature, seed, round_, exclude_self)
     return draw_until_accepted(index, key, propose, first)
 
 
 def positive_combined(
     rows: DataFrame, key: str, vector: str, location: str = "location", moment: str = "datetime",
     context_temperature: float = CONTEXT_TEMPERATURE, embedding_temperature: float = EMBEDDING_TEMPERATURE,
-    seed: int = RUN_SEED, round_: int = 0, first: int = 8,
+    seed: int = RUN_SEED, round_: int = 0, first: int = 8, exclude_self: bool = False,
 ) -> DataFrame:
     """One draw per row from the product of both softmaxes: context draws, thinned by similarity."""
     index, cells = context_index(rows, key, location, moment)
-    in_context = context_proposer(index, cells, key, context_temperature, seed, round_)
+    in_context = context_proposer(index, cells, key, context_temperature, seed, round_, exclude_self)
     own = rows.select(key, F.col(vector).alias("vec"))
     theirs = rows.select(F.col(key).alias("partner"), F.col(vector).alias("partner_vec"))
 

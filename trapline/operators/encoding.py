@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from trapline.operators.ordinals import with_sorted_ordinal
 from trapline.session import settle_small
 
+DETECTOR_CLASSES = 20
+
 
 def label_codes(df: DataFrame, column: str, code: str) -> DataFrame:
     """Sorted distinct values -> 0..C-1. Only the distinct values are numbered."""
@@ -35,8 +37,10 @@ def location_encode(df: DataFrame, column: str = "location", code: str = "loc_id
     return label_encode(df, column, code)
 
 
-def num_classes(df: DataFrame, column: str = "category_id") -> DataFrame:
-    return df.agg(F.countDistinct(column).alias("num_classes"))
+def num_classes(df: DataFrame, column: str = "category_id", from_detector: bool = False) -> DataFrame:
+    """Distinct classes of the whole table; boxes made by a detector have a fixed number instead."""
+    count = F.lit(DETECTOR_CLASSES).cast("bigint") if from_detector else F.countDistinct(column)
+    return df.agg(count.alias("num_classes"))
 
 
 def row_ids(df: DataFrame, key: list[str], name: str = "im_id") -> DataFrame:

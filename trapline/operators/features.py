@@ -28,7 +28,8 @@ def multi_box_flag(count: Column) -> Column:
 def year_scale(rows: DataFrame, column: str = "datetime", name: str = "year_scaled") -> DataFrame:
     """Year scaled to [0, 1] by the extremes of the whole table; 0 if there is only one year."""
     year = F.year(F.col(column))
-    ends = rows.agg(F.struct(F.min(year).alias("lo"), F.max(year).alias("hi"))).scalar()
+    first, last = F.year(F.min(column)), F.year(F.max(column))
+    ends = rows.agg(F.struct(first.alias("lo"), last.alias("hi"))).scalar()
     span = ends["hi"] - ends["lo"]
     return rows.withColumn(name, F.when(span == 0, F.lit(0.0)).otherwise((year - ends["lo"]) / span))
 

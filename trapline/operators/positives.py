@@ -52,12 +52,13 @@ def positive_burst(crops: DataFrame, sizes: DataFrame, seed: int = RUN_SEED, rou
 def positive_class(
     rows: DataFrame, key: str = "img_path", label: str = "category_id", noise: float = 0.0,
     same_location: bool = False, location: str = "location", seed: int = RUN_SEED, round_: int = 0,
+    exclude_self: bool = False,
 ) -> DataFrame:
     """A partner of the same class, or with probability `noise` of any other class.
 
     Rows of one scope (the table, or a location) are laid out class after class. A class is then a range
     of positions and "any other class" is the rest, so one hashed position and one equi-join do the draw.
-    The row itself is a candidate. With no candidate the partner is null.
+    The row itself is a candidate unless `exclude_self`. With no candidate the partner is null.
     """
     scope = [location] if same_location else []
     base = rows.select(key, label, *scope).where(F.col(label).isNotNull())
@@ -67,15 +68,17 @@ def positive_class(
     per_class = base.groupBy(*scope, label).agg(F.count("*").alias("n"))
     starts = class_layout(per_class, scope, label)
     starts, _ = settle_small(starts)
-    seen = base.join(starts, [*scope, label])
+    seen = (placed if exclude_self else base).join(starts, [*scope, label])
+    alike = F.col("n") - F.lit(int(exclude_self))
     other = unit_draw(seed, round_, "noise", F.col(key)) < F.lit(float(noise))
     pick = index_draw(
-        F.when(F.col("other"), F.col("scope_n") - F.col("n")).otherwise(F.col("n")), seed, round_, "pick", F.col(key)
+        F.when(F.col("other"), F.col("scope_n") - F.col("n")).otherwise(alike), seed, round_, "pick", F.col(key)
     )
+    in_class = F.col("i") + (F.col("i") >= F.col("pos")).cast("int") if exclude_self else F.col("i")
     position = F.when(
         F.col("other"), F.when(F.col("i") < F.col("start"), F.col("i")).otherwise(F.col("i") + F.col("n"))
-    ).otherwise(F.col("start") + F.col("i"))
-    empty = F.col("other") & (F.col("scope_n") == F.col("n"))
+    ).otherwise(F.col("start") + in_class)
+    empty = F.when(F.col("other"), F.col("scope_n") == F.col("n")).otherwise(alike == 0)
     drawn = seen.withColumn("other", other).withColumn("i", pick).select(
         key, *scope, F.when(~empty, position).alias("at")
     )
