@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 # Days before each month of a leap year.
 DAYS_BEFORE_MONTH = [0, 31, 60, 91, 121, 152, 182, 213, 244, 274, 305, 335]
+# The readings that close each cycle.
 DAY_SPAN = 366.0
 HOUR_SPAN = 23.0
 MINUTE_SPAN = 59.0

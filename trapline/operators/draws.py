@@ -56,7 +56,7 @@ def draw_until_accepted(
         pending = cut(pending.join(won, key, "left_anti"))
         if pending.isEmpty():
             return done
-        start, width = start + width, width * 2
+        start, width = start + width, width * 4
         if start > MAX_ATTEMPTS:
             raise RuntimeError("acceptance is too rare: the temperature is too small for this table")
 
@@ -148,13 +148,18 @@ def _chord_table(labels: int, span: float) -> np.ndarray:
 HOURS, MINUTES, SECONDS = _chord_table(24, HOUR_SPAN), _chord_table(60, MINUTE_SPAN), _chord_table(60, SECOND_SPAN)
 
 
-def clock_gap(cell: int, others: np.ndarray) -> np.ndarray:
-    """Distance of one clock reading (second of the day) to others in the cyclic hour, minute and second."""
-    return np.sqrt(
-        HOURS[cell // 3600][others // 3600]
-        + MINUTES[cell // 60 % 60][others // 60 % 60]
-        + SECONDS[cell % 60][others % 60]
-    )
+def clock_hands(cells: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hour, minute and second of clock cells (seconds of the day)."""
+    return cells // 3600, cells // 60 % 60, cells % 60
+
+
+def clock_gap(cell: int, hands: tuple[np.ndarray, np.ndarray, np.ndarray]) -> np.ndarray:
+    """Distance of one clock cell to others in the cyclic hour, minute and second."""
+    hours, minutes, seconds = hands
+    square = HOURS[cell // 3600].take(hours)
+    square += MINUTES[cell // 60 % 60].take(minutes)
+    square += SECONDS[cell % 60].take(seconds)
+    return np.sqrt(square, out=square)
 
 
 def _cell_picker(key: str, n_rows: int, temperature: float, exclude_self: bool):
@@ -168,6 +173,7 @@ def _cell_picker(key: str, n_rows: int, temperature: float, exclude_self: bool):
         cells = np.asarray(location["cells"].iloc[0], dtype=np.int64)
         sizes = np.asarray(location["sizes"].iloc[0], dtype=np.int64)
         firsts = np.asarray(location["firsts"].iloc[0], dtype=np.int64)
+        hands = clock_hands(cells)
         own = tries["cell"].to_numpy()
         which = tries["u_cell"].to_numpy()
         member = tries["u_member"].to_numpy()
@@ -177,7 +183,7 @@ def _cell_picker(key: str, n_rows: int, temperature: float, exclude_self: bool):
         order = np.argsort(own, kind="stable")
         cuts = np.flatnonzero(np.diff(own[order])) + 1
         for part in np.split(order, cuts):
-            gap = clock_gap(own[part[0]], cells)
+            gap = clock_gap(own[part[0]], hands)
             counts = sizes - (cells == own[part[0]]) if exclude_self else sizes
             upto = np.cumsum(counts * np.exp(-gap / temperature))
             mark = which[part] * (upto[-1] + elsewhere)

@@ -13,7 +13,8 @@ from trapline.functions import boxes
 from trapline.functions.capture_time import cyclic_encode, time_shares
 from trapline.operators.encoding import location_encode
 
-TIME_SCALES = [100.0] + [10.0] * 2 + [1.0] * 2 + [0.1] * 2 + [0.01] * 2  # year, day, hour, minute, second
+# Weights of year, day, hour, minute and second (two entries each but for the year).
+TIME_SCALES = [100.0] + [10.0] * 2 + [1.0] * 2 + [0.1] * 2 + [0.01] * 2
 
 
 def bbox_normalize(rows: DataFrame) -> DataFrame:

@@ -18,6 +18,7 @@ from trapline.functions.vectors import matrix
 from trapline.operators.ordinals import hex_bucket, with_ordinal
 from trapline.operators.positives import RUN_SEED
 
+# Defaults of the losses.
 BATCH_SIZE = 256
 TEMPERATURE = 0.5
 MARGIN = 0.3
