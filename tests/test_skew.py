@@ -36,8 +36,17 @@ def test_crop_numbers(spark):
         F.md5(F.col("id").cast("string")).alias("id"), F.when(F.col("id") % 3 == 0, "hot").otherwise((F.col("id") % 900).cast("string")).alias("image_id")
     )
     plain = rows.withColumn("want", F.row_number().over(W.partitionBy("image_id").orderBy("id")) - 1)
-    found = curation.crop_ordinal(rows).join(plain, ["id", "image_id"])
-    assert found.count() == N and found.where("num_box <> want").count() == 0
+    for by_range in (False, True):
+        found = curation.crop_ordinal(rows, by_range).join(plain, ["id", "image_id"])
+        assert found.count() == N and found.where("num_box <> want").count() == 0
+
+
+def test_ranges_cut_a_crowded_image(spark):
+    rows = spark.range(N).select(F.concat(F.lit("same-"), F.lpad("id", 9, "0")).alias("id"), F.lit("hot").alias("image_id"))
+    ranged = rows.repartitionByRange(8, "image_id", "id").groupBy(F.spark_partition_id()).count().collect()
+    assert len(ranged) > 1 and max(r["count"] for r in ranged) < N / 2
+    found = curation.crop_ordinal(rows, by_range=True).agg(F.min("num_box"), F.max("num_box"), F.countDistinct("num_box")).first()
+    assert tuple(found) == (0, N - 1, N)
 
 
 def test_no_window_sees_the_whole_group(crops):

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trapline.functions import boxes, names
-from trapline.operators.ordinals import with_ordinal
+from trapline.operators.ordinals import with_ordinal, with_ordinal_by_range
 
 ID_PREFIX = 3  # characters of the annotation id that cut a crowded image into parts
 
@@ -100,11 +100,15 @@ def curation_report(annotations: DataFrame, images: DataFrame, threshold: float
     return total.unionByName(after)
 
 
-def crop_ordinal(annotations: DataFrame) -> DataFrame:
+def crop_ordinal(annotations: DataFrame, by_range: bool = False) -> DataFrame:
     """0-based crop number inside each image, in annotation-id order.
 
-    Numbered before any join on the image, so that a crowded image is spread over tasks by id.
+    Numbered before any join on the image, so that a crowded image is spread over tasks: by the first
+    characters of the id, which is cheap and even for hashes and UUIDs, or by ranges of ids, for ids
+    that begin alike. Both give the same numbers.
     """
+    if by_range:
+        return with_ordinal_by_range(annotations, ["image_id"], ["id"], "num_box")
     return with_ordinal(
         annotations, ["image_id"], F.substring("id", 1, ID_PREFIX), ["id"], "num_box"
     )
@@ -136,13 +140,16 @@ def normalize_columns(images: DataFrame) -> DataFrame:
 
 
 def crop_manifest(
-    annotations: DataFrame, images: DataFrame, categories: DataFrame, threshold: float = boxes.MIN_AREA
+    annotations: DataFrame, images: DataFrame, categories: DataFrame, threshold: float = boxes.MIN_AREA,
+    by_range: bool = False,
 ) -> DataFrame:
     """One row per crop, named `{image}_{number}_{species}.jpg`.
 
     Carries the annotation, image and category ids, so later steps need not parse names or match boxes.
+    `by_range`: see `crop_ordinal`.
     """
-    numbered = crop_ordinal(curated(annotations, threshold).select("id", "image_id", "category_id", "bbox"))
+    kept = curated(annotations, threshold).select("id", "image_id", "category_id", "bbox")
+    numbered = crop_ordinal(kept, by_range)
     frames = images.select(F.col("id").alias("image_id"), "img_set", "img_width", "img_height")
     crops = category_lookup(numbered.join(frames, "image_id"), categories)
     name = names.crop_name(F.col("image_id"), F.col("num_box"), F.col("species"))

@@ -58,11 +58,17 @@ def with_ordinal(df: DataFrame, group: list[str], bucket: Column, order: list[st
     return with_running_sum(df, group, bucket, order, {name: F.lit(1).cast("bigint")}, inclusive=False)
 
 
-def with_sorted_ordinal(df: DataFrame, order: list[str], name: str) -> DataFrame:
-    """0-based position of every row of the whole table, for any sortable key.
+def with_ordinal_by_range(df: DataFrame, group: list[str], order: list[str], name: str) -> DataFrame:
+    """The same for any sortable key, when no column makes even buckets.
 
-    The table is range-partitioned; the partition number becomes the bucket and is written out
-    with the rows, so that a recomputation cannot draw other range bounds.
+    The table is range-partitioned by group and key, so a crowded group spans many ranges; the range
+    number becomes the bucket and is written out with the rows, so that a recomputation cannot draw
+    other range bounds.
     """
-    ranged = df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id())
-    return with_ordinal(cut(ranged), [], F.col("_range"), order, name).drop("_range")
+    ranged = df.repartitionByRange(*group, *order).withColumn("_range", F.spark_partition_id())
+    return with_ordinal(cut(ranged), group, F.col("_range"), order, name).drop("_range")
+
+
+def with_sorted_ordinal(df: DataFrame, order: list[str], name: str) -> DataFrame:
+    """0-based position of every row of the whole table in key order."""
+    return with_ordinal_by_range(df, [], order, name)
