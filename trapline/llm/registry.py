@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from trapline.llm import credentials, decision_list, url_rules
+from trapline.llm import credentials, decision_list, packing, url_rules
 from trapline.session import configure
 
 
@@ -13,6 +13,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op4_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged, _ = decision_list.quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return judged.select(
@@ -29,6 +33,7 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 CHECKS = {
+    "op4_pack": (op4_pack, None),
     "op5_quality_rules": (op5_quality_rules, None),
     "op6_secret_scan": (op6_secret_scan, None),
     "op9_url_filter": (op9_url_filter, None),
