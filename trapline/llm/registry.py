@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from trapline.llm import credentials, decision_list, packing, url_rules
+from trapline.llm import containment, credentials, decision_list, line_crf, line_runs, packing, url_rules
 from trapline.session import configure
 
 
@@ -28,13 +28,28 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return credentials.secret_digest(credentials.scan_secrets(table(spark, sf_dir, "documents")))
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return containment.find_contained(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_crf.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge_urls(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
 
 
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_runs.line_report(line_runs.drop_repeated_lines(table(spark, sf_dir, "documents")))
+
+
 CHECKS = {
     "op4_pack": (op4_pack, None),
     "op5_quality_rules": (op5_quality_rules, None),
     "op6_secret_scan": (op6_secret_scan, None),
+    "op7_decontamination": (op7_decontamination, containment.ORACLE_SQL),
+    "op8_quality_classifier": (op8_quality_classifier, None),
     "op9_url_filter": (op9_url_filter, None),
+    "op10_line_dedup": (op10_line_dedup, line_runs.ORACLE_SQL),
 }
