@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from trapline.llm import containment, credentials, decision_list, line_crf, line_runs, packing, url_rules
+from trapline.llm import containment, credentials, decision_list, jaccard_join, line_crf, line_runs, packing, url_rules
 from trapline.session import configure
 
 
@@ -13,6 +13,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = jaccard_join.jaccard_components(table(spark, sf_dir, "documents"), width=4, percent=85)
+    return found.select("doc_id", "n_shingles", "component_id")
+
+
 def op4_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -45,6 +50,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 CHECKS = {
+    "op1_jaccard_join": (op1_jaccard_join, jaccard_join.ORACLE_SQL),
     "op4_pack": (op4_pack, None),
     "op5_quality_rules": (op5_quality_rules, None),
     "op6_secret_scan": (op6_secret_scan, None),
