@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trapline.llm import containment, credentials, decision_list, jaccard_join, line_crf, line_runs, packing, suffixes, url_rules
+from trapline.llm import containment, credentials, decision_list, jaccard_join, line_crf, line_runs, packing, shards, suffixes, url_rules
 from trapline.session import configure
 
 
@@ -19,6 +19,11 @@ def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_shingles", "component_id")
 
 
+def op2_training_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index, _ = shards.materialise(table(spark, sf_dir, "documents"))
+    return index
+
+
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.remove_repeated_bytes(table(spark, sf_dir, "documents")).select(
         "doc_id", "n_bytes", "n_removed", F.size("spans").cast("bigint").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256")
@@ -58,6 +63,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 CHECKS = {
     "op1_jaccard_join": (op1_jaccard_join, jaccard_join.ORACLE_SQL),
+    "op2_training_shards": (op2_training_shards, None),
     "op3_suffix_dedup": (op3_suffix_dedup, None),
     "op4_pack": (op4_pack, None),
     "op5_quality_rules": (op5_quality_rules, None),
