@@ -49,20 +49,20 @@ def repeated_words(numbers: Column, width: int = WINDOW) -> Column:
     return windows
 
 
-def with_statistics(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def with_statistics(docs: DataFrame, key: str = "doc_id", text: str = "text", carry: Sequence[str] = ()) -> DataFrame:
     """(key, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, and further counts for learning)."""
-    body = docs.select(key, F.coalesce(F.col(text), F.lit("")).alias("_text"))
+    body = docs.select(F.col(key), *carry, F.coalesce(F.col(text), F.lit("")).alias("_text"))
     lines = F.filter(F.split("_text", "\n"), lambda x: x.rlike("[^\\x20\\x09-\\x0D]"))
     first = body.withColumns({"_words": word_list(F.col("_text")), "_lines": lines})
     numbers = F.transform("_words", lambda w: F.xxhash64(w))
     second = first.select(
-        key, "_text", "_lines", F.size("_words").cast("bigint").alias("n_words"), numbers.alias("_numbers"),
+        key, *carry, "_text", "_lines", F.size("_words").cast("bigint").alias("n_words"), numbers.alias("_numbers"),
     )
     third = second.withColumn("_windows", repeated_words(F.col("_numbers")))
     without = lambda letters: F.length(F.translate("_text", letters, ""))
     length = F.length("_text")
     fourth = third.select(
-        key, "n_words",
+        key, *carry, "n_words",
         without(BLANKS).cast("bigint").alias("word_chars"),
         (length - without(SYMBOLS)).cast("bigint").alias("n_symbols"),
         (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("bigint").alias("n_dup_lines"),
@@ -243,8 +243,27 @@ def quality_rules(
     The statistics are written out once; learning and judging read them.
     """
     statistics = cut(with_statistics(docs, key, text))
+    rules = learn(with_labels(statistics, labels, key, quality))
+    return judged(statistics, rules), rules
+
+
+def with_labels(statistics: DataFrame, labels: DataFrame, key: str, quality: str) -> DataFrame:
+    """Labelled statistics: `bad`, and `part` of 0 to 2 by a hash of the id."""
     marks = labels.select(F.col(key), (F.col(quality) == 0).alias("bad")).where(F.col("bad").isNotNull())
-    labelled = statistics.join(marks, key).withColumn("part", F.pmod(F.xxhash64(key), F.lit(3)))
-    rules = learn(labelled)
-    judged = statistics.withColumns({"base_failed": base_failed(), "rule": verdict(rules)})
-    return judged.withColumn("kept", ~F.col("base_failed") & F.col("rule").isNull()), rules
+    return statistics.join(marks, key).withColumn("part", F.pmod(F.xxhash64(key), F.lit(3)))
+
+
+def judged(statistics: DataFrame, rules: list[Rule]) -> DataFrame:
+    found = statistics.withColumns({"base_failed": base_failed(), "rule": verdict(rules)})
+    return found.withColumn("kept", ~F.col("base_failed") & F.col("rule").isNull())
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", quality: str = "quality") -> DataFrame:
+    """The rows of `docs` that are kept, with all columns. The rules are learned from the labelled rows alone, and the
+    statistics of a row are made beside it, so no text is moved."""
+    known = docs.select(key, text).join(labels.select(key).distinct(), key, "left_semi")
+    rules = learn(with_labels(cut(with_statistics(known, key, text)), labels, key, quality))
+    columns = [F.col(c).alias(f"_{i}") for i, c in enumerate(docs.columns)]
+    carried = docs.select(F.struct(*columns).alias("_doc"), F.col(key), F.col(text))
+    rows = judged(with_statistics(carried, key, text, carry=["_doc"]), rules).where("kept")
+    return rows.select(*[F.col(f"_doc._{i}").alias(c) for i, c in enumerate(docs.columns)])

@@ -335,7 +335,7 @@ def jaccard_components(
 
 
 def one_of_each(docs: DataFrame, key: str = "doc_id", **options) -> DataFrame:
-    """The rows of `docs` whose id is the least of its component."""
+    """The rows of `docs` whose id is the least of its component. Rows with one id, null included, stay or go together."""
     kept = cut(jaccard_components(docs, key, **options).where(F.col(key).eqNullSafe(F.col("component_id"))).select(F.col(key).alias("_kept")).distinct())
     return docs.join(kept, docs[key].eqNullSafe(kept["_kept"]), "left_semi")
 
