@@ -58,10 +58,12 @@ def test_lists_hold_the_burst_without_the_crop(spark):
         "p1": ["p2", "p3"], "p2": ["p1", "p3"], "p3": ["p1", "p2"], "p4": [],
     }
     assert {r.img_path: r.boxes_per_prev_same_next_img for r in full} == {"p1": 2, "p2": 2, "p3": 2, "p4": 0}
-    # Over the limit there is no list, but the size and the members stay whole.
-    short = bursts.attach_burst(rows, sizes, bursts.burst_lists(sizes, rows, inline_limit=2)).collect()
-    assert {r.img_path: r.prev_same_next_img_boxes for r in short} == {"p1": None, "p2": None, "p3": None, "p4": []}
-    assert {r.img_path: r.boxes_per_prev_same_next_img for r in short} == {"p1": 2, "p2": 2, "p3": 2, "p4": 0}
+    # A longer list comes in parts, and is whole in them; every crop has part 0.
+    parted = bursts.attach_burst(rows, sizes, bursts.burst_lists(sizes, rows, part=1)).collect()
+    whole = {p: sorted(x for r in parted if r.img_path == p for x in r.prev_same_next_img_boxes) for p in ("p1", "p2", "p3", "p4")}
+    assert whole == {"p1": ["p2", "p3"], "p2": ["p1", "p3"], "p3": ["p1", "p2"], "p4": []}
+    assert sorted(r.img_path for r in parted if r.list_part == 0) == ["p1", "p2", "p3", "p4"]
+    assert {r.img_path: r.boxes_per_prev_same_next_img for r in parted} == {"p1": 2, "p2": 2, "p3": 2, "p4": 0}
     members = bursts.burst_members(near, rows).where(F.col("img_id") == "a").collect()
     assert {(r.relation, r.img_path) for r in members} == {("same", "p1"), ("same", "p2"), ("next", "p3")}
 
@@ -104,11 +106,23 @@ def test_capture_times_that_are_none(spark):
     assert bad_capture_times(rows).count() == 1
 
 
-def test_codes_beyond_the_inline_bound(spark, monkeypatch):
+@pytest.mark.parametrize("zone", ["UTC", "America/New_York"])
+def test_capture_times_are_clock_readings_in_any_zone(spark, zone):
+    before = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", zone)
+    try:
+        from trapline.sources.coco import with_capture_time
+
+        texts = [("2024-03-10 02:30:00",), ("2024-01-01T00:00:00+02:00",)]
+        rows = with_capture_time(spark.createDataFrame(texts, "date_captured string")).collect()
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
+    assert [r.datetime for r in rows] == [datetime(2024, 3, 10, 2, 30), datetime(2024, 1, 1)]
+
+
+def test_codes_are_positions_of_sorted_labels(spark):
     rows = spark.range(500).select(F.concat(F.lit("k"), F.col("id") % 50).alias("label"), "id")
     want = {r.id: r.y for r in encoding.label_encode(rows, "label", "y").collect()}
-    monkeypatch.setattr("trapline.operators.encoding.settle_small", lambda df: (df, False))
-    assert {r.id: r.y for r in encoding.label_encode(rows, "label", "y").collect()} == want
     labels = sorted(f"k{i}" for i in range(50))
     assert all(labels[y] == f"k{i % 50}" for i, y in want.items())
 

@@ -31,7 +31,7 @@ def test_files_to_partners(spark, tmp_path):
     docs = coco.ingest_coco(spark, f"{source}/*annotations.json", str(tmp_path / "tables"))
     images = curation.normalize_columns(coco.with_capture_time(docs.images))
     manifest = curation.crop_manifest(docs.annotations, images, docs.categories)
-    crops = crops_with_images(curation.category_lookup(manifest, docs.categories), images)
+    crops = crops_with_images(manifest, images)
     tables.sink_context(context_table(crops), str(tmp_path / "context"))
     context = spark.read.parquet(str(tmp_path / "context"))
     rows = {r.img_name: r for r in context.collect()}

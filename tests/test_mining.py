@@ -109,11 +109,75 @@ def test_combined_draws_follow_the_product(spark):
     fits(counts, softmax(context_logits(base, 0.3) + v @ v.T / 0.5), [r[0] for r in rows], copies)
 
 
-def test_too_cold_a_softmax_is_an_error_and_not_a_shorter_result(spark, monkeypatch):
-    monkeypatch.setattr(draws, "MAX_ATTEMPTS", 8)
-    rows = spark.createDataFrame([(str(i), [math.cos(i), math.sin(i)]) for i in range(200)], "key string, emb array<double>")
-    with pytest.raises(RuntimeError, match="temperature"):
-        draws.positive_embedding(rows, "key", "emb", temperature=1e-4, first=4)
+def test_a_cold_softmax_still_draws_for_every_row(spark, monkeypatch):
+    monkeypatch.setattr(draws, "ROUNDS", 2)
+    rows = spark.createDataFrame([(str(i), [math.cos(i), math.sin(i)]) for i in range(300)], "key string, emb array<double>")
+    found = draws.positive_embedding(rows, "key", "emb", temperature=1e-9, first=1, exclude_self=True).collect()
+    best = [max(math.cos(i - j) for j in range(300) if j != i) for i in range(300)]
+    assert len(found) == 300
+    assert all(math.cos(int(r.key) - int(r.partner)) > best[int(r.key)] - 1e-7 and r.key != r.partner for r in found)
+
+
+def test_the_race_over_all_rows_follows_the_softmax(spark, monkeypatch):
+    monkeypatch.setattr(draws, "ROUNDS", 0)
+    copies, rng = 100, np.random.default_rng(1)
+    v = rng.normal(size=(5, 4))
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    rows = [(f"{i}", x.tolist()) for i, x in enumerate(v)]
+    table, counts = repeated(spark, rows, "key", "key string, emb array<double>", copies), Counter()
+    for r in range(2):
+        found = draws.positive_embedding(table, "key", "emb", round_=r).collect()
+        counts.update((f.key.split(":")[1], f.partner.split(":")[1]) for f in found)
+    fits(counts, softmax(v @ v.T / 0.5), [r[0] for r in rows], 2 * copies)
+
+
+@pytest.mark.parametrize("exclude_self", [False, True])
+def test_the_race_over_moments_follows_the_softmax(spark, monkeypatch, exclude_self):
+    monkeypatch.setattr(draws, "ROUNDS", 1)  # no proposals for context draws
+    copies, rows, temperature = 60, shots(), 0.4
+    table, counts = repeated(spark, rows, "key", SHOT, copies), Counter()
+    for r in range(2):
+        found = draws.positive_context(table, "key", temperature=temperature, round_=r, exclude_self=exclude_self).collect()
+        assert len(found) == copies * len(rows)
+        assert not exclude_self or all(f.key != f.partner for f in found)
+        counts.update((f.key.split(":")[1], f.partner.split(":")[1]) for f in found)
+    weights = np.full((len(rows),) * 2, copies) - np.eye(len(rows)) * exclude_self
+    fits(counts, without_self(context_logits(rows, temperature), weights), [r[0] for r in rows], 2 * copies)
+
+
+def test_a_lonely_day_in_a_crowded_second(spark, monkeypatch):
+    widths = []
+    attempts = draws._attempts
+    monkeypatch.setattr(draws, "_attempts", lambda p, start, width: widths.append(width) or attempts(p, start, width))
+    crowd = spark.range(40_000).select(F.col("id").cast("string").alias("key"), F.lit("x").alias("location"), F.lit("2020-07-01 12:00:00").cast("timestamp_ntz").alias("datetime"))
+    lonely = spark.createDataFrame([("lonely", "x", datetime(2020, 1, 1, 12))], "key string, location string, datetime timestamp_ntz")
+    found = draws.positive_context(crowd.unionByName(lonely), "key")
+    assert found.count() == 40_001 and len(widths) <= 4
+    assert found.where("key = 'lonely'").first().partner == "lonely"
+
+
+def test_rows_without_place_time_or_vector_have_no_partner(spark):
+    t = datetime(2020, 1, 1)
+    rows = [("a", "x", t, [1.0, 0.0]), ("b", None, t, [1.0, 0.0]), ("c", "x", None, [1.0, 0.0]), ("d", "x", t, None), ("e", "x", t, [0.0, 1.0])]
+    table = spark.createDataFrame(rows, "key string, location string, datetime timestamp_ntz, emb array<double>")
+    context = {r.key: r.partner for r in draws.positive_context(table, "key").collect()}
+    assert context.keys() == set("abcde") and context["b"] is None and context["c"] is None
+    assert {context[k] for k in "ade"} <= set("ade")
+    both = {r.key: r.partner for r in draws.positive_combined(table, "key", "emb").collect()}
+    assert [both[k] for k in "bcd"] == [None] * 3 and {both["a"], both["e"]} <= set("ae")
+    alike = {r.key: r.partner for r in draws.positive_embedding(table, "key", "emb").collect()}
+    assert alike.keys() == set("abcde") and alike["d"] is None and "d" not in alike.values()
+
+
+def test_rows_without_class_have_no_partner_and_are_counted(spark):
+    rows = spark.createDataFrame([("a", 1, "x"), ("b", 1, None), ("c", None, "x"), ("d", 1, "x")], "img_path string, category_id int, location string")
+    drawn = positives.positive_class(rows)
+    found = {r.img_path: r.partner for r in drawn.collect()}
+    assert found["c"] is None and {found[k] for k in "abd"} <= set("abd")
+    near = {r.img_path: r.partner for r in positives.positive_class(rows, same_location=True).collect()}
+    assert near["b"] is None and near["c"] is None and {near["a"], near["d"]} <= set("ad")
+    agreement = positives.positive_class_agreement(drawn, rows).first()
+    assert (agreement.n_draws, agreement.class_agreement) == (4, 0.75)
 
 
 def labelled(spark, n=3000):

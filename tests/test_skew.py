@@ -31,28 +31,34 @@ def crops(spark):
     return table.withColumn("datetime", start + F.make_dt_interval(secs=F.col("s"))).drop("s").cache()
 
 
-def test_crop_numbers(spark):
+def test_crop_numbers(spark, monkeypatch):
     rows = spark.range(N).select(
         F.md5(F.col("id").cast("string")).alias("id"), F.when(F.col("id") % 3 == 0, "hot").otherwise((F.col("id") % 900).cast("string")).alias("image_id")
     )
     plain = rows.withColumn("want", F.row_number().over(W.partitionBy("image_id").orderBy("id")) - 1)
-    for by_range in (False, True):
-        found = curation.crop_ordinal(rows, by_range).join(plain, ["id", "image_id"])
+    for most in (ordinals.PLAIN_ROWS, 100):
+        monkeypatch.setattr(ordinals, "PLAIN_ROWS", most)
+        found = curation.crop_ordinal(rows).join(plain, ["id", "image_id"])
         assert found.count() == N and found.where("num_box <> want").count() == 0
 
 
-def test_ranges_cut_a_crowded_image(spark):
+def test_ranges_cut_a_crowded_image(spark, monkeypatch):
+    monkeypatch.setattr(ordinals, "PLAIN_ROWS", 100)
     rows = spark.range(N).select(F.concat(F.lit("same-"), F.lpad("id", 9, "0")).alias("id"), F.lit("hot").alias("image_id"))
     ranged = rows.repartitionByRange(8, "image_id", "id").groupBy(F.spark_partition_id()).count().collect()
     assert len(ranged) > 1 and max(r["count"] for r in ranged) < N / 2
-    found = curation.crop_ordinal(rows, by_range=True).agg(F.min("num_box"), F.max("num_box"), F.countDistinct("num_box")).first()
+    found = curation.crop_ordinal(rows).agg(F.min("num_box"), F.max("num_box"), F.countDistinct("num_box")).first()
     assert tuple(found) == (0, N - 1, N)
 
 
-def test_no_window_sees_the_whole_group(crops):
-    hashed = crops.withColumn("_h", digest(F.col("img_path")))
-    largest = hashed.groupBy("species", ordinals.hex_bucket(F.col("_h"))).count().agg(F.max("count")).first()[0]
-    assert largest < N / 3 / 100
+def test_no_window_sees_a_crowded_group(crops, monkeypatch):
+    monkeypatch.setattr(ordinals, "PLAIN_ROWS", 100)
+    hashed = crops.withColumns({"_h": digest(F.col("img_path")), "n": F.lit(N // 3)})
+    largest = hashed.groupBy("species", ordinals.hex_bucket(F.col("_h"))(F.col("n"))).count().agg(F.max("count")).first()[0]
+    assert largest < 100
+    plain = hashed.withColumn("want", F.row_number().over(W.partitionBy("species").orderBy("_h")) - 1)
+    found = ordinals.with_ordinal(plain, ["species"], ordinals.hex_bucket(F.col("_h")), ["_h"], "at")
+    assert found.count() == N and found.where("at <> want").count() == 0
 
 
 def test_sample_ranks(crops):
@@ -70,8 +76,13 @@ def test_sizes_and_members_of_a_crowded_image(crops):
     both = sizes.join(members, "img_id")
     assert both.where("n <> burst_size").count() == 0 and both.count() == counts.count()
     attached = bursts.attach_burst(crops, sizes, bursts.burst_lists(sizes, crops))
-    assert attached.count() == N
-    assert attached.where("prev_same_next_img_boxes is null").select("img_id").distinct().collect()[0][0] == "hot"
+    assert attached.where("list_part = 0").count() == N and attached.where("prev_same_next_img_boxes is null").count() == 0
+    # 3,000 crops in one image: every member but the crop itself, in several parts.
+    hot = attached.where("img_id = 'hot'").groupBy("img_path").agg(
+        F.count("*").alias("parts"), F.flatten(F.collect_list("prev_same_next_img_boxes")).alias("paths")
+    )
+    assert hot.where((F.size("paths") != N // 3 - 1) | (F.size(F.array_distinct("paths")) != N // 3 - 1)).count() == 0
+    assert hot.where("parts < 2 or array_contains(paths, img_path)").count() == 0
     drawn = positives.positive_burst(crops, sizes)
     assert drawn.count() == N and drawn.where("partner is null").count() == 0
 

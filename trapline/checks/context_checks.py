@@ -46,13 +46,13 @@ def flagship(spark, d, gap=LONG_GAP):
     return rows.select(
         "ann_id", whole("category_id"), "img_id", "img_name", "img_path", "img_set", "file_name", "location",
         "datetime", "time", "species", *[whole(c) for c in ("x1", "y1", "x2", "y2", "width", "height", "area")],
-        whole("img_width"), whole("img_height"), joined("prev_same_next_img_boxes").alias("prev_same_next_img_boxes"),
+        whole("img_width"), whole("img_height"), whole("list_part"), joined("prev_same_next_img_boxes").alias("prev_same_next_img_boxes"),
         whole("boxes_per_prev_same_next_img"), whole("boxes_per_img_id"), "is_in_train_1perc", "is_in_train_10perc",
     )
 
 
 def with_counts(spark, d):
-    return fx.crops(spark, d).join(bursts.boxes_per_image(fx.crops(spark, d)), "img_id")
+    return bursts.attach_box_count(fx.crops(spark, d), bursts.boxes_per_image(fx.crops(spark, d)))
 
 
 def featured(spark, d):
@@ -109,12 +109,14 @@ def one_hot(spark, d):
 
 
 def merged_paths(spark, d):
-    """Own crops of an image and those of its neighbours, as one set."""
+    """Own crops of an image and those of its neighbours, as one set, part by part."""
     members = bursts.burst_members(neighbours(spark, d, LONG_GAP), fx.crops(spark, d))
+    sized = members.join(stored_sizes(spark, d).select("img_id", (F.col("burst_size") + 1).alias("size")), "img_id")
+    part = bursts.path_part(F.col("img_path"), F.col("size"))
     own = F.collect_set(F.when(F.col("relation") == "same", F.col("img_path")))
     near_by = F.collect_set(F.when(F.col("relation") != "same", F.col("img_path")))
-    both = members.groupBy("img_id").agg(own.alias("a"), near_by.alias("b"))
-    return both.select("img_id", joined(bursts.merge_path_sets("a", "b")).alias("paths"))
+    both = sized.groupBy("img_id", part.alias("list_part")).agg(own.alias("a"), near_by.alias("b"))
+    return both.select("img_id", whole("list_part"), joined(bursts.merge_path_sets("a", "b")).alias("paths"))
 
 
 def neighbours_sql(gap: float) -> str:
@@ -175,7 +177,7 @@ CHECKS = {
         select ann_id, category_id, img_id, img_name, f.img_path, img_set, file_name, location, datetime,
                strftime(datetime, '%H:%M:%S') as time, species, x1::bigint as x1, y1::bigint as y1, x2::bigint as x2,
                y2::bigint as y2, width::bigint as width, height::bigint as height, area::bigint as area,
-               img_width::bigint as img_width, img_height::bigint as img_height,
+               img_width::bigint as img_width, img_height::bigint as img_height, 0::bigint as list_part,
                coalesce(l.paths, '') as prev_same_next_img_boxes, l.n as boxes_per_prev_same_next_img,
                boxes_per_img_id, is_in_train_1perc, is_in_train_10perc
         from flagged f join lists l on l.img_path = f.img_path join counts using (img_id)""",
@@ -198,9 +200,9 @@ CHECKS = {
         f"{fx.CROPS_SQL}, {neighbours_sql(60)}, {MEMBERS_SQL} select img_id, relation, img_path from members",
     ),
     "burst_positive_paths": (
-        lambda s, d: positive_paths(s, d).select("img_path", joined("prev_same_next_img_boxes").alias("paths")),
+        lambda s, d: positive_paths(s, d).select("img_path", whole("list_part"), joined("prev_same_next_img_boxes").alias("paths")),
         f"""{fx.CROPS_SQL}, {neighbours_sql(60)}, {MEMBERS_SQL}
-        select img_path, coalesce(paths, '') as paths from lists""",
+        select img_path, 0::bigint as list_part, coalesce(paths, '') as paths from lists""",
     ),
     "attach_burst": (
         lambda s, d: positive_paths(s, d).select("img_path", "img_id", joined("prev_same_next_img_boxes").alias("paths"), whole("boxes_per_prev_same_next_img")),
@@ -216,7 +218,7 @@ CHECKS = {
     "merge_path_sets": (
         merged_paths,
         f"""{fx.CROPS_SQL}, {neighbours_sql(60)}, {MEMBERS_SQL}
-        select img_id, string_agg(img_path, ',' order by img_path) as paths from members group by img_id""",
+        select img_id, 0::bigint as list_part, string_agg(img_path, ',' order by img_path) as paths from members group by img_id""",
     ),
     "attach_box_count": (
         lambda s, d: with_counts(s, d).select("img_path", whole("boxes_per_img_id")),

@@ -116,8 +116,7 @@ def manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def crops_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Manifest rows with their image and species."""
-    named = curation.category_lookup(manifest(spark, sf_dir), categories(spark, sf_dir))
-    return crops_with_images(named, images(spark, sf_dir))
+    return crops_with_images(manifest(spark, sf_dir), images(spark, sf_dir))
 
 
 _stored: dict[tuple[str, str, str], DataFrame] = {}
@@ -140,7 +139,7 @@ def counted_crops(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Crops with the number of crops of their image."""
     return stored(
         spark, sf_dir, "counted",
-        lambda s, d: crops(s, d).join(bursts.boxes_per_image(crops(s, d)), "img_id"),
+        lambda s, d: bursts.attach_box_count(crops(s, d), bursts.boxes_per_image(crops(s, d))),
     )
 
 

@@ -14,7 +14,9 @@ from trapline.operators import draws, encoding, positives, scoring
 from trapline.operators.positives import RUN_SEED
 
 NOISE = 0.2
-ATTEMPTS = 512
+ATTEMPTS = 4 + 16 + 64 + 256  # all proposals before the race, which no row of the test tables needs
+CONTEXT_ATTEMPTS = 2 + 8 + 32
+COMBINED_ATTEMPTS = 8 + 32 + 128 + 512
 
 
 def burst_draws(spark, d):
@@ -117,7 +119,7 @@ def context_sql(start: str, key: str, attempts: int, text: str) -> str:
     timed as (select {key}, loc, case when hi = lo then 0e0 else (year(datetime) - lo) / (hi - lo)::double end as year,
                 hour(datetime) * 3600 + minute(datetime) * 60 + floor(second(datetime))::bigint as cell,
                 dayofyear(make_date(2020, month(datetime), day(datetime))) - 1 as day from base, ends),
-    idx as (select *, row_number() over (order by md5(loc), loc, cell, md5({text}), {text}) - 1 as gid from timed),
+    idx as (select *, row_number() over (order by md5(loc), loc, cell, day, year, md5({text}), {text}) - 1 as gid from timed),
     cells as (select loc, cell, count(*) as n, min(gid) as first_gid from idx group by loc, cell),
     gaps as (select a.loc, a.cell, b.cell as other, b.n, b.first_gid, sqrt({clock2('a.cell', 'b.cell')}) as gap
              from cells a join cells b on a.loc = b.loc),
@@ -181,12 +183,12 @@ CHECKS = {
     "positive_embedding": (embedding_draws, _EMBEDDING_SQL),
     "positive_context": (
         context_draws,
-        f"""{context_sql(f"{fx.CROPS_SQL}, base as (select img_path, location as loc, datetime from crops)", "img_path", 24, "img_path")}
+        f"""{context_sql(f"{fx.CROPS_SQL}, base as (select img_path, location as loc, datetime from crops)", "img_path", CONTEXT_ATTEMPTS, "img_path")}
         select img_path, arg_min(partner, attempt) as partner from accepted group by img_path""",
     ),
     "positive_combined": (
         combined_draws,
-        f"""{context_sql(f"{fx.ITEMS_SQL}, base as (select vec_id, location as loc, datetime from items)", "vec_id", 256, "vec_id::varchar")},
+        f"""{context_sql(f"{fx.ITEMS_SQL}, base as (select vec_id, location as loc, datetime from items)", "vec_id", COMBINED_ATTEMPTS, "vec_id::varchar")},
         agreed as (select a.vec_id, a.attempt, a.partner from accepted a join items i on i.vec_id = a.vec_id
                  join items j on j.vec_id = a.partner
                  where {u("'similar'", "a.vec_id::varchar", "a.attempt::varchar")}

@@ -17,8 +17,11 @@ SECOND_SPAN = 59.0
 
 
 def parse_capture_time(text: Column) -> Column:
-    """Null when the text is no timestamp; callers set such rows apart."""
-    return F.try_to_timestamp(text).cast("timestamp_ntz")
+    """The clock reading in the text, whatever the session's time zone; an offset behind it is not applied.
+
+    Null when the text is no timestamp; callers set such rows apart.
+    """
+    return text.try_cast("timestamp_ntz")
 
 
 def time_of_day(ts: Column) -> Column:

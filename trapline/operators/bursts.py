@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -10,7 +10,7 @@ from trapline.functions.capture_time import epoch_micros
 
 GAP_SECONDS = 5.0
 BLOCK_SECONDS = 3600
-INLINE_LIMIT = 1_000
+LIST_PART = 1_000  # paths in one part of a list, about; longer lists have more parts
 
 
 def distinct_sequence_rows(crops: DataFrame) -> DataFrame:
@@ -110,19 +110,32 @@ def burst_members(neighbours: DataFrame, crops: DataFrame) -> DataFrame:
     return burst_links(neighbours).join(paths, "member_img").select("img_id", "relation", "img_path")
 
 
-def burst_lists(sizes: DataFrame, crops: DataFrame, inline_limit: int = INLINE_LIMIT) -> DataFrame:
-    """Per image, the sorted paths of its own crops and of both neighbours.
+def path_part(path: Column, size: Column, part: int = LIST_PART) -> Column:
+    """Which part of a list of `size` paths a path is in, by its hash; part 0 alone for lists of one part."""
+    return F.pmod(F.xxhash64(path), F.ceil(size / part)).cast("int")
 
-    Only bursts of at most `inline_limit` crops become an array; a larger one does not belong in one
-    row: its list is null and `burst_members` holds it whole.
+
+def burst_lists(sizes: DataFrame, crops: DataFrame, part: int = LIST_PART) -> DataFrame:
+    """(img_id, list_part, burst_paths): the paths of every image's own crops and of both neighbours, sorted, in parts.
+
+    Most images have one part. A burst of any size is whole in its parts, and no row or task holds all of it.
     """
-    inline = sizes.where(F.col("burst_size") < F.lit(inline_limit)).select("img_id", "prev_img", "next_img")
-    members = burst_members(inline, crops)
-    return members.groupBy("img_id").agg(F.array_sort(F.collect_set("img_path")).alias("burst_paths"))
+    members = burst_members(sizes.select("img_id", "prev_img", "next_img"), crops)
+    sized = members.join(sizes.select("img_id", (F.col("burst_size") + 1).alias("_size")), "img_id")
+    parted = sized.withColumn("list_part", path_part(F.col("img_path"), F.col("_size"), part))
+    lists = parted.groupBy("img_id", "list_part").agg(F.array_sort(F.collect_set("img_path")).alias("burst_paths"))
+    several = sizes.where(F.col("burst_size") + 1 > part).select("img_id", F.lit(0).alias("list_part"), F.array().cast("array<string>").alias("burst_paths"))
+    # The hash may leave part 0 empty; every image has it.
+    return lists.unionByName(several.join(lists.select("img_id", "list_part"), ["img_id", "list_part"], "left_anti"))
+
+
+def attach_box_count(crops: DataFrame, counts: DataFrame) -> DataFrame:
+    """Adds the number of crops of the image to every crop."""
+    return crops.join(counts.select("img_id", "boxes_per_img_id"), "img_id", "left")
 
 
 def attach_burst(crops: DataFrame, sizes: DataFrame, lists: DataFrame) -> DataFrame:
-    """Adds counts and the list of positive paths (without the crop itself) to every crop."""
+    """Adds counts and the list of positive paths (without the crop itself) to every crop, a row per list part."""
     per_image = sizes.select("img_id", "boxes_per_img_id", "burst_size").join(lists, "img_id", "left")
     own = F.array_remove("burst_paths", F.col("img_path"))
     return (
@@ -134,5 +147,5 @@ def attach_burst(crops: DataFrame, sizes: DataFrame, lists: DataFrame) -> DataFr
 
 
 def merge_path_sets(a, b):
-    """Union of two path lists, sorted."""
+    """Union of two path lists, or of the same part of both, sorted."""
     return F.array_sort(F.array_union(a, b))

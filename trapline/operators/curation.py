@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trapline.functions import boxes, names
-from trapline.operators.ordinals import with_ordinal, with_ordinal_by_range
-
-ID_PREFIX = 3  # characters of the annotation id that cut a crowded image into parts
+from trapline.operators.ordinals import with_ordinal_by_range
 
 
 def bbox_ratio_to_px(annotations: DataFrame, images: DataFrame) -> DataFrame:
@@ -63,15 +61,20 @@ def intersect_ids(a: DataFrame, b: DataFrame, column: str) -> DataFrame:
     return a.select(column).intersect(b.select(column))
 
 
+def is_curated(threshold: float = boxes.MIN_AREA) -> Column:
+    """A well-formed box of at least `threshold` px."""
+    bbox = F.col("bbox")
+    area = F.coalesce("area", boxes.box_area(bbox))
+    return bbox.isNotNull() & ~boxes.is_malformed(bbox) & (area >= F.lit(float(threshold)))
+
+
 def curated(annotations: DataFrame, threshold: float = boxes.MIN_AREA) -> DataFrame:
-    """Annotations with a well-formed box of at least `threshold` px."""
-    whole = filter_has_box(annotations).where(~boxes.is_malformed(F.col("bbox")))
-    return filter_min_area(whole, threshold)
+    return annotations.where(is_curated(threshold))
 
 
 def curation_report(annotations: DataFrame, images: DataFrame, threshold: float = boxes.MIN_AREA) -> DataFrame:
     """Image and annotation counts in total and after each filter: two scans, one shuffle on image id."""
-    big = F.col("bbox").isNotNull() & (F.coalesce("area", boxes.box_area(F.col("bbox"))) >= F.lit(float(threshold)))
+    big = is_curated(threshold)
     per_image = prune_annotations(
         annotations.groupBy("image_id").agg(
             F.count_if(F.col("bbox").isNotNull()).alias("boxed"), F.count_if(big).alias("big")
@@ -100,24 +103,15 @@ def curation_report(annotations: DataFrame, images: DataFrame, threshold: float
     return total.unionByName(after)
 
 
-def crop_ordinal(annotations: DataFrame, by_range: bool = False) -> DataFrame:
-    """0-based crop number inside each image, in annotation-id order.
-
-    Numbered before any join on the image, so that a crowded image is spread over tasks: by the first
-    characters of the id, which is cheap and even for hashes and UUIDs, or by ranges of ids, for ids
-    that begin alike. Both give the same numbers.
-    """
-    if by_range:
-        return with_ordinal_by_range(annotations, ["image_id"], ["id"], "num_box")
-    return with_ordinal(
-        annotations, ["image_id"], F.substring("id", 1, ID_PREFIX), ["id"], "num_box"
-    )
+def crop_ordinal(annotations: DataFrame) -> DataFrame:
+    """0-based crop number inside each image, in annotation-id order. A crowded image is cut into ranges of ids."""
+    return with_ordinal_by_range(annotations, ["image_id"], ["id"], "num_box")
 
 
 def category_lookup(annotations: DataFrame, categories: DataFrame) -> DataFrame:
     """Adds `species`. The category table is a file: Catalyst broadcasts it by its real size."""
     named = categories.select(F.col("id").alias("category_id"), F.col("name").alias("species"))
-    return annotations.join(named, "category_id")
+    return annotations.drop("species").join(named, "category_id")
 
 
 def category_misses(annotations: DataFrame, categories: DataFrame) -> DataFrame:
@@ -140,17 +134,17 @@ def normalize_columns(images: DataFrame) -> DataFrame:
 
 
 def crop_manifest(
-    annotations: DataFrame, images: DataFrame, categories: DataFrame, threshold: float = boxes.MIN_AREA,
-    by_range: bool = False,
+    annotations: DataFrame, images: DataFrame, categories: DataFrame, threshold: float = boxes.MIN_AREA
 ) -> DataFrame:
     """One row per crop, named `{image}_{number}_{species}.jpg`.
 
-    Carries the annotation, image and category ids, so later steps need not parse names or match boxes.
-    `by_range`: see `crop_ordinal`.
+    Carries the annotation, image and category ids, so later steps need not parse names or match boxes, and all that
+    later steps want from image and category, so they need not be joined again.
     """
     kept = curated(annotations, threshold).select("id", "image_id", "category_id", "bbox")
-    numbered = crop_ordinal(kept, by_range)
-    frames = images.select(F.col("id").alias("image_id"), "img_set", "img_width", "img_height")
+    numbered = crop_ordinal(kept)
+    also = [c for c in ("file_name", "location", "datetime") if c in images.columns]
+    frames = images.select(F.col("id").alias("image_id"), "img_set", "img_width", "img_height", *also)
     crops = category_lookup(numbered.join(frames, "image_id"), categories)
     name = names.crop_name(F.col("image_id"), F.col("num_box"), F.col("species"))
     placed = crops.withColumn("img_name", name).withColumns(boxes.truncated(F.col("bbox")))
@@ -162,6 +156,7 @@ def crop_manifest(
         boxes.slice_is_empty(
             F.col("x1"), F.col("x2"), F.col("y1"), F.col("y2"), F.col("img_width"), F.col("img_height")
         ).alias("crop_is_empty"),
+        "species", *also, "img_width", "img_height",
     )
 
 

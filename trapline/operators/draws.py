@@ -2,8 +2,10 @@
 
 A row's partner is drawn from a softmax over all rows. Each attempt proposes one candidate and accepts
 it with a probability that makes the accepted one an exact softmax draw (rejection sampling). Rows that
-accepted nothing go to the next round with more attempts, until none is left: no candidate is left out,
-and no pair is looked at that was not proposed.
+accepted nothing go to the next round with more attempts. After a few rounds only rows are left whose proposals fit
+badly, and they get their draw as the greatest of all candidates' log weights plus Gumbel noise, which is an exact
+softmax draw at any temperature: first over the distinct moments of their location (context draws), at last over all
+rows, for blocks of pending rows. No candidate is left out, and no number of attempts ends the draw.
 
 Embedding similarity: cosines lie in [-1, 1], so a uniform proposal is accepted with probability at
 least exp(-2 / T), whatever the size of the table (T = 0.5: 1 in 55 at worst, about 1 in 7 for
@@ -28,37 +30,91 @@ from pyspark.sql import functions as F
 
 from trapline.functions.capture_time import DAY_SPAN, HOUR_SPAN, MINUTE_SPAN, SECOND_SPAN, chord, leap_day_index
 from trapline.functions.hashing import digest, index_draw, unit_draw
-from trapline.functions.vectors import batch_dot
+from trapline.functions.vectors import batch_dot, matrix
 from trapline.operators.features import year_scale
-from trapline.operators.ordinals import hex_bucket, with_ordinal, with_running_sum
+from trapline.operators.ordinals import hex_bucket, with_ordinal, with_ordinal_by_range, with_running_sum
 from trapline.operators.positives import RUN_SEED
-from trapline.session import cut, settle_small
+from trapline.session import cut
 
 CONTEXT_TEMPERATURE = 0.05
 EMBEDDING_TEMPERATURE = 0.5
 GROUP_ROWS = 16_384
-MAX_ATTEMPTS = 1 << 20
+ROUNDS = 4  # rounds of proposals
+RACE_ROUNDS = 3  # rounds over the moments of a location
+BLOCK = 256  # rows that are held against all others at a time, at the end
+
+
+Proposer = Callable[[DataFrame, int, int], DataFrame]
 
 
 def draw_until_accepted(
-    rows: DataFrame, key: str, propose: Callable[[DataFrame, int, int], DataFrame], first: int
+    rows: DataFrame, key: str, first: int, stages: list[tuple[int, Proposer]], finish: Callable[[DataFrame], DataFrame]
 ) -> DataFrame:
     """(key, partner): the first accepted attempt of every row.
 
-    `propose(pending, start, width)` returns the accepted (key, attempt, partner) among the attempts
-    start .. start + width - 1. Every round is written out, so a lost executor repeats one round at most.
+    A stage is (rounds, propose); `propose(pending, start, width)` returns the accepted (key, attempt, partner) among
+    the attempts start .. start + width - 1. `finish(pending)` draws for whoever is left. Every round is written out,
+    so a lost executor repeats one round at most.
+    """
+    pending, done, start = rows, None, 0
+    for number, (rounds, propose) in enumerate(stages):
+        width = first if number == 0 else 1
+        for _ in range(rounds):
+            accepted = propose(pending, start, width)
+            won = cut(accepted.groupBy(key).agg(F.min_by("partner", "attempt").alias("partner")))
+            done = won if done is None else done.unionByName(won)
+            pending = cut(pending.join(won, key, "left_anti"))
+            if pending.isEmpty():
+                return done
+            start, width = start + width, width * 4
+    last = cut(finish(pending))
+    return last if done is None else done.unionByName(last)
+
+
+def _gumbel(pending: np.ndarray, candidates: np.ndarray, seed: int, round_: int) -> np.ndarray:
+    """Noise per (pending row, candidate) from their numbers: the same on every run."""
+    with np.errstate(over="ignore"):
+        x = pending.astype(np.uint64)[:, None] * np.uint64(0x9E3779B97F4A7C15) + candidates.astype(np.uint64)[None, :]
+        x = x + np.uint64((seed * 1_000_003 + round_) & (2**63 - 1))
+        for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+            x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
+        x ^= x >> np.uint64(31)
+    return -np.log(-np.log(((x >> np.uint64(12)).astype(float) + 0.5) / 2.0**52))
+
+
+def race_over_all(
+    pending: DataFrame, index: DataFrame, key: str, columns: list[str],
+    log_weight: Callable[[pd.DataFrame, pd.DataFrame], np.ndarray], seed: int, round_: int, exclude_self: bool,
+) -> DataFrame:
+    """(key, partner): the greatest log weight plus noise over all rows of `index`, for a block of rows at a time.
+
+    Both tables have `gid` and `columns`. A block comes to the driver (BLOCK rows) and is sent to all tasks; a task
+    keeps the best candidate per row of the block.
     """
-    pending, done, start, width = rows, None, 0, first
-    while True:
-        accepted = propose(pending, start, width)
-        won = cut(accepted.groupBy(key).agg(F.min_by("partner", "attempt").alias("partner")))
-        done = won if done is None else done.unionByName(won)
-        pending = cut(pending.join(won, key, "left_anti"))
-        if pending.isEmpty():
-            return done
-        start, width = start + width, width * 4
-        if start > MAX_ATTEMPTS:
-            raise RuntimeError("acceptance is too rare: the temperature is too small for this table")
+    kind = index.schema[key].dataType.simpleString()
+    blocks = cut(with_ordinal(
+        pending.withColumn("_h", digest(F.col(key))), [], hex_bucket(F.col("_h")), ["_h", key], "_at"
+    ).select("_at", key, "gid", *columns))
+    n, found = blocks.count(), None
+    for at in range(0, n, BLOCK):
+        rows = blocks.where((F.col("_at") >= at) & (F.col("_at") < at + BLOCK)).toPandas()
+        shared = index.sparkSession.sparkContext.broadcast(rows)
+
+        def best(batches, shared=shared):
+            mine = shared.value
+            for batch in batches:
+                for s in range(0, len(batch), 4096):
+                    part = batch.iloc[s : s + 4096]
+                    score = log_weight(mine, part) + _gumbel(mine["gid"].to_numpy(), part["gid"].to_numpy(), seed, round_)
+                    if exclude_self:
+                        score[mine["gid"].to_numpy()[:, None] == part["gid"].to_numpy()[None, :]] = -np.inf
+                    top = score.argmax(axis=1)
+                    yield pd.DataFrame({key: mine[key], "score": score[np.arange(len(mine)), top], "partner": part[key].to_numpy()[top]})
+
+        scored = index.select(key, "gid", *columns).mapInPandas(best, f"{key} {kind}, score double, partner {kind}")
+        won = cut(scored.groupBy(key).agg(F.max_by("partner", "score").alias("partner")))
+        found = won if found is None else found.unionByName(won)
+    return found
 
 
 def _attempts(pending: DataFrame, start: int, width: int) -> DataFrame:
@@ -73,41 +129,57 @@ def embedding_index(rows: DataFrame, key: str, vector: str) -> DataFrame:
 
 def positive_embedding(
     rows: DataFrame, key: str, vector: str, temperature: float = EMBEDDING_TEMPERATURE,
-    seed: int = RUN_SEED, round_: int = 0, first: int = 16, exclude_self: bool = False,
+    seed: int = RUN_SEED, round_: int = 0, first: int = 4, exclude_self: bool = False,
 ) -> DataFrame:
     """One draw per row from softmax(<e_i, e_j> / T) over all rows. Vectors have at most unit length.
 
-    The row itself is a candidate unless `exclude_self`.
+    The row itself is a candidate unless `exclude_self`. A row without a vector has a null partner and is none.
     """
-    index = embedding_index(rows, key, vector)
+    index = embedding_index(rows.where(F.col(vector).isNotNull()), key, vector)
     n = index.count()
     if exclude_self and n == 1:
         raise ValueError("a single row has no other candidate")
     theirs = index.select("gid", F.col(key).alias("partner"), F.col("vec").alias("partner_vec"))
+    mine = index.select(key, "vec")
 
     def propose(pending: DataFrame, start: int, width: int) -> DataFrame:
-        tries = _attempts(pending, start, width).withColumn(
+        tries = _attempts(pending.select(key), start, width).withColumn(
             "gid", index_draw(F.lit(n), seed, round_, "candidate", F.col(key), F.col("attempt"))
         )
         cos = batch_dot(F.col("vec"), F.col("partner_vec"))
         chance = F.exp((cos - 1.0) / F.lit(temperature))
         luck = unit_draw(seed, round_, "accept", F.col(key), F.col("attempt"))
-        pairs = tries.join(theirs, "gid").select(key, "attempt", "partner", luck.alias("luck"), chance.alias("chance"))
+        pairs = tries.join(theirs, "gid").join(mine, key)  # attempts are dealt out as numbers, without vectors
+        pairs = pairs.select(key, "attempt", "partner", luck.alias("luck"), chance.alias("chance"))
         accepted = pairs.where(F.col("luck") < F.col("chance"))
         return accepted.where(F.col(key) != F.col("partner")) if exclude_self else accepted
 
-    return draw_until_accepted(index.select(key, "vec"), key, propose, first)
+    def alike(a: pd.DataFrame, b: pd.DataFrame) -> np.ndarray:
+        return matrix(a["vec"]) @ matrix(b["vec"]).T / temperature
+
+    def finish(pending: DataFrame) -> DataFrame:
+        return race_over_all(pending, index, key, ["vec"], alike, seed, round_, exclude_self)
+
+    found = draw_until_accepted(index, key, first, [(ROUNDS, propose)], finish)
+    return found.unionByName(_without_partner(rows, key, F.col(vector).isNull()))
+
+
+def _without_partner(rows: DataFrame, key: str, lacking: Column) -> DataFrame:
+    return rows.where(lacking).select(key, F.lit(None).cast(rows.schema[key].dataType).alias("partner"))
 
 
 def context_index(rows: DataFrame, key: str, location: str = "location", moment: str = "datetime"):
-    """The two tables context draws work on.
+    """The three tables context draws work on, over the rows that have a location and a time.
 
     `index`: every row with its location, clock cell (second of the day), day, scaled year and a number
-    `gid`, dense over the table, such that a location and each of its cells are ranges of numbers.
+    `gid`, dense over the table, such that a location, each of its cells and each of its moments (cell, day and year)
+    are ranges of numbers.
     `cells`: per location its cells with row count and first number, as three bounded arrays.
+    `moments`: per location its moments with row count and first number.
     """
     ts = F.col(moment)
-    base = year_scale(rows.select(key, F.col(location).alias("loc"), moment), moment, "year").select(
+    whole = rows.where(F.col(location).isNotNull() & ts.isNotNull())
+    base = year_scale(whole.select(key, F.col(location).alias("loc"), moment), moment, "year").select(
         key, "loc", "year",
         (F.hour(ts) * 3600 + F.minute(ts) * 60 + F.second(ts)).alias("cell"),
         leap_day_index(ts).alias("day"),
@@ -120,13 +192,12 @@ def context_index(rows: DataFrame, key: str, location: str = "location", moment:
     loc_starts = with_running_sum(
         loc_sizes, [], hex_bucket(F.col("_h")), ["_h", "loc"], {"loc_start": F.col("loc_n")}, inclusive=False
     ).drop("_h")
-    loc_starts, _ = settle_small(loc_starts)
     ranges = cut(
         cell_starts.join(loc_starts, "loc").select(
             "loc", "cell", "cell_n", "loc_n", (F.col("loc_start") + F.col("cell_start")).alias("first_gid")
         )
     )
-    placed = with_ordinal(base, ["loc", "cell"], hex_bucket(F.col("_h")), ["_h", key], "pos").drop("_h")
+    placed = with_ordinal_by_range(base, ["loc", "cell"], ["day", "year", "_h", key], "pos").drop("_h")
     index = cut(
         placed.join(ranges, ["loc", "cell"]).select(
             key, "loc", "cell", "day", "year", "cell_n", "loc_n", (F.col("first_gid") + F.col("pos")).alias("gid")
@@ -136,7 +207,8 @@ def context_index(rows: DataFrame, key: str, location: str = "location", moment:
     cells = ranges.groupBy("loc").agg(packed.alias("p")).select(
         "loc", F.col("p.cell").alias("cells"), F.col("p.cell_n").alias("sizes"), F.col("p.first_gid").alias("firsts")
     )
-    return index, cells
+    moments = cut(index.groupBy("loc", "cell", "day", "year").agg(F.count("*").alias("moment_n"), F.min("gid").alias("first_gid")))
+    return index, cells, moments
 
 
 def _chord_table(labels: int, span: float) -> np.ndarray:
@@ -244,17 +316,21 @@ def context_proposer(
         def shares(size: str) -> Column:
             return F.ceil(F.col(size) * F.lit(width) / F.lit(GROUP_ROWS))
 
-        # A location is cut by cell and a crowded cell again by row; each part meets the whole histogram.
-        tries = _attempts(pending, start, width).select(
+        # The pending rows of a location are cut by cell and those of a crowded cell again by row; each part meets
+        # the whole histogram.
+        per_cell = pending.groupBy("loc", "cell").agg(F.count("*").alias("cell_left"))
+        per_loc = per_cell.groupBy("loc").agg(F.sum("cell_left").alias("loc_left"))
+        sized = pending.join(per_cell.join(per_loc, "loc"), ["loc", "cell"])
+        tries = _attempts(sized, start, width).select(
             key, "attempt", "loc", "cell", "day", "year", F.col("gid").alias("own_gid"),
-            F.pmod(F.hash("cell"), shares("loc_n")).alias("part"),
-            F.pmod(F.hash(key), shares("cell_n")).alias("salt"),
+            F.pmod(F.hash("cell"), shares("loc_left")).alias("part"),
+            F.pmod(F.hash(key), shares("cell_left")).alias("salt"),
             unit_draw(seed, round_, "cell", F.col(key), F.col("attempt")).alias("u_cell"),
             unit_draw(seed, round_, "member", F.col(key), F.col("attempt")).alias("u_member"),
         )
-        needed = pending.select(
-            "loc", F.pmod(F.hash("cell"), shares("loc_n")).alias("part"),
-            F.pmod(F.hash(key), shares("cell_n")).alias("salt"),
+        needed = sized.select(
+            "loc", F.pmod(F.hash("cell"), shares("loc_left")).alias("part"),
+            F.pmod(F.hash(key), shares("cell_left")).alias("salt"),
         ).distinct()
         histograms = needed.join(cells, "loc").withColumnsRenamed({c: f"h_{c}" for c in by})
         picked = tries.groupBy(*by).cogroup(histograms.groupBy(*[f"h_{c}" for c in by])).applyInPandas(pick, schema)
@@ -272,6 +348,62 @@ def context_proposer(
     return propose
 
 
+def moment_racer(
+    index: DataFrame, moments: DataFrame, key: str, temperature: float, seed: int, round_: int, exclude_self: bool = False
+) -> Proposer:
+    """Attempts over the distinct moments of a row's location, by their exact weights; other locations are one more
+    candidate with the weight they could have at most, and a row of them is accepted by its own distance."""
+    n = index.count()
+    square = lambda c: F.pow(c, F.lit(2.0))
+    place = index.select("gid", F.col(key).alias("partner"), *[F.col(c).alias(f"p_{c}") for c in ("loc", "cell", "day", "year")])
+    theirs = moments.select("loc", "moment_n", "first_gid", *[F.col(c).alias(f"p_{c}") for c in ("cell", "day", "year")])
+
+    def slow() -> Column:
+        return square(F.col("year") - F.col("p_year")) + square(chord(F.col("day") / F.lit(DAY_SPAN), F.col("p_day") / F.lit(DAY_SPAN)))
+
+    def noise(*parts) -> Column:
+        return -F.log(-F.log(unit_draw(seed, round_, *parts, F.col(key), F.col("attempt"))))
+
+    def propose(pending: DataFrame, start: int, width: int) -> DataFrame:
+        tries = _attempts(pending.select(key, "loc", "cell", "day", "year", F.col("gid").alias("own_gid")), start, width)
+        met = tries.join(theirs, "loc")
+        own = F.col("own_gid").between(F.col("first_gid"), F.col("first_gid") + F.col("moment_n") - 1)
+        size = F.col("moment_n") - F.when(own & F.lit(exclude_self), 1).otherwise(0)
+        distance = F.sqrt(_clock_chords(F.col("cell"), F.col("p_cell")) + slow())
+        score = F.log(size) - distance / F.lit(temperature) + noise("moment", F.col("first_gid"))
+        best = met.where(size > 0).groupBy(key, "attempt").agg(
+            F.max(F.struct(score.alias("score"), "first_gid", size.alias("size"), "moment_n")).alias("best")
+        )
+        away = F.lit(math.log(n) - math.sqrt(2.0) / temperature) + noise("away")
+        drawn = tries.join(best, [key, "attempt"], "left").withColumn("foreign", F.coalesce(away > F.col("best.score"), F.lit(True)))
+        member = unit_draw(seed, round_, "moment member", F.col(key), F.col("attempt"))
+        inside = F.col("best.first_gid") + F.floor(member * F.col("best.size"))
+        skipped = inside + F.when((F.col("best.size") < F.col("best.moment_n")) & (inside >= F.col("own_gid")), 1).otherwise(0)
+        found = drawn.withColumn("gid", F.when(F.col("foreign"), F.floor(member * n)).otherwise(skipped)).join(place, "gid")
+        far = F.sqrt(_clock_chords(F.col("cell"), F.col("p_cell")) + slow() + 2.0) - F.lit(math.sqrt(2.0))
+        luck = unit_draw(seed, round_, "moment accept", F.col(key), F.col("attempt"))
+        fits = ~F.col("foreign") | ((F.col("loc") != F.col("p_loc")) & (luck < F.exp(-far / F.lit(temperature))))
+        return found.where(fits).select(key, "attempt", "partner")
+
+    return propose
+
+
+def context_log_weight(temperature: float) -> Callable[[pd.DataFrame, pd.DataFrame], np.ndarray]:
+    def weight(a: pd.DataFrame, b: pd.DataFrame) -> np.ndarray:
+        column = lambda t, c: t[c].to_numpy()
+        square = 2.0 * (column(a, "loc")[:, None] != column(b, "loc")[None, :])
+        for table, one, two in zip((HOURS, MINUTES, SECONDS), clock_hands(column(a, "cell")), clock_hands(column(b, "cell"))):
+            square = square + table[one[:, None], two[None, :]]
+        days = (column(a, "day")[:, None] - column(b, "day")[None, :]) / DAY_SPAN
+        years = column(a, "year")[:, None] - column(b, "year")[None, :]
+        return -np.sqrt(square + np.sin(np.pi * days) ** 2 + years**2) / temperature
+
+    return weight
+
+
+PLACE = ["loc", "cell", "day", "year"]
+
+
 def positive_context(
     rows: DataFrame, key: str, location: str = "location", moment: str = "datetime",
     temperature: float = CONTEXT_TEMPERATURE, seed: int = RUN_SEED, round_: int = 0, first: int = 2,
@@ -279,11 +411,17 @@ def positive_context(
 ) -> DataFrame:
     """One draw per row from softmax(-distance / T) over the context vectors of all rows.
 
-    Location and capture time must not be null. The row itself is a candidate unless `exclude_self`.
+    The row itself is a candidate unless `exclude_self`. A row without location or time has a null partner and is none.
     """
-    index, cells = context_index(rows, key, location, moment)
+    index, cells, moments = context_index(rows, key, location, moment)
     propose = context_proposer(index, cells, key, temperature, seed, round_, exclude_self)
-    return draw_until_accepted(index, key, propose, first)
+    race = moment_racer(index, moments, key, temperature, seed, round_, exclude_self)
+
+    def finish(pending: DataFrame) -> DataFrame:
+        return race_over_all(pending, index, key, PLACE, context_log_weight(temperature), seed, round_, exclude_self)
+
+    found = draw_until_accepted(index, key, first, [(ROUNDS - 1, propose), (RACE_ROUNDS, race)], finish)
+    return found.unionByName(_without_partner(rows, key, F.col(location).isNull() | F.col(moment).isNull()))
 
 
 def positive_combined(
@@ -291,17 +429,40 @@ def positive_combined(
     context_temperature: float = CONTEXT_TEMPERATURE, embedding_temperature: float = EMBEDDING_TEMPERATURE,
     seed: int = RUN_SEED, round_: int = 0, first: int = 8, exclude_self: bool = False,
 ) -> DataFrame:
-    """One draw per row from the product of both softmaxes: context draws, thinned by similarity."""
-    index, cells = context_index(rows, key, location, moment)
-    in_context = context_proposer(index, cells, key, context_temperature, seed, round_, exclude_self)
-    own = rows.select(key, F.col(vector).alias("vec"))
-    theirs = rows.select(F.col(key).alias("partner"), F.col(vector).alias("partner_vec"))
+    """One draw per row from the product of both softmaxes: context draws, thinned by similarity.
 
-    def propose(pending: DataFrame, start: int, width: int) -> DataFrame:
-        pairs = in_context(pending, start, width).join(own, key).join(theirs, "partner")
-        chance = F.exp((batch_dot(F.col("vec"), F.col("partner_vec")) - 1.0) / F.lit(embedding_temperature))
-        luck = unit_draw(seed, round_, "similar", F.col(key), F.col("attempt"))
-        tested = pairs.select(key, "attempt", "partner", luck.alias("luck"), chance.alias("chance"))
-        return tested.where(F.col("luck") < F.col("chance")).select(key, "attempt", "partner")
+    A row without location, time or vector has a null partner and is no candidate.
+    """
+    lacking = F.col(location).isNull() | F.col(moment).isNull() | F.col(vector).isNull()
+    whole = rows.where(~lacking)
+    index, cells, moments = context_index(whole, key, location, moment)
+    proposers = [
+        context_proposer(index, cells, key, context_temperature, seed, round_, exclude_self),
+        moment_racer(index, moments, key, context_temperature, seed, round_, exclude_self),
+    ]
+    own = whole.select(key, F.col(vector).alias("vec"))
+    theirs = whole.select(F.col(key).alias("partner"), F.col(vector).alias("partner_vec"))
+
+    def thinned(in_context: Proposer) -> Proposer:
+        def propose(pending: DataFrame, start: int, width: int) -> DataFrame:
+            pairs = in_context(pending, start, width).join(own, key).join(theirs, "partner")
+            chance = F.exp((batch_dot(F.col("vec"), F.col("partner_vec")) - 1.0) / F.lit(embedding_temperature))
+            luck = unit_draw(seed, round_, "similar", F.col(key), F.col("attempt"))
+            tested = pairs.select(key, "attempt", "partner", luck.alias("luck"), chance.alias("chance"))
+            return tested.where(F.col("luck") < F.col("chance")).select(key, "attempt", "partner")
+
+        return propose
+
+    near = context_log_weight(context_temperature)
+
+    def both(a: pd.DataFrame, b: pd.DataFrame) -> np.ndarray:
+        return near(a, b) + matrix(a["vec"]) @ matrix(b["vec"]).T / embedding_temperature
+
+    def finish(pending: DataFrame) -> DataFrame:
+        return race_over_all(
+            pending.join(own, key), index.join(own, key), key, [*PLACE, "vec"], both, seed, round_, exclude_self
+        )
 
-    return draw_until_accepted(index, key, propose, first)
+    stages = [(ROUNDS, thinned(proposers[0])), (RACE_ROUNDS, thinned(proposers[1]))]
+    found = draw_until_accepted(index, key, first, stages, finish)
+    return found.unionByName(_without_partner(rows, key, lacking))

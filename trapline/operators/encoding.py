@@ -4,22 +4,16 @@ first, select splits afterwards."""
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from trapline.operators.ordinals import with_sorted_ordinal
-from trapline.session import settle_small
 
 DETECTOR_CLASSES = 20
 
 
 def label_codes(df: DataFrame, column: str, code: str) -> DataFrame:
     """Sorted distinct values -> 0..C-1. Only the distinct values are numbered."""
-    values, small = settle_small(df.select(column).where(F.col(column).isNotNull()).distinct())
-    if small:
-        return F.broadcast(
-            values.select(column, (F.row_number().over(W.orderBy(column)) - 1).cast("bigint").alias(code))
-        )
+    values = df.select(column).where(F.col(column).isNotNull()).distinct()
     return with_sorted_ordinal(values, [column], code)
 
 

@@ -3,12 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from trapline.functions.hashing import digest, index_draw, unit_draw
-from trapline.operators.ordinals import hex_bucket, with_ordinal
-from trapline.session import settle_small
+from trapline.operators.ordinals import hex_bucket, with_ordinal, with_running_sum_by_range
 
 RUN_SEED = 2001
 
@@ -58,16 +56,17 @@ def positive_class(
 
     Rows of one scope (the table, or a location) are laid out class after class. A class is then a range
     of positions and "any other class" is the rest, so one hashed position and one equi-join do the draw.
-    The row itself is a candidate unless `exclude_self`. With no candidate the partner is null.
+    The row itself is a candidate unless `exclude_self`. With no candidate the partner is null, as it is for rows
+    without a class (or, with `same_location`, without a location), which are no candidates either.
     """
     scope = [location] if same_location else []
-    base = rows.select(key, label, *scope).where(F.col(label).isNotNull())
+    whole = F.col(label).isNotNull()
     if same_location:
-        base = base.where(F.col(location).isNotNull())
+        whole = whole & F.col(location).isNotNull()
+    base = rows.select(key, label, *scope).where(whole)
     placed = _numbered(base, [*scope, label], key, "pos")
     per_class = base.groupBy(*scope, label).agg(F.count("*").alias("n"))
     starts = class_layout(per_class, scope, label)
-    starts, _ = settle_small(starts)
     seen = (placed if exclude_self else base).join(starts, [*scope, label])
     alike = F.col("n") - F.lit(int(exclude_self))
     other = unit_draw(seed, round_, "noise", F.col(key)) < F.lit(float(noise))
@@ -86,19 +85,17 @@ def positive_class(
         *scope, (F.col("start") + F.col("pos")).alias("at"), F.col(key).alias("partner")
     )
     found = drawn.where(F.col("at").isNotNull()).join(index, [*scope, "at"]).select(key, "partner")
-    none = drawn.where(F.col("at").isNull()).select(key, F.lit(None).cast(rows.schema[key].dataType).alias("partner"))
-    return found.unionByName(none)
+    nobody = F.lit(None).cast(rows.schema[key].dataType).alias("partner")
+    none = drawn.where(F.col("at").isNull()).select(key, nobody)
+    return found.unionByName(none).unionByName(rows.where(~whole).select(key, nobody))
 
 
 def class_layout(per_class: DataFrame, scope: list[str], label: str) -> DataFrame:
     """Start position of every class inside its scope and the size of the scope: one row per class."""
-    ordered = W.partitionBy(*scope).orderBy(label)
-    whole = W.partitionBy(*scope)
-    return per_class.select(
-        *scope, label, "n",
-        (F.sum("n").over(ordered.rowsBetween(W.unboundedPreceding, W.currentRow)) - F.col("n")).alias("start"),
-        F.sum("n").over(whole).alias("scope_n"),
-    )
+    placed = with_running_sum_by_range(per_class, scope, [label], {"start": F.col("n")}, inclusive=False)
+    sizes = per_class.groupBy(*scope).agg(F.sum("n").alias("scope_n"))
+    joined = placed.join(sizes, scope) if scope else placed.withColumn("scope_n", sizes.scalar())
+    return joined.select(*scope, label, "n", "start", "scope_n")
 
 
 def resolve_positive(draws: DataFrame, index: DataFrame, position: str = "im_id", key: str = "img_path") -> DataFrame:
@@ -110,11 +107,17 @@ def resolve_positive(draws: DataFrame, index: DataFrame, position: str = "im_id"
 def positive_class_agreement(
     draws: DataFrame, rows: DataFrame, key: str = "img_path", label: str = "category_id"
 ) -> DataFrame:
-    """Share of drawn partners with the row's own class, and of rows that drew themselves."""
+    """Share of drawn partners with the row's own class, and of rows that drew themselves, over all draws.
+
+    A draw without a partner is counted, as neither; so is one of a row without a class as not of its class.
+    """
     own = rows.select(key, F.col(label).alias("own_label"))
     theirs = rows.select(F.col(key).alias("partner"), F.col(label).alias("partner_label"))
-    return draws.join(own, key).join(theirs, "partner").agg(
-        F.avg((F.col("own_label") == F.col("partner_label")).cast("double")).alias("class_agreement"),
-        F.avg((F.col(key) == F.col("partner")).cast("double")).alias("self_share"),
+    def share(same):
+        return F.avg(F.coalesce(same, F.lit(False)).cast("double"))
+
+    return draws.join(own, key).join(theirs, "partner", "left").agg(
+        share(F.col("own_label") == F.col("partner_label")).alias("class_agreement"),
+        share(F.col(key) == F.col("partner")).alias("self_share"),
         F.count("*").alias("n_draws"),
     )

@@ -220,6 +220,17 @@ def triplet_hard_score(
     )
 
 
+def cross_entropy_score(rows: DataFrame, logits: str = "logits", label: str = "label") -> DataFrame:
+    """Mean cross-entropy of logits (one per class) against the class number, per batch: (batch_id, n_rows, loss).
+
+    All built-in functions. Rows without a class, or with a class that has no logit, are counted with no loss.
+    """
+    top = F.array_max(logits)
+    total = F.aggregate(logits, F.lit(0.0), lambda acc, v: acc + F.exp(v - top))
+    loss = top + F.log(total) - F.get(logits, F.col(label).cast("int"))
+    return rows.groupBy("batch_id").agg(F.count("*").alias("n_rows"), F.avg(loss).alias("loss"))
+
+
 def alignment_score(rows: DataFrame) -> DataFrame:
     """Symmetric negative cosine between predictions and projections of both views, over all rows."""
     return rows.agg(

@@ -11,11 +11,15 @@ from trapline.session import cut
 
 
 def crops_with_images(manifest: DataFrame, images: DataFrame) -> DataFrame:
-    """Manifest rows with file, location, capture time and frame size of their image."""
-    frames = images.select(
-        F.col("id").alias("img_id"), "file_name", "location", "datetime", "img_width", "img_height"
-    )
-    return manifest.join(frames, "img_id").withColumn("time", time_of_day(F.col("datetime")))
+    """Manifest rows with file, location, capture time and frame size of their image.
+
+    A manifest made by `crop_manifest` has all of them and is not joined again.
+    """
+    wanted = ["file_name", "location", "datetime", "img_width", "img_height"]
+    if not set(wanted) <= set(manifest.columns):
+        frames = images.select(F.col("id").alias("img_id"), *wanted)
+        manifest = manifest.drop(*wanted).join(frames, "img_id")
+    return manifest.withColumn("time", time_of_day(F.col("datetime")))
 
 
 def context_table(
@@ -24,10 +28,11 @@ def context_table(
 ) -> DataFrame:
     """`crops` has a `species`; see `crops_with_images`.
 
+    A crop whose burst is longer than one list part has a row per part; `list_part = 0` gives every crop once.
     The crops and the bursts (one narrow row per image) feed several branches, so both are written out once.
     """
     crops = cut(crops)
     neighbours = bursts.burst_neighbours(bursts.burst_images(crops), gap_seconds)
     sizes = cut(bursts.with_burst_sizes(neighbours, bursts.boxes_per_image(crops)))
-    attached = bursts.attach_burst(crops, sizes, bursts.burst_lists(sizes, crops))
-    return sampling.stratified_sample(attached, rates, seed, train_sets)
+    flagged = sampling.stratified_sample(crops, rates, seed, train_sets)
+    return bursts.attach_burst(flagged, sizes, bursts.burst_lists(sizes, crops))

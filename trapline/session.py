@@ -1,4 +1,4 @@
-"""Session settings, the shared folder, and size-checked small tables."""
+"""Session settings and the shared folder."""
 
 from __future__ import annotations
 
@@ -6,10 +6,6 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-SMALL_ROWS = 100_000
-SMALL_BYTES = 32 * 1024 * 1024
 
 
 def configure(spark: SparkSession) -> SparkSession:
@@ -51,14 +47,3 @@ def cut(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def settle_small(df: DataFrame, max_rows: int = SMALL_ROWS) -> tuple[DataFrame, bool]:
-    """Fetch a table expected to be small, never more than `max_rows + 1` rows of it.
-
-    Within the bound the rows come back as a local table marked for broadcast, so the big side
-    of the join that follows is not shuffled. Beyond it the lazy table is returned unchanged and
-    the join shuffles.
-    """
-    table = df.limit(max_rows + 1).toArrow()
-    if table.num_rows > max_rows or table.nbytes > SMALL_BYTES:
-        return df, False
-    return F.broadcast(df.sparkSession.createDataFrame(table, schema=df.schema)), True
