@@ -13,7 +13,7 @@ from trapline.operators.positives import RUN_SEED
 
 DIM = 64
 EMA_KEYS = 100
-HIDDEN, OUT = 16, 8
+HIDDEN, OUT, CLASSES = 16, 8, 10
 QUICK_ITER = 50
 
 
@@ -21,13 +21,13 @@ def embeddings(spark, d):
     return fx.table(spark, d, "embeddings")
 
 
-def spread(column, step: int = 8):
-    """Every 8th entry of a vector as a column."""
-    return [near(F.col(column)[i], f"v{i}") for i in range(0, DIM, step)]
+def spread(column):
+    """Every entry of a vector as a column."""
+    return [near(F.col(column)[i], f"v{i}") for i in range(DIM)]
 
 
-def spread_sql(expr: str, step: int = 8) -> str:
-    return ", ".join(f"floor(({expr}[{i + 1}]) * 1e6 + 0.5e0) / 1e6 as v{i}" for i in range(0, DIM, step))
+def spread_sql(expr: str) -> str:
+    return ", ".join(f"floor(({expr}[{i + 1}]) * 1e6 + 0.5e0) / 1e6 as v{i}" for i in range(DIM))
 
 
 def unit_rows(spark, d):
@@ -41,28 +41,33 @@ def distances(spark, d):
     )
 
 
-def summary(rows, column):
-    """Smallest, largest and mean entry of every matrix row, and its length."""
-    total = F.aggregate(column, F.lit(0.0), lambda acc, v: acc + v)
-    return rows.select(
-        "batch_id", "pos", F.size(column).cast("bigint").alias("entries"), near(F.array_min(column), "lowest"),
-        near(F.array_max(column), "highest"), near(total / F.size(column), "mean"),
-    )
+def entries(rows, column):
+    """Every entry of a matrix, with its row and column."""
+    long = rows.select("batch_id", "pos", F.posexplode(column).alias("other", "v"))
+    return long.select("batch_id", "pos", whole("other"), near(F.col("v"), "v"))
 
 
 def cosine_rows(spark, d):
-    return summary(scoring.pairwise_cosine(fx.pairs(spark, d)), "cosines")
+    return entries(scoring.pairwise_cosine(fx.pairs(spark, d)), "cosines")
 
 
 def softmax_rows(spark, d):
     rows = scoring.pairwise_cosine(fx.pairs(spark, d))
-    weights = rows.withColumn("w", scoring.softmax_weights(F.col("cosines"), scoring.TEMPERATURE))
-    total = F.aggregate("w", F.lit(0.0), lambda acc, v: acc + v)
-    return weights.select(
-        "batch_id", "pos", near(F.array_min("w"), "lowest"), near(F.array_max("w"), "highest"), near(total, "total")
+    return entries(rows.withColumn("w", scoring.softmax_weights(F.col("cosines"), scoring.TEMPERATURE)), "w")
+
+
+def class_logits(spark, d):
+    """Ten logits per vector, its first ten entries, and its label; a label of every 50th row is missing."""
+    return embeddings(spark, d).select(
+        F.floor(F.col("vec_id") / fx.BATCH).alias("batch_id"), F.slice(F.col("embedding").cast("array<double>"), 1, CLASSES).alias("logits"),
+        F.when(F.col("vec_id") % 50 != 7, F.pmod(F.col("vec_id"), F.lit(CLASSES))).alias("label"),
     )
 
 
+def cross_entropy(spark, d):
+    return scoring.cross_entropy_score(class_logits(spark, d)).select("batch_id", whole("n_rows"), near(F.col("loss"), "loss"))
+
+
 def context_rows(spark, d):
     items = encoding.location_encode(features.time_normalize(features.year_scale(fx.items(spark, d))))
     cyclic = [
@@ -75,7 +80,7 @@ def context_rows(spark, d):
 
 
 def context_distances(spark, d):
-    return summary(scoring.pairwise_context_distance(context_rows(spark, d)), "distances")
+    return entries(scoring.pairwise_context_distance(context_rows(spark, d)), "distances")
 
 
 def per_batch(scores):
@@ -112,17 +117,23 @@ def meter_values(spark, d):
     )
 
 
-def head_weights():
+def head_weights(norm=None):
     """A rule instead of trained weights: w[i, j] = sin(i + 2 j) / 8."""
 
     def w(n, m):
         return np.sin(np.arange(n)[:, None] + 2.0 * np.arange(m)[None, :]) / 8.0
 
-    return inference.Head(w(HIDDEN, DIM), np.zeros(HIDDEN), w(OUT, HIDDEN), np.zeros(OUT))
+    return inference.Head(w(HIDDEN, DIM), np.zeros(HIDDEN), w(OUT, HIDDEN), np.zeros(OUT), norm)
+
 
+def norm_layer():
+    """Hidden unit i: mean i / 100, variance 1 + i, scale 2, shift (i - 8) / 10."""
+    i = np.arange(HIDDEN, dtype=float)
+    return inference.BatchNorm(i / 100, 1 + i, np.full(HIDDEN, 2.0), (i - 8) / 10)
 
-def projected(spark, d):
-    out = inference.projection_head(embeddings(spark, d), head_weights(), "embedding", ["vec_id"])
+
+def projected(spark, d, norm=None):
+    out = inference.projection_head(embeddings(spark, d), head_weights(norm), "embedding", ["vec_id"])
     return out.select("vec_id", *[near(F.col("emb")[i].cast("double"), f"v{i}", 4) for i in range(OUT)])
 
 
@@ -132,7 +143,7 @@ def extracted(spark, d):
         embeddings(spark, d), lambda x: x[:, 0::2] + x[:, 1::2], DIM // 2, "embedding", ["vec_id", "label"]
     )
     return halves.select(
-        "vec_id", "label", *[near(F.col("features")[i].cast("double"), f"v{i}", 4) for i in range(0, DIM // 2, 4)]
+        "vec_id", "label", *[near(F.col("features")[i].cast("double"), f"v{i}", 4) for i in range(DIM // 2)]
     )
 
 
@@ -149,8 +160,8 @@ def split_features(spark, d):
 def standardized(spark, d):
     from pyspark.ml.functions import vector_to_array
 
-    _, test = probe.standardize(*split_features(spark, d))
-    return test.withColumn("z", vector_to_array("scaled")).select("id", *spread("z"))
+    train, test = probe.standardize(*split_features(spark, d))
+    return train.unionByName(test).withColumn("z", vector_to_array("scaled")).select("id", *spread("z"))
 
 
 def folds(spark, d):
@@ -192,8 +203,7 @@ def cos(a: str, b: str) -> str:
 _MATRIX = f"""{fx.PAIRS_SQL}, cells as (
   select a.batch_id, a.pos, b.pos as other, {cos('a.x1', 'b.x1')} as v from pairs a join pairs b on a.batch_id = b.batch_id)"""
 
-_SUMMARY = """select batch_id, pos, count(*) as entries, floor(min(v) * 1e6 + 0.5e0) / 1e6 as lowest,
-  floor(max(v) * 1e6 + 0.5e0) / 1e6 as highest, floor((sum(v) / count(*)) * 1e6 + 0.5e0) / 1e6 as mean"""
+_ENTRIES = "select batch_id, pos, other, floor(v * 1e6 + 0.5e0) / 1e6 as v"
 
 _CONTEXT = f"""{fx.ITEMS_SQL}, ends as (select min(year(datetime)) as lo, max(year(datetime)) as hi from items),
 locs as (select location, row_number() over (order by location) - 1 as loc_id from (select distinct location from items)),
@@ -201,7 +211,7 @@ raw as (select vec_id // {fx.BATCH} as batch_id, vec_id % {fx.BATCH} as pos, loc
   case when hi = lo then 0e0 else (year(datetime) - lo) / (hi - lo)::double end as y,
   (dayofyear(make_date(2020, month(datetime), day(datetime))) - 1) / 366e0 as d, hour(datetime) / 23e0 as h,
   minute(datetime) / 59e0 as m, floor(second(datetime)) / 59e0 as s from items join locs using (location), ends),
-cells as (select a.batch_id, a.pos, sqrt(pow(a.y - b.y, 2) + pow(sin(pi() * (a.d - b.d)), 2) + pow(sin(pi() * (a.h - b.h)), 2)
+cells as (select a.batch_id, a.pos, b.pos as other, sqrt(pow(a.y - b.y, 2) + pow(sin(pi() * (a.d - b.d)), 2) + pow(sin(pi() * (a.h - b.h)), 2)
   + pow(sin(pi() * (a.m - b.m)), 2) + pow(sin(pi() * (a.s - b.s)), 2)
   + case when a.loc_id <> b.loc_id then 2 else 0 end) as v from raw a join raw b on a.batch_id = b.batch_id)"""
 
@@ -247,14 +257,21 @@ CHECKS = {
         distances,
         f"""{fx.PAIRS_SQL} select batch_id, pos, floor(((1 - {cos('x1', 'x2')}) / 2) * 1e6 + 0.5e0) / 1e6 as distance from pairs""",
     ),
-    "pairwise_cosine": (cosine_rows, f"{_MATRIX} {_SUMMARY} from cells group by batch_id, pos"),
+    "pairwise_cosine": (cosine_rows, f"{_MATRIX} {_ENTRIES} from cells"),
     "softmax_weights": (
         softmax_rows,
-        f"""{_MATRIX}, soft as (select batch_id, pos, exp(v / 0.5e0) / sum(exp(v / 0.5e0)) over (partition by batch_id, pos) as v from cells)
-        select batch_id, pos, floor(min(v) * 1e6 + 0.5e0) / 1e6 as lowest, floor(max(v) * 1e6 + 0.5e0) / 1e6 as highest,
-               floor(sum(v) * 1e6 + 0.5e0) / 1e6 as total from soft group by batch_id, pos""",
+        f"""{_MATRIX}, soft as (select batch_id, pos, other, exp(v / 0.5e0) / sum(exp(v / 0.5e0)) over (partition by batch_id, pos) as v from cells)
+        {_ENTRIES} from soft""",
+    ),
+    "pairwise_context_distance": (context_distances, f"{_CONTEXT} {_ENTRIES} from cells"),
+    "cross_entropy_score": (
+        cross_entropy,
+        f"""with r as (select vec_id // {fx.BATCH} as batch_id, vec_id, case when vec_id % 50 <> 7 then vec_id % {CLASSES} end as label,
+            (embedding::double[])[1:{CLASSES}] as logits from embeddings),
+        e as (select batch_id, vec_id, label, generate_subscripts(logits, 1) - 1 as k, unnest(logits) as v from r),
+        l as (select batch_id, vec_id, ln(sum(exp(v))) - max(case when k = label then v end) as loss from e group by batch_id, vec_id)
+        select batch_id, count(*) as n_rows, floor(avg(loss) * 1e6 + 0.5e0) / 1e6 as loss from l group by batch_id""",
     ),
-    "pairwise_context_distance": (context_distances, f"{_CONTEXT} {_SUMMARY} from cells group by batch_id, pos"),
     "ema_memory": (
         ema,
         f"""with recursive u as (select vec_id % {EMA_KEYS} as id, vec_id // {EMA_KEYS} as step, embedding::double[] as x from embeddings),
@@ -311,17 +328,25 @@ CHECKS = {
             lambda j: {_w('i', 'j')} * h[j + 1]))) as e from hid)
         select vec_id, {', '.join(f"floor((e[{i + 1}]::float::double) * 1e4 + 0.5e0) / 1e4 as v{i}" for i in range(OUT))} from outs""",
     ),
+    "projection_head_normalized": (
+        lambda s, d: projected(s, d, norm_layer()),
+        f"""with hid as (select vec_id, list_transform(range({HIDDEN}), lambda i: greatest(0e0, (list_sum(list_transform(range({DIM}),
+            lambda j: {_w('i', 'j')} * embedding[j + 1]::double)) - i / 100e0) / sqrt(1e0 + i + 1e-5) * 2e0 + (i - 8) / 10e0)) as h from embeddings),
+        outs as (select vec_id, list_transform(range({OUT}), lambda i: list_sum(list_transform(range({HIDDEN}),
+            lambda j: {_w('i', 'j')} * h[j + 1]))) as e from hid)
+        select vec_id, {', '.join(f"floor((e[{i + 1}]::float::double) * 1e4 + 0.5e0) / 1e4 as v{i}" for i in range(OUT))} from outs""",
+    ),
     "extract_features": (
         extracted,
         f"""select vec_id, label, {', '.join(
             f"floor(((embedding[{2 * i + 1}]::double + embedding[{2 * i + 2}]::double)::float::double) * 1e4 + 0.5e0) / 1e4 as v{i}"
-            for i in range(0, DIM // 2, 4))} from embeddings""",
+            for i in range(DIM // 2))} from embeddings""",
     ),
     "standardize": (
         standardized,
         f"""with long as (select vec_id, generate_subscripts(embedding, 1) as k, unnest(embedding)::double as v from embeddings),
         stats as (select k, avg(v) as mu, stddev_samp(v) as sd from long where vec_id % 10 >= 2 group by k),
-        z as (select vec_id, list((v - mu) / sd order by k) as x from long join stats using (k) where vec_id % 10 < 2 group by vec_id)
+        z as (select vec_id, list((v - mu) / sd order by k) as x from long join stats using (k) group by vec_id)
         select vec_id as id, {spread_sql('x')} from z""",
     ),
     "stratified_folds": (
