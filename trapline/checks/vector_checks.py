@@ -14,7 +14,6 @@ from trapline.operators.positives import RUN_SEED
 DIM = 64
 EMA_KEYS = 100
 HIDDEN, OUT, CLASSES = 16, 8, 10
-QUICK_ITER = 50
 
 
 def embeddings(spark, d):
@@ -171,26 +170,55 @@ def folds(spark, d):
 
 def probe_once(spark, d):
     train, test = split_features(spark, d)
-    scores = probe.linear_probe(train, test, max_iter=QUICK_ITER)
-    return spark.createDataFrame([(scores["test_acc"], scores["test_acc_bal"])], "test_acc double, test_acc_bal double")
+    scores = probe.linear_probe(train, test)
+    rows = [(100, name, float(value)) for name, value in scores.items()]
+    return comparable(spark.createDataFrame(rows, "split_pct int, metric string, value double"))
+
+
+def comparable(scores):
+    """Counts and whether the fit converged as they are; accuracies, which SQL cannot fit, as whether they are percent
+    values above chance of one in a hundred; the chosen strength as whether it is of the grid."""
+    above = F.when(F.col("metric").startswith("test_acc"), F.col("value").between(1.0, 100.0)).when(
+        F.col("metric") == "c", F.col("value").isin(*probe.C_GRID)
+    )
+    return scores.withColumns({"value": F.coalesce(above.cast("double"), F.col("value")), "split_pct": F.col("split_pct").cast("bigint")})
 
 
 def probe_grid(spark, d):
     train, _ = split_features(spark, d)
     train, _ = encoding.joint_label_encode(train, train, "label", "y")
     x, _ = probe.prepare(train, train)
-    best, means = probe.probe_grid_search(x.select("id", "x", "y"), "id", max_iter=QUICK_ITER)
+    best, means = probe.probe_grid_search(x.select("id", "x", "y"), "id")
+    top = max(means.values())
     return spark.createDataFrame(
-        [(c, mean, c == best) for c, mean in means.items()], "c double, accuracy double, is_best boolean"
+        [(c, 0.0 <= mean <= 100.0, c == best, c == best and mean == top) for c, mean in means.items()],
+        "c double, is_percent boolean, is_best boolean, has_top boolean",
+    ).groupBy().agg(
+        F.count("*").alias("n_tried"), F.min("c").alias("least"), F.max("c").alias("most"), F.bool_and("is_percent").alias("all_percent"),
+        F.count_if("is_best").alias("n_best"), F.count_if("has_top").alias("n_top"),
     )
 
 
 def probe_budgets(spark, d):
-    return probe.probe_by_label_budget(*split_features(spark, d), max_iter=QUICK_ITER)
+    return comparable(probe.probe_by_label_budget(*split_features(spark, d), grid_search=True))
 
 
 def probe_targets(spark, d):
-    return probe.probe_by_target(*split_features(spark, d), targets=["label", "location"], max_iter=QUICK_ITER)
+    return comparable(probe.probe_by_target(*split_features(spark, d), targets=["label", "location"], grid_search=True))
+
+
+def probe_sql(target: str, budgets: dict[int, str]) -> str:
+    """Counts of every budget; `budgets` has the condition of its training rows."""
+    parts = [
+        f"""select {percent}::bigint as split_pct, unnest(['n_train', 'n_test', 'n_classes', 'converged', 'test_acc', 'test_acc_bal', 'c']) as metric,
+        unnest([count(*) filter ({rule} and vec_id % 10 >= 2)::double, count(*) filter (vec_id % 10 < 2)::double,
+                count(distinct {target}) filter ({rule} or vec_id % 10 < 2)::double, 1e0, 1e0, 1e0, 1e0]) as value from items"""
+        for percent, rule in budgets.items()
+    ]
+    return " union all ".join(parts)
+
+
+PROBE_BUDGETS = {1: "vec_id % 20 = 2", 10: "vec_id % 4 = 3", 100: "true"}
 
 
 _COS = "list_dot_product({a}, {b}) / greatest(sqrt(list_dot_product({a}, {a})) * sqrt(list_dot_product({b}, {b})), 1e-8)"
@@ -377,8 +405,16 @@ CHECKS = {
               window p as (partition by name order by step rows unbounded preceding))
         select name, step, floor((total / count) * 1e6 + 0.5e0) / 1e6 as avg, count::bigint as count from w""",
     ),
-    "linear_probe": (probe_once, None),
-    "probe_grid_search": (probe_grid, None),
-    "probe_by_label_budget": (probe_budgets, None),
-    "probe_by_target": (probe_targets, None),
+    "linear_probe": (probe_once, f"{fx.ITEMS_SQL} {probe_sql('label', {100: 'true'})}"),
+    "probe_grid_search": (
+        probe_grid,
+        f"""select {len(probe.C_GRID)}::bigint as n_tried, {min(probe.C_GRID)}::double as least, {max(probe.C_GRID)}::double as most,
+        true as all_percent, 1::bigint as n_best, 1::bigint as n_top""",
+    ),
+    "probe_by_label_budget": (probe_budgets, f"{fx.ITEMS_SQL} {probe_sql('label', PROBE_BUDGETS)}"),
+    "probe_by_target": (
+        probe_targets,
+        f"""{fx.ITEMS_SQL} select *, 'label' as target from ({probe_sql('label', PROBE_BUDGETS)})
+        union all select *, 'location' as target from ({probe_sql('location', PROBE_BUDGETS)})""",
+    ),
 }
