@@ -88,6 +88,18 @@ matched as (select a.id, a.image_id as img_id, c.img_name, c.img_path, c.area
             from cut a left join crops c on a.image_id = c.img_id and a.x1 = c.x1 and a.y1 = c.y1
              and a.width = c.width and a.height = c.height)"""
 
+def manifest_of_shares(spark, d):
+    """Boxes as shares of the frame, back to pixels and cropped."""
+    images = fx.images(spark, d)
+    frames = images.select(F.col("id").alias("image_id"), "img_width", "img_height")
+    w, h, b = F.col("img_width"), F.col("img_height"), F.col("bbox")
+    shares = fx.annotations(spark, d).join(frames, "image_id", "left").withColumn(
+        "bbox", F.when(b.isNotNull(), F.array(b[0] / w, b[1] / h, b[2] / w, b[3] / h))
+    )
+    rows = curation.manifest_of_shares(shares.drop("img_width", "img_height"), images, fx.categories(spark, d))
+    return rows.select("ann_id", "img_id", whole("num_box"), "species", *[whole(c) for c in ("x1", "y1", "width", "height")])
+
+
 CHECKS = {
     "bbox_ratio_to_px": (
         bbox_ratio_to_px,
@@ -192,6 +204,17 @@ CHECKS = {
         y1::bigint as y1, y2::bigint as y2, width::bigint as width, height::bigint as height, area::bigint as area,
         least(x2, img_width) <= x1 or least(y2, img_height) <= y1 as crop_is_empty from crops""",
     ),
+    "manifest_of_shares": (
+        manifest_of_shares,
+        f"""{fx.CURATION_SQL}, shares as (
+          select a.*, i.img_width, i.img_height, bx / img_width as rx, byy / img_height as ry, bw / img_width as rw, bh / img_height as rh
+          from annotations a join images i on i.id = a.image_id where has_box),
+        px as (select *, rx * img_width as px, ry * img_height as py, rw * img_width as pw, rh * img_height as ph from shares),
+        numbered as (select *, row_number() over (partition by image_id order by id) - 1 as num_box from px where pw * ph >= 4096)
+        select n.id as ann_id, image_id as img_id, num_box, c.name as species, trunc(px)::bigint as x1, trunc(py)::bigint as y1,
+               trunc(pw)::bigint as width, trunc(ph)::bigint as height
+        from numbered n join categories c on c.id = n.category_id""",
+    ),
     "intersect_ids": (
         lambda s, d: curation.intersect_ids(
             fx.images(s, d), fx.annotations(s, d).withColumn("id", F.col("image_id")), "id"

@@ -160,6 +160,16 @@ def crop_manifest(
     )
 
 
+def manifest_of_shares(
+    annotations: DataFrame, images: DataFrame, categories: DataFrame, threshold: float = boxes.MIN_AREA
+) -> DataFrame:
+    """The crop manifest of a collection whose boxes are shares of the image: pixels first, then the minimum area.
+
+    An absent box is the zero box, which no positive threshold keeps; a given area is replaced by that of the pixels.
+    """
+    return crop_manifest(bbox_ratio_to_px(annotations, images), images, categories, threshold)
+
+
 def manifest_cast_area(manifest: DataFrame) -> DataFrame:
     sizes = {c: F.col(c).cast("int") for c in ("x1", "x2", "y1", "y2", "width", "height")}
     return manifest.withColumns(sizes).withColumn("area", F.col("width").cast("bigint") * F.col("height"))
