@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from trapline.llm.tokens import END_ID, encoder
+from trapline.llm.tokens import CHUNK_BYTES, END_ID, encoder
 from trapline.llm.words import chunks
 
 CAPACITY = 4096
@@ -168,7 +168,7 @@ def pack(
         window = None
         for batch in batches:
             window = window or _Window(batch.column(0).type, with_ids, capacity)
-            for part in chunks(batch, text):
+            for part in chunks(batch, text, CHUNK_BYTES):
                 window.add(part.column(0).to_pylist(), *encoder(vocabulary).encode_documents(part.column(1), end_id))
                 if window.tokens >= window_tokens:
                     yield window.pack().rename_columns(names)

@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trapline.llm.tokens import END_ID, encoder
+from trapline.llm.tokens import CHUNK_BYTES, END_ID, encoder
 from trapline.llm.words import chunks, mix
 from trapline.operators.ordinals import with_running_sum
 from trapline.session import cut, shared_path
@@ -114,7 +114,7 @@ def sequences(
 
         for batch in batches:
             key_type = batch.column(0).type
-            for chunk in chunks(batch, text):
+            for chunk in chunks(batch, text, CHUNK_BYTES):
                 ids, at = encoder(vocabulary).encode_documents(chunk.column(1), end_id)
                 owners += [(k, int(s) + len(rest)) for k, s in zip(chunk.column(0).to_pylist(), at[:-1])]
                 rest = np.concatenate([rest, ids])

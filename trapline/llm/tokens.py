@@ -17,6 +17,7 @@ import pyarrow.compute as pc
 VOCABULARY = "word_bpe_49k.json"
 END_ID = 2
 REMEMBERED = 400_000
+CHUNK_BYTES = 4 << 20  # larger than elsewhere: the more text at a time, the fewer words are distinct
 PLAIN = "^[A-Za-zÀ-ÖØ-öø-ÿ]+[.,]?$"
 
 _encoders: dict[str, WordEncoder] = {}
