@@ -155,7 +155,7 @@ def test_suffix_array_and_common_prefixes(spark):
     docs += [docs[0], docs[1][2:]]
     rows = [(d, i, x) for d, line in enumerate(docs) for i, x in enumerate(line)]
     lines = spark.createDataFrame(rows, "doc long, idx int, line long")
-    array, rounds = line_runs.suffix_array(lines)
+    array = line_runs.suffix_array(lines)
     placed = {(r.doc, r.idx): r.rank for r in array.collect()}
     order = sorted(placed, key=placed.get)
     assert sorted(placed.values()) == list(range(len(rows)))
@@ -168,7 +168,7 @@ def test_suffix_array_and_common_prefixes(spark):
             n += 1
         return n
 
-    found = {(r.doc, r.idx): r.lcp for r in line_runs.common_prefixes(array, rounds, lines).collect()}
+    found = {(r.doc, r.idx): r.lcp for r in line_runs.common_prefixes(array).collect()}
     assert [found[k] for k in order] == [0] + [common(a, b) for a, b in zip(suffix, suffix[1:])]
 
 

@@ -4,12 +4,13 @@ A document is the sequence of its lines with words; equal lines have equal numbe
 nowhere else share no run with any other and take no part. The rest get ranks by prefix doubling: round h orders
 suffixes by their first 2**h lines, from the ranks of the round before at this place and 2**h lines further on. Ranks
 come from range partitions and their sizes, so no task holds a group. The rounds end when no two suffixes have equal
-ranks, or none that are equal can still grow.
+ranks; every suffix keeps the ranks it had in the rounds where it was equal to others.
 
-Neighbours in the finished array have their common prefix measured by the rounds' ranks, longest first. Where
-MIN_LINES or more lines are common, neighbours belong to one interval: all places of one repeated run, the maximal
-run being as long as such places follow each other. The first place of an interval in corpus order (id, then line)
-stays, and the lines of all others are deleted if they have MIN_WORDS words or more.
+These ranks are the intervals of common prefixes: suffixes that had the same rank in round h stand next to each other
+in the array and have 2**h lines or more in common, and only they. So intervals of any length follow from one or two
+of them, and the common prefix of neighbours from a walk down the rounds. All places of one interval of MIN_LINES
+lines hold a repeated run, which goes on as long as such places follow each other. The first place of an interval in
+corpus order (id, then line) stays, and the lines of all others are deleted if they have MIN_WORDS words or more.
 
 A null text is empty, has no lines and stays null. Blank lines are never compared nor deleted. Rows that are equal in
 id and text are one document, reported as often as they are there; rows with equal ids and different texts are
@@ -18,8 +19,12 @@ different documents. An empty table gives no rows; other columns are kept.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, DataType, IntegerType, LongType, StructField, StructType
 
 from trapline.operators.ordinals import with_running_sum
 from trapline.session import cut
@@ -66,23 +71,26 @@ def _places(rows: DataFrame, group: list[str], order: list[str]) -> DataFrame:
     return with_running_sum(kept, group, F.col("_range"), order, {"before": F.col("alike")}, inclusive=False).drop("_range")
 
 
-def suffix_array(suffixes: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
-    """(doc, idx, rank), ranks from 0, and per round h the (doc, idx, rank) whose first 2**h lines occur again.
+def suffix_array(suffixes: DataFrame) -> DataFrame:
+    """(doc, idx, rank, firsts): ranks from 0, and for every round h in which the suffix was equal to others in its
+    first 2**h lines, the first rank of these suffixes.
 
     `suffixes` has (doc, idx, line). A rank is the number of suffixes before; as long as suffixes are `alike`, they
     share it, and one whose rank is its own keeps it. Where the compared lines end (with the document, or before a
     line that occurs once) a suffix goes first in its group and is like no other.
     """
     first = suffixes.select("doc", "idx", "line")
-    ranks = cut(first.join(_places(first, [], ["line"]), "line").select("doc", "idx", F.col("before").alias("rank"), "alike"))
-    rounds, width = [], 1
+    none = F.array().cast("array<bigint>")
+    placed = first.join(_places(first, [], ["line"]), "line")
+    ranks, width = cut(placed.select("doc", "idx", F.col("before").alias("rank"), "alike", none.alias("firsts"))), 1
     while True:
-        equal = ranks.where(F.col("alike") > 1).select("doc", "idx", "rank")
+        equal = ranks.where(F.col("alike") > 1)
         if equal.isEmpty():
-            return ranks.select("doc", "idx", "rank"), rounds
-        rounds.append(equal)
+            return ranks.select("doc", "idx", "rank", "firsts")
         ahead = ranks.select("doc", (F.col("idx") - width).alias("idx"), F.col("rank").alias("next"))
-        pairs = equal.join(ahead, ["doc", "idx"], "left")
+        pairs = equal.select("doc", "idx", "rank", F.array_append("firsts", F.col("rank")).alias("firsts")).join(
+            ahead.where(F.col("idx") >= 0), ["doc", "idx"], "left"
+        )
         ends = F.col("next").isNull()
         keyed = pairs.withColumns(
             {"next": F.coalesce("next", F.lit(-1)), "end_doc": F.when(ends, F.col("doc")).otherwise(0),
@@ -90,48 +98,62 @@ def suffix_array(suffixes: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
         )
         by = ["next", "end_doc", "end_idx"]
         again = keyed.join(_places(keyed, ["rank"], by), ["rank", *by]).select(
-            "doc", "idx", (F.col("rank") + F.col("before")).alias("rank"), "alike"
+            "doc", "idx", (F.col("rank") + F.col("before")).alias("rank"), "alike", "firsts"
         )
         ranks = cut(again.unionByName(ranks.where(F.col("alike") == 1)))
         width *= 2
 
 
-def common_prefixes(array: DataFrame, rounds: list[DataFrame], lines: DataFrame) -> DataFrame:
-    """(doc, idx, rank, lcp): how many lines each suffix has in common with the one before it in the array."""
-    own = cut(array.join(lines.select("doc", "idx", "line"), ["doc", "idx"]))
-    before = own.select(
-        (F.col("rank") + 1).alias("rank"), F.col("doc").alias("b_doc"), F.col("idx").alias("b_idx"), F.col("line").alias("b_line")
-    )
-    near = own.join(before, "rank").where(F.col("line") == F.col("b_line")).select(
-        "doc", "idx", "b_doc", "b_idx", F.lit(0).alias("lcp")
-    )
-    for h in reversed(range(len(rounds))):
-        one = rounds[h].select("doc", F.col("idx").alias("_i"), F.col("rank").alias("_r"))
-        two = rounds[h].select(F.col("doc").alias("b_doc"), F.col("idx").alias("_j"), F.col("rank").alias("_s"))
-        near = (
-            near.withColumns({"_i": F.col("idx") + F.col("lcp"), "_j": F.col("b_idx") + F.col("lcp")})
+def common_prefixes(array: DataFrame) -> DataFrame:
+    """(doc, idx, rank, lcp): how many lines each suffix has in common with the one before it in the array.
+
+    Both were equal in round h if the suffix is not the first of its interval there. The longest such round gives the
+    bulk, and a walk down the rounds, at the places behind, the rest.
+    """
+    rounds = array.agg(F.max(F.size("firsts"))).first()[0] or 0
+    top = F.size(F.filter("firsts", lambda f: f < F.col("rank")))
+    near = array.where(top > 0).select("doc", "idx", "rank", top.alias("top"))
+    before = array.select((F.col("rank") + 1).alias("rank"), F.col("doc").alias("b_doc"), F.col("idx").alias("b_idx"))
+    near = near.join(before, "rank").withColumn("lcp", F.pow(2, F.col("top") - 1).cast("int"))
+    for h in reversed(range(rounds - 1)):
+        there = array.where(F.size("firsts") > h)
+        one = there.select("doc", F.col("idx").alias("_i"), F.col("firsts")[h].alias("_r"))
+        two = there.select(F.col("doc").alias("b_doc"), F.col("idx").alias("_j"), F.col("firsts")[h].alias("_s"))
+        further = F.col("top") - 1 > h
+        moved = (
+            near.where(further).withColumns({"_i": F.col("idx") + F.col("lcp"), "_j": F.col("b_idx") + F.col("lcp")})
             .join(one, ["doc", "_i"], "left").join(two, ["b_doc", "_j"], "left")
             .withColumn("lcp", F.col("lcp") + F.when(F.col("_r") == F.col("_s"), 1 << h).otherwise(0))
-            .select("doc", "idx", "b_doc", "b_idx", "lcp")
+            .select(*near.columns)
         )
-        near = cut(near) if h % 2 == 0 else near
-    return own.select("doc", "idx", "rank").join(near.select("doc", "idx", "lcp"), ["doc", "idx"], "left").withColumn(
-        "lcp", F.coalesce("lcp", F.lit(0))
-    )
+        near = cut(moved.unionByName(near.where(~further)))
+    found = near.select("doc", "idx", "lcp")
+    return array.select("doc", "idx", "rank").join(found, ["doc", "idx"], "left").withColumn("lcp", F.coalesce("lcp", F.lit(0)))
+
+
+def intervals(array: DataFrame, lines: int) -> DataFrame:
+    """(doc, idx, one, two): suffixes with the same `one` and `two` have their first `lines` lines in common.
+
+    A length that is no power of two is covered by two that are, one at its beginning and one at its end.
+    """
+    h = lines.bit_length() - 1
+    there = array.where(F.size("firsts") > h).select("doc", "idx", F.col("firsts")[h].alias("one"))
+    rest = lines - (1 << h)
+    if not rest:
+        return there.withColumn("two", F.lit(0).cast("bigint"))
+    ends = there.select("doc", (F.col("idx") - rest).alias("idx"), F.col("one").alias("two"))
+    return there.join(ends, ["doc", "idx"])
 
 
 def repeated_runs(docs: DataFrame, key: str = "doc_id", text: str = "text", min_lines: int = MIN_LINES) -> DataFrame:
-    """(doc, id, idx, ahead, words, rank, lcp, interval, n_places, first): every place where a run of `min_lines` lines
-    or more stands that occurs again; `first` marks the run's first place in corpus order."""
+    """(doc, id, idx, ahead, words, one, two, n_places, first): every place where a run of `min_lines` lines stands
+    that occurs again, with its interval (one, two); `first` marks the interval's first place in corpus order."""
     lines = cut(repeated_lines(line_sequences(docs, key, text, min_lines)))
-    array, rounds = suffix_array(lines)
-    prefixes = common_prefixes(array, rounds, lines).repartitionByRange("rank").withColumn("_range", F.spark_partition_id())
-    starts = {"interval": (F.col("lcp") < min_lines).cast("bigint")}
-    parted = with_running_sum(cut(prefixes), [], F.col("_range"), ["rank"], starts).drop("_range")
-    places = cut(parted.join(lines.drop("line"), ["doc", "idx"]))
+    found = intervals(suffix_array(lines), min_lines)
+    places = cut(found.join(lines.drop("line"), ["doc", "idx"]))
     order = F.struct("id", "doc", "idx")
-    firsts = places.groupBy("interval").agg(F.min(order).alias("_least"), F.count("*").alias("n_places"))
-    again = places.join(firsts.where(F.col("n_places") > 1), "interval")
+    firsts = places.groupBy("one", "two").agg(F.min(order).alias("_least"), F.count("*").alias("n_places"))
+    again = places.join(firsts.where(F.col("n_places") > 1), ["one", "two"])
     return again.withColumn("first", order.eqNullSafe(F.col("_least"))).drop("_least")
 
 
@@ -143,18 +165,52 @@ def drop_repeated_lines(
     runs = repeated_runs(docs, key, text, min_lines)
     later = runs.where(~F.col("first") & (F.col("words") >= min_words)).select(F.col("doc").alias("_doc"), "ahead")
     gone = later.groupBy("_doc").agg(F.array_distinct(F.flatten(F.collect_list("ahead"))).alias("_gone"))
-    marked = docs.withColumn("_doc", document_number(key, text)).join(cut(gone), "_doc", "left")
-    return marked.withColumns(
-        {text: F.when(F.col("_gone").isNull(), F.col(text)).otherwise(without_lines(F.col(text), F.col("_gone"))),
-         "n_removed": F.coalesce(F.size("_gone"), F.lit(0))}
-    ).drop("_doc", "_gone")
-
-
-def without_lines(text: Column, gone: Column) -> Column:
-    """The text without the lines at the given places, from 0."""
-    lines = F.split(text, "\n")
-    kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), gone)
-    return F.array_join(F.transform(kept, lambda i: F.get(lines, i)), "\n")
+    sent = docs.withColumn("_doc", document_number(key, text)).mapInArrow(
+        _compress(docs.columns.index(text)), StructType([*_with_type(docs, text, BinaryType()), StructField("_doc", LongType())])
+    )
+    # What is deleted grows with the corpus, so this join is by a shuffle at every size, never by a broadcast.
+    joined = sent.join(cut(gone).hint("merge"), "_doc", "left").select(*docs.columns, "_gone")
+    result = StructType([*_with_type(docs, text, docs.schema[text].dataType), StructField("n_removed", IntegerType())])
+    return joined.mapInArrow(_without_lines(docs.columns.index(text)), result)
+
+
+def _with_type(docs: DataFrame, column: str, kind: DataType) -> list[StructField]:
+    return [StructField(f.name, kind if f.name == column else f.dataType, True) for f in docs.schema.fields]
+
+
+def _compress(at: int):
+    """Texts travel compressed."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        pack = zstandard.ZstdCompressor(level=3)
+        for batch in batches:
+            z = [None if t is None else pack.compress(t.encode()) for t in batch.column(at).to_pylist()]
+            yield batch.set_column(at, batch.schema.names[at], pa.array(z, pa.binary()))
+
+    return work
+
+
+def _without_lines(at: int):
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        unpack = zstandard.ZstdDecompressor()
+        for batch in batches:
+            texts, removed = [], []
+            for z, gone in zip(batch.column(at).to_pylist(), batch.column("_gone").to_pylist()):
+                text = None if z is None else unpack.decompress(z).decode()
+                if gone:
+                    places = set(gone)
+                    text = "\n".join(x for k, x in enumerate(text.split("\n")) if k not in places)
+                texts.append(text)
+                removed.append(len(gone or ()))
+            kept = batch.set_column(at, batch.schema.names[at], pa.array(texts, pa.string()))
+            last = kept.schema.get_field_index("_gone")
+            yield kept.set_column(last, "n_removed", pa.array(removed, pa.int32()))
+
+    return work
 
 
 def line_report(deduplicated: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
