@@ -256,13 +256,19 @@ def connect_in_lists(lists: DataFrame, texts: DataFrame, width: int, percent: in
 
 
 def pairs_across(lists: DataFrame, comps: DataFrame, texts: DataFrame, percent: int, block: int) -> DataFrame:
-    """(a, b), a < b: pairs of a list that are not in one component and can be alike."""
+    """(a, b), a < b: pairs of a list that are not in one component and can be alike.
+
+    A pair that shares several lists is judged in the first of them only, and in the one meeting of its two chunks.
+    """
     placed = lists.join(comps.select(F.col("node").alias("cls"), F.col("root").alias("comp")), "cls", "left").withColumn(
         "comp", F.coalesce("comp", "cls")
     )
     split = placed.groupBy("list").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where(F.col("lo") != F.col("hi"))
     open_ = cut(placed.join(split.select("list"), "list"))
-    small = open_.where(F.col("size") <= block).select("list", F.lit(0).cast("bigint").alias("one"), F.lit(0).cast("bigint").alias("two"), "cls", "comp")
+    zero = F.lit(0).cast("bigint")
+    small = open_.where(F.col("size") <= block).select(
+        "list", zero.alias("one"), zero.alias("two"), zero.alias("chunk"), "cls", "comp"
+    )
     big = open_.where(F.col("size") > block)
     own = big.groupBy("list", "comp").agg(F.count("*").alias("m"))
     # A component larger than a block has chunks of its own; smaller ones share chunks.
@@ -275,8 +281,9 @@ def pairs_across(lists: DataFrame, comps: DataFrame, texts: DataFrame, percent:
         (F.col("one") <= F.col("two")) & ~F.coalesce(F.col("only_one") == F.col("only_two"), F.lit(False))
     ).select("list", "one", "two")
     sides = meet.withColumn("chunk", F.explode(F.array_distinct(F.array("one", "two"))))
-    large = sides.join(chunked, ["list", "chunk"]).select("list", "one", "two", "cls", "comp")
-    rows = small.unionByName(large).join(texts.select("cls", "n", "signature"), "cls")
+    large = sides.join(chunked, ["list", "chunk"]).select("list", "one", "two", "chunk", "cls", "comp")
+    shared = open_.groupBy("cls").agg(F.sort_array(F.collect_list("list")).alias("lists"))  # no longer than a prefix
+    rows = small.unionByName(large).join(texts.select("cls", "n", "signature").join(shared, "cls"), "cls")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in groups(batches, 3):
@@ -284,12 +291,22 @@ def pairs_across(lists: DataFrame, comps: DataFrame, texts: DataFrame, percent:
             sizes = table.column("n").to_numpy()
             bits = [np.frombuffer(x, dtype=np.uint64) for x in table.column("signature").to_pylist()]
             i, j = candidates(bits, sizes, comp, np.lexsort((sizes, comp)).argsort(), percent)
-            apart = comp[i] != comp[j]
-            a, b = cls[i[apart]], cls[j[apart]]
+            chunk, name = table.column("chunk").to_numpy(), table.column("list")[0].as_py()
+            same_chunk = table.column("one")[0].as_py() == table.column("two")[0].as_py()
+            apart = (comp[i] != comp[j]) & ((chunk[i] == chunk[j]) == same_chunk)
+            i, j = i[apart], j[apart]
+            lists = table.column("lists").combine_chunks()
+            at, values = lists.offsets.to_numpy(), lists.values.to_numpy()
+            first = np.array([
+                np.intersect1d(values[at[x] : at[x + 1]], values[at[y] : at[y + 1]], assume_unique=True)[0] == name
+                for x, y in zip(i.tolist(), j.tolist())
+            ], dtype=bool)
+            a, b = cls[i[first]], cls[j[first]]
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
     by = ["list", "one", "two"]
-    return side_by_side(rows.select(*by, "cls", "comp", "n", "signature"), *by).mapInArrow(work, "a bigint, b bigint").distinct()
+    dealt = side_by_side(rows.select(*by, "chunk", "cls", "comp", "n", "signature", "lists"), *by)
+    return dealt.mapInArrow(work, "a bigint, b bigint").distinct()
 
 
 def verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
