@@ -259,11 +259,14 @@ def judged(statistics: DataFrame, rules: list[Rule]) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", quality: str = "quality") -> DataFrame:
-    """The rows of `docs` that are kept, with all columns. The rules are learned from the labelled rows alone, and the
-    statistics of a row are made beside it, so no text is moved."""
-    known = docs.select(key, text).join(labels.select(key).distinct(), key, "left_semi")
-    rules = learn(with_labels(cut(with_statistics(known, key, text)), labels, key, quality))
+    """The rows of `docs` that are kept, with all columns.
+
+    The rows are written out once with their statistics: learning reads the statistics alone, and a filter on
+    statistics that are not written would be pushed below them and compute them again for each of its conditions.
+    """
     columns = [F.col(c).alias(f"_{i}") for i, c in enumerate(docs.columns)]
     carried = docs.select(F.struct(*columns).alias("_doc"), F.col(key), F.col(text))
-    rows = judged(with_statistics(carried, key, text, carry=["_doc"]), rules).where("kept")
+    statistics = cut(with_statistics(carried, key, text, carry=["_doc"]))
+    rules = learn(with_labels(statistics.drop("_doc"), labels, key, quality))
+    rows = judged(statistics, rules).where("kept")
     return rows.select(*[F.col(f"_doc._{i}").alias(c) for i, c in enumerate(docs.columns)])
