@@ -204,7 +204,7 @@ def probe_budgets(spark, d):
 
 
 def probe_targets(spark, d):
-    return comparable(probe.probe_by_target(*split_features(spark, d), targets=["label", "location"], grid_search=True))
+    return comparable(probe.probe_by_target(*split_features(spark, d), targets=["label", "location"]))
 
 
 def probe_sql(target: str, budgets: dict[int, str]) -> str:
