@@ -149,6 +149,40 @@ def test_repeated_lines_go(spark, min_lines, min_words):
     assert rows[0].line == "l" and rows[0].row == "s"
 
 
+def brute_runs(texts, min_words):
+    """Lines of maximal runs that also stand at an earlier place, from all pairs of places."""
+    lines = [[(k, x) for k, x in enumerate((t or "").split("\n")) if brute.words(x)] for t in texts]
+    places = [(i, p) for i, own in enumerate(lines) for p in range(len(own))]
+    gone = [set() for _ in texts]
+    for at, (i, p) in enumerate(places):
+        for j, q in places[:at]:
+            n = 0
+            while p + n < len(lines[i]) and q + n < len(lines[j]) and lines[i][p + n][1] == lines[j][q + n][1]:
+                n += 1
+            if n and sum(len(brute.words(x)) for _, x in lines[i][p : p + n]) >= min_words:
+                gone[i].update(k for k, _ in lines[i][p : p + n])
+    return {
+        i: (t if not g else "\n".join(x for k, x in enumerate(t.split("\n")) if k not in g), len(g))
+        for i, (t, g) in enumerate(zip(texts, gone))
+    }
+
+
+LONG_LINE = " ".join(f"w{i}" for i in range(60))
+
+
+def dropped(spark, texts, **options):
+    rows = line_runs.drop_later_runs(frame(spark, texts).repartition(3), **options).collect()
+    assert len(rows) == len(texts)
+    return {r.doc_id: (r.text, r.n_removed) for r in rows}
+
+
+def test_one_repeated_line_goes(spark):
+    texts = [f"a\n{LONG_LINE}\nb", f"c\n\n{LONG_LINE}\nd", LONG_LINE, f"short line\n{LONG_LINE} x", "e\nshort line\nf"]
+    found = dropped(spark, texts)
+    assert found == brute_runs(texts, 10)
+    assert found[1] == ("c\n\nd", 1) and found[2] == ("", 1) and found[4] == (texts[4], 0)
+
+
 def test_suffix_array_and_common_prefixes(spark):
     draw = random.Random(9)
     docs = [[draw.randrange(4) for _ in range(draw.randrange(1, 30))] for _ in range(20)]

@@ -15,12 +15,19 @@ corpus order (id, then line) stays, and the lines of all others are deleted if t
 A null text is empty, has no lines and stays null. Blank lines are never compared nor deleted. Rows that are equal in
 id and text are one document, reported as often as they are there; rows with equal ids and different texts are
 different documents. An empty table gives no rows; other columns are kept.
+
+`drop_later_runs` deletes the later copies of whole maximal runs, of one line or of many, whose words reach MIN_WORDS
+in total. A maximal run at a place is the longest that also stands at an earlier place, which may overlap it. Its lines
+are the union of its least windows, those that reach MIN_WORDS and would not without their last or their first line:
+every line of the run is in one of them, none leaves it, and none has more than MIN_WORDS lines, as a line here has a
+word. Equal windows are least in the same way, so each is looked up once, in the intervals of its length.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -71,13 +78,14 @@ def _places(rows: DataFrame, group: list[str], order: list[str]) -> DataFrame:
     return with_running_sum(kept, group, F.col("_range"), order, {"before": F.col("alike")}, inclusive=False).drop("_range")
 
 
-def suffix_array(suffixes: DataFrame) -> DataFrame:
+def suffix_array(suffixes: DataFrame, lines: int | None = None) -> DataFrame:
     """(doc, idx, rank, firsts): ranks from 0, and for every round h in which the suffix was equal to others in its
     first 2**h lines, the first rank of these suffixes.
 
     `suffixes` has (doc, idx, line). A rank is the number of suffixes before; as long as suffixes are `alike`, they
     share it, and one whose rank is its own keeps it. Where the compared lines end (with the document, or before a
-    line that occurs once) a suffix goes first in its group and is like no other.
+    line that occurs once) a suffix goes first in its group and is like no other. With `lines` the rounds end with the
+    last one that intervals of that many lines need: suffixes that are still alike share a rank.
     """
     first = suffixes.select("doc", "idx", "line")
     none = F.array().cast("array<bigint>")
@@ -87,6 +95,9 @@ def suffix_array(suffixes: DataFrame) -> DataFrame:
         equal = ranks.where(F.col("alike") > 1)
         if equal.isEmpty():
             return ranks.select("doc", "idx", "rank", "firsts")
+        if lines is not None and 2 * width > lines:
+            last = F.when(F.col("alike") > 1, F.array_append("firsts", F.col("rank"))).otherwise(F.col("firsts"))
+            return ranks.select("doc", "idx", "rank", last.alias("firsts"))
         ahead = ranks.select("doc", (F.col("idx") - width).alias("idx"), F.col("rank").alias("next"))
         pairs = equal.select("doc", "idx", "rank", F.array_append("firsts", F.col("rank")).alias("firsts")).join(
             ahead.where(F.col("idx") >= 0), ["doc", "idx"], "left"
@@ -165,13 +176,96 @@ def drop_repeated_lines(
     runs = repeated_runs(docs, key, text, min_lines)
     later = runs.where(~F.col("first") & (F.col("words") >= min_words)).select(F.col("doc").alias("_doc"), "ahead")
     gone = later.groupBy("_doc").agg(F.array_distinct(F.flatten(F.collect_list("ahead"))).alias("_gone"))
+    return _delete(docs, key, text, gone, lambda lines, places: set(places))
+
+
+def least_windows(lines: DataFrame, array: DataFrame, min_words: int) -> DataFrame:
+    """(doc, id, idx, start, stop, size, one, two): windows of `size` repeated lines that reach `min_words` words, and
+    would not without their last line or without their first; equal (size, one, two) are equal windows. `start` and
+    `stop` are the places of the first and the last line among all lines of the text. Windows that do not occur again
+    can be left out."""
+    key = lines.schema["id"].dataType
+    own = lines.select("doc", "id", F.struct("idx", F.col("ahead")[0].alias("at"), F.col("words").alias("n")).alias("x"))
+    rounds = array.select("doc", F.struct("idx", "firsts").alias("f"))
+    both = own.withColumn("f", F.lit(None).cast(rounds.schema["f"].dataType)).unionByName(
+        rounds.select("doc", F.lit(None).cast(key).alias("id"), F.lit(None).cast(own.schema["x"].dataType).alias("x"), "f")
+    )
+    whole = both.groupBy("doc").agg(
+        F.max("id").alias("id"), F.array_sort(F.collect_list("x")).alias("x"), F.array_sort(F.collect_list("f")).alias("f")
+    )
+    number = [StructField(name, LongType()) for name in ("idx", "start", "stop", "size", "one", "two")]
+    return whole.mapInArrow(
+        _windows(min_words), StructType([StructField("doc", LongType()), StructField("id", key), *number])
+    )
+
+
+def _windows(min_words: int):
+    rounds = min_words.bit_length()
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, f = batch.column(batch.schema.get_field_index("x")), batch.column(batch.schema.get_field_index("f"))
+            row = np.repeat(np.arange(batch.num_rows), np.diff(x.offsets.to_numpy()))
+            idx, at, n = (c.to_numpy(zero_copy_only=False).astype(np.int64) for c in x.flatten().flatten())
+            firsts = f.flatten().field("firsts")
+            many, values = np.diff(firsts.offsets.to_numpy()), firsts.flatten().to_numpy(zero_copy_only=False)
+            begin = np.cumsum(many) - many
+            rank = np.full((rounds, len(idx)), -1, dtype=np.int64)
+            for h in range(rounds):
+                there = np.flatnonzero(many > h)
+                rank[h, there] = values[begin[there] + h]
+            chain = np.cumsum(np.r_[True, (np.diff(row) != 0) | (np.diff(idx) != 1)][: len(idx)])
+            total = np.r_[0, np.cumsum(n)]
+            here = np.arange(len(idx))
+            # From each line as far as needed, and back from each line as far as needed.
+            stop = np.searchsorted(total, total[:-1] + min_words) - 1
+            start = np.searchsorted(total, total[1:] - min_words, side="right") - 1
+            a, b = np.r_[here, start], np.r_[stop, here]
+            fits = (a >= 0) & (b < len(idx))
+            a, b = a[fits], b[fits]
+            fits = chain[a] == chain[b]
+            pairs = np.unique(np.stack([a[fits], b[fits]], axis=1), axis=0)
+            a, b = pairs[:, 0], pairs[:, 1]
+            size = b - a + 1
+            h = np.frexp(size)[1] - 1
+            one, two = rank[h, a], rank[h, b + 1 - (1 << h)]
+            again = (one >= 0) & (two >= 0)
+            a, b, size, one, two = a[again], b[again], size[again], one[again], two[again]
+            doc = batch.column(batch.schema.get_field_index("doc")).take(pa.array(row[a]))
+            key = batch.column(batch.schema.get_field_index("id")).take(pa.array(row[a]))
+            numbers = [pa.array(c, pa.int64()) for c in (idx[a], at[a], at[b], size, one, two)]
+            yield pa.RecordBatch.from_arrays([doc, key, *numbers], ["doc", "id", "idx", "start", "stop", "size", "one", "two"])
+
+    return work
+
+
+def drop_later_runs(docs: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
+    """All rows and columns of `docs`, with the later copies of maximal repeated runs of lines with `min_words` words or
+    more (at least one) in total deleted from the text, and `n_removed`, the number of deleted lines."""
+    lines = cut(repeated_lines(line_sequences(docs, key, text, 1)))
+    places = cut(least_windows(lines, suffix_array(lines, min_words), min_words))
+    group, order = ["size", "one", "two"], F.struct("id", "doc", "idx")
+    firsts = places.groupBy(*group).agg(F.min(order).alias("_least"), F.count("*").alias("_n")).where(F.col("_n") > 1)
+    later = places.join(firsts, group).where(~order.eqNullSafe(F.col("_least")))
+    spans = later.groupBy(F.col("doc").alias("_doc")).agg(F.collect_set(F.struct("start", "stop")).alias("_gone"))
+    return _delete(docs, key, text, spans, _in_spans)
+
+
+def _in_spans(lines: list[str], gone: list[dict]) -> set[int]:
+    """The places of lines with words from start to stop."""
+    inside = {k for span in gone for k in range(span["start"], span["stop"] + 1)}
+    return {k for k in inside if lines[k].strip(" \t\n\v\f\r")}
+
+
+def _delete(docs: DataFrame, key: str, text: str, gone: DataFrame, places) -> DataFrame:
+    """`docs` without the lines that `places` makes of a text's lines and the document's `_gone`."""
     sent = docs.withColumn("_doc", document_number(key, text)).mapInArrow(
         _compress(docs.columns.index(text)), StructType([*_with_type(docs, text, BinaryType()), StructField("_doc", LongType())])
     )
     # What is deleted grows with the corpus, so this join is by a shuffle at every size, never by a broadcast.
     joined = sent.join(cut(gone).hint("merge"), "_doc", "left").select(*docs.columns, "_gone")
     result = StructType([*_with_type(docs, text, docs.schema[text].dataType), StructField("n_removed", IntegerType())])
-    return joined.mapInArrow(_without_lines(docs.columns.index(text)), result)
+    return joined.mapInArrow(_without_lines(docs.columns.index(text), places), result)
 
 
 def _with_type(docs: DataFrame, column: str, kind: DataType) -> list[StructField]:
@@ -192,7 +286,7 @@ def _compress(at: int):
     return work
 
 
-def _without_lines(at: int):
+def _without_lines(at: int, places):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
@@ -201,11 +295,13 @@ def _without_lines(at: int):
             texts, removed = [], []
             for z, gone in zip(batch.column(at).to_pylist(), batch.column("_gone").to_pylist()):
                 text = None if z is None else unpack.decompress(z).decode()
+                left_out = set()
                 if gone:
-                    places = set(gone)
-                    text = "\n".join(x for k, x in enumerate(text.split("\n")) if k not in places)
+                    lines = text.split("\n")
+                    left_out = places(lines, gone)
+                    text = "\n".join(x for k, x in enumerate(lines) if k not in left_out)
                 texts.append(text)
-                removed.append(len(gone or ()))
+                removed.append(len(left_out))
             kept = batch.set_column(at, batch.schema.names[at], pa.array(texts, pa.string()))
             last = kept.schema.get_field_index("_gone")
             yield kept.set_column(last, "n_removed", pa.array(removed, pa.int32()))
@@ -245,3 +341,28 @@ c as (select doc_id, count(*) as n from gone group by doc_id)
 select d.doc_id, coalesce(c.n, 0)::bigint as n_removed, length(coalesce(t, ''))::bigint as n_chars_kept, sha256(coalesce(t, '')) as kept_sha256
 from documents d left join kept using (doc_id) left join c using (doc_id)
 """
+
+
+#: The rows of `drop_later_runs` in SQL: every window of up to ten lines that reaches ten words, by the text of its lines.
+RUNS_SQL = r"""
+with l as (
+  select doc_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as nr
+  from documents),
+w as (
+  select doc_id, line, nr, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) as n
+  from l where regexp_matches(line, '[^\x20\x09-\x0D]')),
+d as (
+  select doc_id, list(line order by nr) as ls, list(nr order by nr) as nrs, list(n order by nr) as ns from w group by doc_id),
+s as (select *, unnest(range(1, len(ls) + 1)) as a from d),
+p as (
+  select doc_id, a, k, ls[a:a + k - 1] as run, nrs[a:a + k - 1] as at_nr from s, range(1, 11) as t(k)
+  where a + k - 1 <= len(ls) and list_sum(ns[a:a + k - 1]) >= 10),
+r as (select doc_id, at_nr, row_number() over (partition by run order by doc_id, a) as place from p),
+gone as (select distinct doc_id, unnest(at_nr) as nr from r where place > 1),
+kept as (
+  select l.doc_id, string_agg(line, chr(10) order by l.nr) as t
+  from l where not exists (select 1 from gone g where g.doc_id = l.doc_id and g.nr = l.nr) group by l.doc_id),
+c as (select doc_id, count(*) as n from gone group by doc_id)
+select d.doc_id, coalesce(c.n, 0)::bigint as n_removed, length(coalesce(t, ''))::bigint as n_chars_kept, sha256(coalesce(t, '')) as kept_sha256
+from documents d left join kept using (doc_id) left join c using (doc_id)
+"""

@@ -61,6 +61,10 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_runs.line_report(line_runs.drop_repeated_lines(table(spark, sf_dir, "documents")))
 
 
+def op10_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_runs.line_report(line_runs.drop_later_runs(table(spark, sf_dir, "documents")))
+
+
 CHECKS = {
     "op1_jaccard_join": (op1_jaccard_join, jaccard_join.ORACLE_SQL),
     "op2_training_shards": (op2_training_shards, None),
@@ -72,4 +76,5 @@ CHECKS = {
     "op8_quality_classifier": (op8_quality_classifier, None),
     "op9_url_filter": (op9_url_filter, None),
     "op10_line_dedup": (op10_line_dedup, line_runs.ORACLE_SQL),
+    "op10_line_runs": (op10_line_runs, line_runs.RUNS_SQL),
 }
