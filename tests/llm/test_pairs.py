@@ -183,6 +183,20 @@ def test_one_repeated_line_goes(spark):
     assert found[1] == ("c\n\nd", 1) and found[2] == ("", 1) and found[4] == (texts[4], 0)
 
 
+@pytest.mark.parametrize("min_words", [1, 3, 10, 16])
+def test_later_copies_of_whole_runs_go(spark, min_words):
+    draw = random.Random(min_words)
+    pool = [" ".join(f"w{draw.randrange(50)}" for _ in range(draw.randrange(1, 9))) for _ in range(12)] + ["", "  ", "\t", LONG_LINE]
+    texts = ["\n".join(draw.choice(pool) for _ in range(draw.randrange(0, 14))) for _ in range(40)]
+    run = "\n".join(f"{x} {x}" for x in "abcdefgh")
+    texts += [texts[3], texts[3], None, "\n\n", f"{run}\nx", f"y\n{run}\nz", "l\n" * 60, "k l\n" * 4, "é ü\r\nö " * 9]
+    found = dropped(spark, texts, min_words=min_words)
+    assert found == brute_runs(texts, min_words)
+    assert found[45] == ("y\nz", 8)
+    assert found[46] == ("l\n", 59)
+    assert line_runs.drop_later_runs(frame(spark, texts).limit(0)).count() == 0
+
+
 def test_suffix_array_and_common_prefixes(spark):
     draw = random.Random(9)
     docs = [[draw.randrange(4) for _ in range(draw.randrange(1, 30))] for _ in range(20)]
