@@ -217,3 +217,24 @@ def test_grid_search_picks_the_first_best(separable):
     x_train, _ = probe.prepare(*joint_label_encode(*separable, "label", "y"))
     best, means = probe.probe_grid_search(x_train.select("id", "x", "y"), "id", grid=(0.01, 1.0), folds=3, max_iter=30)
     assert set(means) == {0.01, 1.0} and best == max((0.01, 1.0), key=means.get)
+
+
+def test_registered_target_probe_searches(spark, separable, monkeypatch):
+    """Every fit of the query takes the strength with the greatest mean of its folds."""
+    from trapline.checks import vector_checks
+
+    flags = {"p1": "is_in_train_1perc", "p10": "is_in_train_10perc"}
+    parts = [part.withColumnsRenamed(flags) for part in separable]
+    search, found = probe.probe_grid_search, []
+
+    def small(train, key, **options):
+        best, means = search(train, key, grid=(0.001, 100.0), folds=2, max_iter=5)
+        found.append(max(means, key=means.get))
+        return best, means
+
+    monkeypatch.setattr(vector_checks, "split_features", lambda spark, d: parts)
+    monkeypatch.setattr(vector_checks, "comparable", lambda scores: scores)
+    monkeypatch.setattr(probe, "probe_grid_search", small)
+    rows = vector_checks.probe_targets(spark, "").where(F.col("metric") == "c").collect()
+    chosen = {(r.target, r.split_pct): r.value for r in rows}
+    assert [chosen[target, percent] for target in ("label", "location") for percent in (1, 10, 100)] == found
