@@ -73,23 +73,34 @@ def runs(keep: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def run_numbers(data: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
-    """One number for the bytes of each run."""
+    """One number for the bytes of each run: its pieces of eight bytes are mixed, with their place, before they are summed.
+
+    A sum of plain multiples would give some different long runs of a few letters the same number whatever the factors.
+    """
     if len(first) == 0:
         return np.zeros(0, dtype=np.uint64)
     length = last - first
-    starts = np.concatenate(([0], np.cumsum(length)[:-1]))
-    place = np.arange(int(length.sum())) - np.repeat(starts, length)
-    value = _BYTE[data[place + np.repeat(first, length)]] * powers(int(length.max()))[place]
-    return mix(np.add.reduceat(value, starts) + length.astype(np.uint64))
+    pieces = (length + 7) >> 3
+    ends = np.cumsum(length)
+    piece_at = np.cumsum(pieces) - pieces
+    padded = np.zeros(int(pieces.sum()) * 8, dtype=np.uint8)
+    step = np.arange(int(ends[-1]))
+    padded[step + np.repeat(8 * piece_at - (ends - length), length)] = data[step + np.repeat(first - (ends - length), length)]
+    value = padded.view("<u8")
+    if len(value) == len(first):  # no run has more than one piece
+        return mix(mix(value ^ _BASE) + length.astype(np.uint64))
+    place = np.arange(len(value)) - np.repeat(piece_at, pieces)
+    return mix(np.add.reduceat(mix(value ^ powers(int(pieces.max()) + 1)[place + 1]), piece_at) + length.astype(np.uint64))
 
 
 class Words:
     """`numbers` of all words in order, their byte ranges `first`, `last`, and per text where its words begin (`at`)."""
 
-    def __init__(self, texts: pa.Array, lower: bool = False):
+    def __init__(self, texts: pa.Array, lower: bool = False, apart: np.ndarray = _SPACE):
+        """`apart` tells of each byte whether it stands between words."""
         data, self.text_at = text_bytes(texts)
         self.data = _LOWER[data] if lower else data
-        self.first, self.last = runs(~_SPACE[self.data], self.text_at)
+        self.first, self.last = runs(~apart[self.data], self.text_at)
         self.numbers = run_numbers(self.data, self.first, self.last)
         self.at = np.searchsorted(self.first, self.text_at)
 
