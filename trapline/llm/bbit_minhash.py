@@ -10,7 +10,7 @@
    the threshold that happens with a chance below 1e-6. All other pairs are confirmed on their full sets.
 4. In every bucket all members are first compared with one of them, its hub, so a bucket of copies costs one pair a
    member. Buckets that this leaves in more than one component are compared member by member inside the tasks, in
-   blocks of bounded size; only pairs across components that pass the bit count leave a task.
+   blocks of bounded size, each pair in the first bucket it shares; only links leave a task.
 Components come from alternating stars. Hot buckets are split into blocks, and no task holds a bucket.
 
 A text without words (null, empty, blank) has an empty set, and is alone. A text with fewer words than a shingle has its
@@ -203,18 +203,21 @@ def meetings(met: DataFrame, comps: DataFrame, block: int) -> DataFrame:
     return small.unionByName(large)
 
 
-def across(met: DataFrame, comps: DataFrame, classes: DataFrame, percent: int, block: int) -> DataFrame:
-    """(a, b), a < b: pairs of a bucket's members other than its hub that are in two components and that their sizes and
-    kept bits allow to be alike."""
+def across(met: DataFrame, comps: DataFrame, classes: DataFrame, width: int, percent: int, block: int) -> DataFrame:
+    """(a, b): links between members of a bucket, other than its hub, that are in two components.
+
+    A pair is judged in the first bucket that it shares: by sizes and kept bits, then, unless links found before connect
+    it already, by its sets. Of what is compared only links leave the task.
+    """
     least = least_places(percent)
 
-    def pairs(table: pa.Table) -> pa.RecordBatch:
-        cls, comp, n, one, two, chunk = (table.column(c).to_numpy() for c in ("cls", "comp", "n", "one", "two", "chunk"))
+    def near(table: pa.Table, new: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs of rows of one group that their sizes and kept bits allow to be alike."""
+        comp, n, bucket, one, two, chunk = (table.column(c).to_numpy() for c in ("comp", "n", "bucket", "one", "two", "chunk"))
         packed = _matrix(table.column("signature").combine_chunks())
-        new = _starts(table)
-        end = np.append(new[1:], len(cls))
-        end = np.repeat(end, end - new)
-        here, found, step = np.arange(len(cls)), [], 0
+        bands = table.column("bands").combine_chunks().flatten().to_numpy().reshape(-1, BANDS)
+        end = np.repeat(np.append(new[1:], len(comp)), np.diff(np.append(new, len(comp))))
+        here, step, found = np.arange(len(comp)), 0, []
         while True:
             step += 1
             here = here[here + step < end[here]]
@@ -227,9 +230,39 @@ def across(met: DataFrame, comps: DataFrame, classes: DataFrame, percent: int, b
             for at in range(0, len(i), SLICE):
                 x = i[at : at + SLICE]
                 x = x[agreeing(packed[x], packed[x + step]) >= least]
-                found.append(np.stack([np.minimum(cls[x], cls[x + step]), np.maximum(cls[x], cls[x + step])]))
-        both = np.unique(np.concatenate(found, axis=1), axis=1) if found else np.zeros((2, 0), dtype=np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], ["a", "b"])
+                first = (bands[x] == bands[x + step]).argmax(axis=1)
+                x = x[bands[x, first] == bucket[x]]
+                found.append((x, x + step))
+        if not found:
+            return here, here
+        i, j = (np.concatenate(x) for x in zip(*found))
+        order = np.lexsort((j, i))
+        return i[order], j[order]
+
+    def links(table: pa.Table) -> pa.RecordBatch:
+        i, j = near(table, _starts(table))
+        cls, comp, z = table.column("cls").to_numpy(), table.column("comp").to_numpy(), table.column("z").combine_chunks()
+        used, place = np.unique(cls[np.concatenate([i, j])], return_inverse=True)
+        row_of = np.zeros(len(used), dtype=np.int64)
+        row_of[place] = np.concatenate([i, j])
+        sets: list[np.ndarray] = []
+        for at in range(0, len(used), 500):
+            sets += shingle_sets(unpack_texts(z.take(pa.array(row_of[at : at + 500]))), width)
+        parent: dict[int, int] = {}
+
+        def root(x: int) -> int:
+            while parent.get(x, x) != x:
+                x = parent[x]
+            return x
+
+        out = []
+        for x, y, one, two in zip(place[: len(i)].tolist(), place[len(i) :].tolist(), comp[i].tolist(), comp[j].tolist()):
+            one, two = root(one), root(two)
+            if one != two and _linked(sets[x], sets[y], percent):
+                parent[max(one, two)] = min(one, two)
+                out.append((used[x], used[y]))
+        both = np.array(out, dtype=np.int64).reshape(-1, 2)
+        return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["a", "b"])
 
     def _starts(table: pa.Table) -> np.ndarray:
         new = np.zeros(table.num_rows, dtype=bool)
@@ -247,15 +280,15 @@ def across(met: DataFrame, comps: DataFrame, classes: DataFrame, percent: int, b
             held = pa.Table.from_batches([rows] if held is None else [*held.to_batches(), rows])
             last = int(_starts(held)[-1])  # the last group may go on in the next batch
             if last:
-                yield pairs(held.slice(0, last))
+                yield links(held.slice(0, last))
                 held = held.slice(last)
         if held is not None:
-            yield pairs(held)
+            yield links(held)
 
     by = ["bucket", "one", "two"]
-    rows = meetings(met, comps, block).join(classes.select("cls", "n", "signature"), "cls")
-    dealt = rows.select(*by, "chunk", "cls", "comp", "n", "signature").repartition(*by).sortWithinPartitions(*by)
-    return dealt.mapInArrow(work, "a bigint, b bigint").distinct()
+    rows = meetings(met, comps, block).join(classes.select("cls", "n", "bands", "signature", "z"), "cls")
+    dealt = rows.select(*by, "chunk", "cls", "comp", "n", "bands", "signature", "z").repartition(*by).sortWithinPartitions(*by)
+    return dealt.mapInArrow(work, "a bigint, b bigint")
 
 
 def near_duplicates(
@@ -271,7 +304,7 @@ def near_duplicates(
     star = met.where(F.col("cls") != F.col("hub")).select(F.col("hub").alias("a"), F.col("cls").alias("b")).distinct()
     links = cut(confirmed(cut(likely(star, classes, percent)), classes, width, percent))
     comps = components(links, "a", "b")
-    more = cut(confirmed(cut(across(met, comps, classes, percent, block)), classes, width, percent))
+    more = cut(across(met, comps, classes, width, percent, block))
     if not more.isEmpty():
         comps = components(links.unionByName(more), "a", "b")
     rooted = classes.select("cls", "digest", "id").join(comps.select(F.col("node").alias("cls"), "root"), "cls", "left")
