@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trapline.llm import bbit_minhash, containment, credentials, decision_list, jaccard_join, line_crf, line_runs, packing, shards, suffixes, url_rules
+from trapline.llm import bbit_minhash, containment, credentials, decision_list, jaccard_join, line_crf, line_runs, packing, ranked_search, shards, suffixes, token_alignment, url_rules
 from trapline.session import configure
 
 
@@ -65,10 +65,18 @@ def op10_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_runs.line_report(line_runs.drop_later_runs(table(spark, sf_dir, "documents")))
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_alignment.align_tokens(table(spark, sf_dir, "documents"))
+
+
 def op12_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bbit_minhash.near_duplicates(table(spark, sf_dir, "documents"), width=5, percent=85)
 
 
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.search(ranked_search.build_index(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark"))
+
+
 CHECKS = {
     "op1_jaccard_join": (op1_jaccard_join, jaccard_join.ORACLE_SQL),
     "op2_training_shards": (op2_training_shards, None),
@@ -81,5 +89,7 @@ CHECKS = {
     "op9_url_filter": (op9_url_filter, None),
     "op10_line_dedup": (op10_line_dedup, line_runs.ORACLE_SQL),
     "op10_line_runs": (op10_line_runs, line_runs.RUNS_SQL),
+    "op11_token_alignment": (op11_token_alignment, None),
     "op12_minhash_dedup": (op12_minhash_dedup, bbit_minhash.ORACLE_SQL),
+    "op13_ranked_search": (op13_ranked_search, ranked_search.ORACLE_SQL),
 }
