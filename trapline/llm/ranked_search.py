@@ -344,14 +344,11 @@ def search(
     item_kind = items.schema[item_key].dataType.simpleString()
     asked = item_terms(items, item_key, item_text, item_bytes)
     corpus = Corpus(*index.agg(F.coalesce(F.sum("n_docs"), F.lit(0)), F.coalesce(F.sum("n_terms"), F.lit(0))).first())
-    last = asked.agg(F.max("block")).first()[0]
     schema = f"row bigint, item {item_kind}, doc {index.schema['keys'].dataType.elementType.simpleString()}, score bigint"
     found = index.sparkSession.createDataFrame([], schema)
-    if last is not None and corpus.docs:
-        for block in range(last + 1):
-            items_of = asked.where(F.col("block") == block)
-            if block == 0 or not items_of.isEmpty():  # an item larger than a block leaves numbers out
-                found = found.unionByName(_search_block(index, items_of, corpus, item_kind, k))
+    if corpus.docs:
+        for (block,) in asked.select("block").distinct().orderBy("block").collect():
+            found = found.unionByName(_search_block(index, asked.where(F.col("block") == block), corpus, item_kind, k))
     place = F.row_number().over(W.partitionBy("row").orderBy(F.desc("score"), F.asc("doc")))
     ranked = found.withColumn("rank", place).where(F.col("rank") <= k)
     return ranked.select(F.col("item").alias(item_key), "rank", F.col("doc").alias(key), "score")

@@ -6,8 +6,8 @@ proto from B. A token whose span begins where the one before has ended is a coar
 decode to. Byte offsets where tokens of both end cut the text into groups; all pairs of an A and a B token in one group
 are links.
 
-A blank behind a visible ASCII character always begins a token in both: A's pattern does not cross it, and no piece of
-B has a blank behind anything else (looked up when the vocabulary is read; otherwise texts stay whole). So a text is cut
+A blank behind a visible ASCII character, and before anything, always begins a token in both: A's pattern does not cross
+it, and no piece of B has a blank behind anything else (looked up when the vocabulary is read; otherwise texts stay whole). So a text is cut
 there into words, and a chunk of texts needs spans, groups and links for its distinct words only. A worker remembers a
 bounded number of words.
 
@@ -66,14 +66,16 @@ def byte_letters() -> dict[str, int]:
 
 def token_ends(begins: list[int], ends: list[int], decoded: list[bytes], low: int = 0) -> np.ndarray:
     """Byte ends of tokens with byte spans (begin, end) that may share characters. Where a span begins at the end of
-    all before, the cut is the span's; between two cuts ends follow from the decoded bytes."""
+    all before, the cut is the span's; between two cuts ends follow from the decoded bytes. A span without width is that
+    of a byte whose character ends with a later token."""
     out = np.empty(len(ends), dtype=np.int64)
-    reach, at = low, low
+    reach, at, inside = low, low, False
     for k, (a, b, piece) in enumerate(zip(begins, ends, decoded)):
-        if a >= reach:
+        if a >= reach and not inside:
             at = reach  # nothing of the tokens before is open: a coarse cut
         at += len(piece)
         out[k] = at
+        inside = b <= a
         reach = max(reach, b)
     return out
 
@@ -117,6 +119,7 @@ class Aligner:
         stop = np.cumsum(size)
         begins = (data == 0x20)
         begins[1:] &= (data[:-1] > 0x20) & (data[:-1] < 0x7F)
+        begins[stop - 1] = False  # B gives a lone blank no token
         begins[stop - size] = True
         first = np.flatnonzero(begins)
         last = np.append(first[1:], len(data))
