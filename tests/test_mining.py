@@ -132,7 +132,7 @@ def test_the_race_over_all_rows_follows_the_softmax(spark, monkeypatch):
 
 
 @pytest.mark.parametrize("exclude_self", [False, True])
-def test_the_race_over_moments_follows_the_softmax(spark, monkeypatch, exclude_self):
+def test_the_race_of_context_draws_follows_the_softmax(spark, monkeypatch, exclude_self):
     monkeypatch.setattr(draws, "ROUNDS", 1)  # no proposals for context draws
     copies, rows, temperature = 60, shots(), 0.4
     table, counts = repeated(spark, rows, "key", SHOT, copies), Counter()

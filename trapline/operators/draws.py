@@ -32,89 +32,52 @@ from trapline.functions.capture_time import DAY_SPAN, HOUR_SPAN, MINUTE_SPAN, SE
 from trapline.functions.hashing import digest, index_draw, unit_draw
 from trapline.functions.vectors import batch_dot, matrix
 from trapline.operators.features import year_scale
-from trapline.operators.ordinals import hex_bucket, with_ordinal, with_ordinal_by_range, with_running_sum
+from trapline.operators.ordinals import hex_bucket, with_ordinal, with_ordinal_by_range, with_running_sum, with_sorted_ordinal
 from trapline.operators.positives import RUN_SEED
+from trapline.operators.race import Ball, Both, ContextBox, build_tree, context_point, race
 from trapline.session import cut
 
 CONTEXT_TEMPERATURE = 0.05
 EMBEDDING_TEMPERATURE = 0.5
 GROUP_ROWS = 16_384
 ROUNDS = 4  # rounds of proposals
-RACE_ROUNDS = 3  # rounds over the moments of a location
-BLOCK = 256  # rows that are held against all others at a time, at the end
+PIVOTS = 256  # of the embedding race
 
 
 Proposer = Callable[[DataFrame, int, int], DataFrame]
 
 
 def draw_until_accepted(
-    rows: DataFrame, key: str, first: int, stages: list[tuple[int, Proposer]], finish: Callable[[DataFrame], DataFrame]
+    rows: DataFrame, key: str, width: int, rounds: int, propose: Proposer, finish: Callable[[DataFrame], DataFrame]
 ) -> DataFrame:
     """(key, partner): the first accepted attempt of every row.
 
-    A stage is (rounds, propose); `propose(pending, start, width)` returns the accepted (key, attempt, partner) among
-    the attempts start .. start + width - 1. `finish(pending)` draws for whoever is left. Every round is written out,
-    so a lost executor repeats one round at most.
+    `propose(pending, start, width)` returns the accepted (key, attempt, partner) among the attempts
+    start .. start + width - 1. `finish(pending)` draws for whoever is left after `rounds` of them. Every round is
+    written out, so a lost executor repeats one round at most.
     """
     pending, done, start = rows, None, 0
-    for number, (rounds, propose) in enumerate(stages):
-        width = first if number == 0 else 1
-        for _ in range(rounds):
-            accepted = propose(pending, start, width)
-            won = cut(accepted.groupBy(key).agg(F.min_by("partner", "attempt").alias("partner")))
-            done = won if done is None else done.unionByName(won)
-            pending = cut(pending.join(won, key, "left_anti"))
-            if pending.isEmpty():
-                return done
-            start, width = start + width, width * 4
+    for _ in range(rounds):
+        accepted = propose(pending, start, width)
+        won = cut(accepted.groupBy(key).agg(F.min_by("partner", "attempt").alias("partner")))
+        done = won if done is None else done.unionByName(won)
+        pending = cut(pending.join(won, key, "left_anti"))
+        if pending.isEmpty():
+            return done
+        start, width = start + width, width * 4
     last = cut(finish(pending))
     return last if done is None else done.unionByName(last)
 
 
-def _gumbel(pending: np.ndarray, candidates: np.ndarray, seed: int, round_: int) -> np.ndarray:
-    """Noise per (pending row, candidate) from their numbers: the same on every run."""
-    with np.errstate(over="ignore"):
-        x = pending.astype(np.uint64)[:, None] * np.uint64(0x9E3779B97F4A7C15) + candidates.astype(np.uint64)[None, :]
-        x = x + np.uint64((seed * 1_000_003 + round_) & (2**63 - 1))
-        for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
-            x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
-        x ^= x >> np.uint64(31)
-    return -np.log(-np.log(((x >> np.uint64(12)).astype(float) + 0.5) / 2.0**52))
-
-
 def race_over_all(
-    pending: DataFrame, index: DataFrame, key: str, columns: list[str],
-    log_weight: Callable[[pd.DataFrame, pd.DataFrame], np.ndarray], seed: int, round_: int, exclude_self: bool,
+    pending: DataFrame, index: DataFrame, key: str, geometry, seed: int, round_: int, exclude_self: bool
 ) -> DataFrame:
-    """(key, partner): the greatest log weight plus noise over all rows of `index`, for a block of rows at a time.
-
-    Both tables have `gid` and `columns`. A block comes to the driver (BLOCK rows) and is sent to all tasks; a task
-    keeps the best candidate per row of the block.
-    """
-    kind = index.schema[key].dataType.simpleString()
-    blocks = cut(with_ordinal(
-        pending.withColumn("_h", digest(F.col(key))), [], hex_bucket(F.col("_h")), ["_h", key], "_at"
-    ).select("_at", key, "gid", *columns))
-    n, found = blocks.count(), None
-    for at in range(0, n, BLOCK):
-        rows = blocks.where((F.col("_at") >= at) & (F.col("_at") < at + BLOCK)).toPandas()
-        shared = index.sparkSession.sparkContext.broadcast(rows)
-
-        def best(batches, shared=shared):
-            mine = shared.value
-            for batch in batches:
-                for s in range(0, len(batch), 4096):
-                    part = batch.iloc[s : s + 4096]
-                    score = log_weight(mine, part) + _gumbel(mine["gid"].to_numpy(), part["gid"].to_numpy(), seed, round_)
-                    if exclude_self:
-                        score[mine["gid"].to_numpy()[:, None] == part["gid"].to_numpy()[None, :]] = -np.inf
-                    top = score.argmax(axis=1)
-                    yield pd.DataFrame({key: mine[key], "score": score[np.arange(len(mine)), top], "partner": part[key].to_numpy()[top]})
-
-        scored = index.select(key, "gid", *columns).mapInPandas(best, f"{key} {kind}, score double, partner {kind}")
-        won = cut(scored.groupBy(key).agg(F.max_by("partner", "score").alias("partner")))
-        found = won if found is None else found.unionByName(won)
-    return found
+    """(key, partner): the draws of the pending rows among all rows of `index` (key, number, x), down a tree of bounds."""
+    tree = build_tree(index.select("number", "x"), geometry)
+    mine = cut(index.join(pending.select(key), key, "left_semi").select(key, "number", "x"))
+    won = race(mine.select("number", "x"), tree, seed, round_, exclude_self)
+    theirs = index.select(F.col("number").alias("winner"), F.col(key).alias("partner"))
+    return won.join(theirs, "winner").join(mine.select(key, "number"), "number").select(key, "partner")
 
 
 def _attempts(pending: DataFrame, start: int, width: int) -> DataFrame:
@@ -127,6 +90,31 @@ def embedding_index(rows: DataFrame, key: str, vector: str) -> DataFrame:
     return cut(with_ordinal(hashed, [], hex_bucket(F.col("_h")), ["_h", key], "gid").drop("_h"))
 
 
+def by_pivots(index: DataFrame, key: str, pivots: int = PIVOTS) -> DataFrame:
+    """(key, number, x): rows numbered by their nearest pivot and how near it is, so that like vectors have near numbers.
+
+    The pivots are the first `pivots` rows of the hash order; they are sent to all tasks."""
+    centres = np.array([r.vec for r in index.where(F.col("gid") < pivots).select(F.col("vec").cast("array<double>")).collect()])
+    shared = index.sparkSession.sparkContext.broadcast(centres)
+    kind = index.schema[key].dataType.simpleString()
+
+    def nearest(batches):
+        for batch in batches:
+            for at in range(0, len(batch), 4096):
+                part = batch.iloc[at : at + 4096]
+                x = matrix(part["vec"])
+                dots = x @ shared.value.T
+                pivot = dots.argmax(axis=1)
+                yield pd.DataFrame({key: part[key], "gid": part["gid"], "vec": list(x), "pivot": pivot, "apart": -dots[np.arange(len(x)), pivot]})
+
+    placed = cut(index.select(key, "gid", "vec").mapInPandas(nearest, f"`{key}` {kind}, gid bigint, vec array<double>, pivot bigint, apart double"))
+    return cut(with_sorted_ordinal(placed, ["pivot", "apart", "gid"], "number").select(key, "number", F.col("vec").alias("x")))
+
+
+def _width(index: DataFrame) -> int:
+    return index.select(F.size("vec")).first()[0]
+
+
 def positive_embedding(
     rows: DataFrame, key: str, vector: str, temperature: float = EMBEDDING_TEMPERATURE,
     seed: int = RUN_SEED, round_: int = 0, first: int = 4, exclude_self: bool = False,
@@ -154,13 +142,11 @@ def positive_embedding(
         accepted = pairs.where(F.col("luck") < F.col("chance"))
         return accepted.where(F.col(key) != F.col("partner")) if exclude_self else accepted
 
-    def alike(a: pd.DataFrame, b: pd.DataFrame) -> np.ndarray:
-        return matrix(a["vec"]) @ matrix(b["vec"]).T / temperature
-
     def finish(pending: DataFrame) -> DataFrame:
-        return race_over_all(pending, index, key, ["vec"], alike, seed, round_, exclude_self)
+        near = by_pivots(index, key)
+        return race_over_all(pending, near, key, Ball(_width(index), temperature), seed, round_, exclude_self)
 
-    found = draw_until_accepted(index, key, first, [(ROUNDS, propose)], finish)
+    found = draw_until_accepted(index, key, first, ROUNDS, propose, finish)
     return found.unionByName(_without_partner(rows, key, F.col(vector).isNull()))
 
 
@@ -169,13 +155,12 @@ def _without_partner(rows: DataFrame, key: str, lacking: Column) -> DataFrame:
 
 
 def context_index(rows: DataFrame, key: str, location: str = "location", moment: str = "datetime"):
-    """The three tables context draws work on, over the rows that have a location and a time.
+    """The two tables context draws work on, over the rows that have a location and a time.
 
     `index`: every row with its location, clock cell (second of the day), day, scaled year and a number
     `gid`, dense over the table, such that a location, each of its cells and each of its moments (cell, day and year)
     are ranges of numbers.
     `cells`: per location its cells with row count and first number, as three bounded arrays.
-    `moments`: per location its moments with row count and first number.
     """
     ts = F.col(moment)
     whole = rows.where(F.col(location).isNotNull() & ts.isNotNull())
@@ -207,8 +192,7 @@ def context_index(rows: DataFrame, key: str, location: str = "location", moment:
     cells = ranges.groupBy("loc").agg(packed.alias("p")).select(
         "loc", F.col("p.cell").alias("cells"), F.col("p.cell_n").alias("sizes"), F.col("p.first_gid").alias("firsts")
     )
-    moments = cut(index.groupBy("loc", "cell", "day", "year").agg(F.count("*").alias("moment_n"), F.min("gid").alias("first_gid")))
-    return index, cells, moments
+    return index, cells
 
 
 def _chord_table(labels: int, span: float) -> np.ndarray:
@@ -348,60 +332,11 @@ def context_proposer(
     return propose
 
 
-def moment_racer(
-    index: DataFrame, moments: DataFrame, key: str, temperature: float, seed: int, round_: int, exclude_self: bool = False
-) -> Proposer:
-    """Attempts over the distinct moments of a row's location, by their exact weights; other locations are one more
-    candidate with the weight they could have at most, and a row of them is accepted by its own distance."""
-    n = index.count()
-    square = lambda c: F.pow(c, F.lit(2.0))
-    place = index.select("gid", F.col(key).alias("partner"), *[F.col(c).alias(f"p_{c}") for c in ("loc", "cell", "day", "year")])
-    theirs = moments.select("loc", "moment_n", "first_gid", *[F.col(c).alias(f"p_{c}") for c in ("cell", "day", "year")])
-
-    def slow() -> Column:
-        return square(F.col("year") - F.col("p_year")) + square(chord(F.col("day") / F.lit(DAY_SPAN), F.col("p_day") / F.lit(DAY_SPAN)))
-
-    def noise(*parts) -> Column:
-        return -F.log(-F.log(unit_draw(seed, round_, *parts, F.col(key), F.col("attempt"))))
-
-    def propose(pending: DataFrame, start: int, width: int) -> DataFrame:
-        tries = _attempts(pending.select(key, "loc", "cell", "day", "year", F.col("gid").alias("own_gid")), start, width)
-        met = tries.join(theirs, "loc")
-        own = F.col("own_gid").between(F.col("first_gid"), F.col("first_gid") + F.col("moment_n") - 1)
-        size = F.col("moment_n") - F.when(own & F.lit(exclude_self), 1).otherwise(0)
-        distance = F.sqrt(_clock_chords(F.col("cell"), F.col("p_cell")) + slow())
-        score = F.log(size) - distance / F.lit(temperature) + noise("moment", F.col("first_gid"))
-        best = met.where(size > 0).groupBy(key, "attempt").agg(
-            F.max(F.struct(score.alias("score"), "first_gid", size.alias("size"), "moment_n")).alias("best")
-        )
-        away = F.lit(math.log(n) - math.sqrt(2.0) / temperature) + noise("away")
-        drawn = tries.join(best, [key, "attempt"], "left").withColumn("foreign", F.coalesce(away > F.col("best.score"), F.lit(True)))
-        member = unit_draw(seed, round_, "moment member", F.col(key), F.col("attempt"))
-        inside = F.col("best.first_gid") + F.floor(member * F.col("best.size"))
-        skipped = inside + F.when((F.col("best.size") < F.col("best.moment_n")) & (inside >= F.col("own_gid")), 1).otherwise(0)
-        found = drawn.withColumn("gid", F.when(F.col("foreign"), F.floor(member * n)).otherwise(skipped)).join(place, "gid")
-        far = F.sqrt(_clock_chords(F.col("cell"), F.col("p_cell")) + slow() + 2.0) - F.lit(math.sqrt(2.0))
-        luck = unit_draw(seed, round_, "moment accept", F.col(key), F.col("attempt"))
-        fits = ~F.col("foreign") | ((F.col("loc") != F.col("p_loc")) & (luck < F.exp(-far / F.lit(temperature))))
-        return found.where(fits).select(key, "attempt", "partner")
-
-    return propose
-
-
-def context_log_weight(temperature: float) -> Callable[[pd.DataFrame, pd.DataFrame], np.ndarray]:
-    def weight(a: pd.DataFrame, b: pd.DataFrame) -> np.ndarray:
-        column = lambda t, c: t[c].to_numpy()
-        square = 2.0 * (column(a, "loc")[:, None] != column(b, "loc")[None, :])
-        for table, one, two in zip((HOURS, MINUTES, SECONDS), clock_hands(column(a, "cell")), clock_hands(column(b, "cell"))):
-            square = square + table[one[:, None], two[None, :]]
-        days = (column(a, "day")[:, None] - column(b, "day")[None, :]) / DAY_SPAN
-        years = column(a, "year")[:, None] - column(b, "year")[None, :]
-        return -np.sqrt(square + np.sin(np.pi * days) ** 2 + years**2) / temperature
-
-    return weight
-
-
-PLACE = ["loc", "cell", "day", "year"]
+def context_points(index: DataFrame, key: str) -> DataFrame:
+    """(key, number, x): the coordinates of all rows, in the order of their numbers: by location, clock, day and year."""
+    places = index.groupBy("loc").agg(F.min("gid").alias("place"))
+    point = context_point(F.col("year"), F.col("day"), F.col("cell"), F.col("place"))
+    return index.join(places, "loc").select(key, F.col("gid").alias("number"), point.alias("x"))
 
 
 def positive_context(
@@ -413,14 +348,13 @@ def positive_context(
 
     The row itself is a candidate unless `exclude_self`. A row without location or time has a null partner and is none.
     """
-    index, cells, moments = context_index(rows, key, location, moment)
+    index, cells = context_index(rows, key, location, moment)
     propose = context_proposer(index, cells, key, temperature, seed, round_, exclude_self)
-    race = moment_racer(index, moments, key, temperature, seed, round_, exclude_self)
 
     def finish(pending: DataFrame) -> DataFrame:
-        return race_over_all(pending, index, key, PLACE, context_log_weight(temperature), seed, round_, exclude_self)
+        return race_over_all(pending, cut(context_points(index, key)), key, ContextBox(temperature), seed, round_, exclude_self)
 
-    found = draw_until_accepted(index, key, first, [(ROUNDS - 1, propose), (RACE_ROUNDS, race)], finish)
+    found = draw_until_accepted(index, key, first, ROUNDS - 1, propose, finish)
     return found.unionByName(_without_partner(rows, key, F.col(location).isNull() | F.col(moment).isNull()))
 
 
@@ -435,34 +369,23 @@ def positive_combined(
     """
     lacking = F.col(location).isNull() | F.col(moment).isNull() | F.col(vector).isNull()
     whole = rows.where(~lacking)
-    index, cells, moments = context_index(whole, key, location, moment)
-    proposers = [
-        context_proposer(index, cells, key, context_temperature, seed, round_, exclude_self),
-        moment_racer(index, moments, key, context_temperature, seed, round_, exclude_self),
-    ]
+    index, cells = context_index(whole, key, location, moment)
+    in_context = context_proposer(index, cells, key, context_temperature, seed, round_, exclude_self)
     own = whole.select(key, F.col(vector).alias("vec"))
     theirs = whole.select(F.col(key).alias("partner"), F.col(vector).alias("partner_vec"))
 
-    def thinned(in_context: Proposer) -> Proposer:
-        def propose(pending: DataFrame, start: int, width: int) -> DataFrame:
-            pairs = in_context(pending, start, width).join(own, key).join(theirs, "partner")
-            chance = F.exp((batch_dot(F.col("vec"), F.col("partner_vec")) - 1.0) / F.lit(embedding_temperature))
-            luck = unit_draw(seed, round_, "similar", F.col(key), F.col("attempt"))
-            tested = pairs.select(key, "attempt", "partner", luck.alias("luck"), chance.alias("chance"))
-            return tested.where(F.col("luck") < F.col("chance")).select(key, "attempt", "partner")
-
-        return propose
-
-    near = context_log_weight(context_temperature)
-
-    def both(a: pd.DataFrame, b: pd.DataFrame) -> np.ndarray:
-        return near(a, b) + matrix(a["vec"]) @ matrix(b["vec"]).T / embedding_temperature
+    def propose(pending: DataFrame, start: int, width: int) -> DataFrame:
+        pairs = in_context(pending, start, width).join(own, key).join(theirs, "partner")
+        chance = F.exp((batch_dot(F.col("vec"), F.col("partner_vec")) - 1.0) / F.lit(embedding_temperature))
+        luck = unit_draw(seed, round_, "similar", F.col(key), F.col("attempt"))
+        tested = pairs.select(key, "attempt", "partner", luck.alias("luck"), chance.alias("chance"))
+        return tested.where(F.col("luck") < F.col("chance")).select(key, "attempt", "partner")
 
     def finish(pending: DataFrame) -> DataFrame:
-        return race_over_all(
-            pending.join(own, key), index.join(own, key), key, [*PLACE, "vec"], both, seed, round_, exclude_self
-        )
+        both = Both(ContextBox(context_temperature), Ball(_width(own), embedding_temperature))
+        vectors = own.select(key, F.col("vec").cast("array<double>").alias("vec"))
+        points = cut(context_points(index, key).join(vectors, key).select(key, "number", F.concat("x", "vec").alias("x")))
+        return race_over_all(pending, points, key, both, seed, round_, exclude_self)
 
-    stages = [(ROUNDS, thinned(proposers[0])), (RACE_ROUNDS, thinned(proposers[1]))]
-    found = draw_until_accepted(index, key, first, stages, finish)
+    found = draw_until_accepted(index, key, first, ROUNDS, propose, finish)
     return found.unionByName(_without_partner(rows, key, lacking))
