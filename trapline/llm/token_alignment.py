@@ -6,10 +6,12 @@ proto from B. A token whose span begins where the one before has ended is a coar
 decode to. Byte offsets where tokens of both end cut the text into groups; all pairs of an A and a B token in one group
 are links.
 
-A blank behind a visible ASCII character, and before anything, always begins a token in both: A's pattern does not cross
-it, and no piece of B has a blank behind anything else (looked up when the vocabulary is read; otherwise texts stay whole). So a text is cut
-there into words, and a chunk of texts needs spans, groups and links for its distinct words only. A worker remembers a
-bounded number of words.
+Texts are cut into words where both always begin a token, whatever stands around: before a blank or a line end behind a
+visible ASCII character, behind such a line end, and between ASCII letters, digits and other marks. A's pattern does not
+cross these places (but for marks that begin with an apostrophe, which are left whole), and B merges two characters only
+if some piece has them side by side; which pairs those are is read from its vocabulary. So a chunk of texts needs spans,
+groups and links for its distinct words only. B puts a blank before every text; a word that has none is encoded behind a
+line end, which no piece holds, and the two first tokens are left out. A worker remembers a bounded number of words.
 
 The number of documents that hold an id pair linked is counted per chunk and then summed up; the chunks' pairs meet
 these counts again in a shuffle of distinct pairs, so no table of pairs is broadcast or collected. A chunk has about
@@ -25,11 +27,11 @@ from __future__ import annotations
 import hashlib
 import os
 from collections.abc import Iterator
-from dataclasses import dataclass
+from itertools import accumulate
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -64,33 +66,39 @@ def byte_letters() -> dict[str, int]:
     return letters
 
 
-def token_ends(begins: list[int], ends: list[int], decoded: list[bytes], low: int = 0) -> np.ndarray:
+def token_ends(begins: list[int], ends: list[int], decoded: list[bytes], low: int = 0) -> list[int]:
     """Byte ends of tokens with byte spans (begin, end) that may share characters. Where a span begins at the end of
     all before, the cut is the span's; between two cuts ends follow from the decoded bytes. A span without width is that
     of a byte whose character ends with a later token."""
-    out = np.empty(len(ends), dtype=np.int64)
-    reach, at, inside = low, low, False
-    for k, (a, b, piece) in enumerate(zip(begins, ends, decoded)):
+    out, reach, at, inside = [], low, low, False
+    for a, b, piece in zip(begins, ends, decoded):
         if a >= reach and not inside:
             at = reach  # nothing of the tokens before is open: a coarse cut
         at += len(piece)
-        out[k] = at
+        out.append(at)
         inside = b <= a
-        reach = max(reach, b)
+        if b > reach:
+            reach = b
     return out
 
 
-@dataclass
-class Word:
-    """Tokens and groups of a distinct word; `links` are (pair, times)."""
+class Word(NamedTuple):
+    """Tokens and groups of a distinct word; `pairs` are its linked id pairs and `times` how often each is linked."""
 
     n_a: int
     n_b: int
     n_groups: int
     n_links: int
     groups: bytes
-    pairs: list[int]
-    times: list[int]
+    pairs: tuple[int, ...]
+    times: tuple[int, ...]
+
+
+LETTER, DIGIT, MARK = 1, 2, 3
+_KIND = np.zeros(256, dtype=np.uint8)
+_KIND[0x21:0x7F] = MARK
+_KIND[[*range(ord("0"), ord("9") + 1)]] = DIGIT
+_KIND[[*range(ord("A"), ord("Z") + 1), *range(ord("a"), ord("z") + 1)]] = LETTER
 
 
 class Aligner:
@@ -106,20 +114,37 @@ class Aligner:
         self.a_bytes = {i: bytes(letters[c] for c in t) if set(t) <= letters.keys() else t.encode() for t, i in self.a.get_vocab().items()}
         pieces = [self.b.id_to_piece(i) for i in range(self.b.vocab_size())]
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace(BLANK, " ").encode() for i, p in enumerate(pieces)]
-        self.cuts_words = not any(BLANK in p.lstrip(BLANK) for p in pieces)
+        self.cuts = self.places_to_cut(pieces)
         self.remembered = remembered
         self.known: dict[bytes, Word | None] = {}
 
+    def places_to_cut(self, pieces: list[str]) -> np.ndarray:
+        """Whether a word can begin at the second of two bytes."""
+        kind = _KIND.astype(np.int64)
+        change = (kind[:, None] > 0) & (kind[None, :] > 0) & (kind[:, None] != kind[None, :])
+        change[ord("'"), :] = False
+        cuts = change
+        cuts[kind > 0, ord(" ")] = cuts[kind > 0, ord("\n")] = cuts[ord("\n"), kind > 0] = True
+        for k, piece in enumerate(pieces):
+            if not self.b.is_byte(k) and not self.b.is_control(k):
+                text = piece.replace(BLANK, " ")
+                for x, y in zip(text, text[1:]):
+                    if x < "\x80" and y < "\x80":
+                        cuts[ord(x), ord(y)] = False
+        return cuts
+
     def words(self, texts: list[bytes]) -> list[list[bytes]]:
         """Every text, behind a space, cut into words."""
-        if not self.cuts_words:
-            return [[b" " + t] for t in texts]
         data = np.frombuffer(b"".join(b" " + t for t in texts), dtype=np.uint8)
         size = np.array([len(t) + 1 for t in texts], dtype=np.int64)
         stop = np.cumsum(size)
-        begins = (data == 0x20)
-        begins[1:] &= (data[:-1] > 0x20) & (data[:-1] < 0x7F)
-        begins[stop - 1] = False  # B gives a lone blank no token
+        begins = np.zeros(len(data), dtype=bool)
+        begins[1:] = self.cuts[data[:-1], data[1:]]
+        # Behind a line end only if that is all of the space there, as A treats longer space by what follows.
+        line = data == 0x0A
+        alone = np.append(False, _KIND[data[:-1]] > 0) & line
+        begins[1:] &= ~line[:-1] | alone[:-1]
+        begins[stop - 1] &= data[stop - 1] != 0x20  # B gives a lone blank no token
         begins[stop - size] = True
         first = np.flatnonzero(begins)
         last = np.append(first[1:], len(data))
@@ -137,48 +162,53 @@ class Aligner:
             part = new[at : at + AT_ONCE]
             text = [w.decode() for w in part]
             a = self.a.encode_batch(text, add_special_tokens=False)
-            b = self.b.encode([t[1:] for t in text], return_type="proto", num_threads=1)
+            b = self.b.encode([t[1:] if t[0] == " " else "\n" + t for t in text], return_type="proto", num_threads=1)
             for word, t, x, y in zip(part, text, a, b):
                 self.known[word] = self.align(word, t, x, y)
         return {w: self.known[w] for w in words}
 
     def align(self, word: bytes, text: str, a, b) -> Word | None:
-        a_ids, a_pieces = a.ids, [self.a_bytes[i] for i in a.ids]
+        a_ids = a.ids
+        a_pieces = [self.a_bytes[i] for i in a_ids]
         found = [(p.id, p.begin, p.end) for p in b.pieces]
+        if text[0] == " ":  # spans are of the text behind the space, which the first piece holds too
+            found = [(i, x + 1 if k else 0, y + 1) for k, (i, x, y) in enumerate(found)]
+        else:
+            found = [(i, x - 1, y - 1) for i, x, y in found[2:]]
         b_ids = [i for i, _, _ in found]
         b_pieces = [self.b_bytes[i] for i in b_ids]
         if b"".join(a_pieces) != word or b"".join(b_pieces) != word:
             return None
-        if len(text) == len(word):
-            spans = a.offsets
-        else:  # characters to bytes
-            byte_at = np.cumsum([0, *[len(c.encode()) for c in text]]).tolist()
-            spans = [(byte_at[x], byte_at[y]) for x, y in a.offsets]
+        spans = a.offsets
+        if len(text) != len(word):  # characters to bytes
+            byte_at = [0, *accumulate(len(c.encode()) for c in text)]
+            spans = [(byte_at[x], byte_at[y]) for x, y in spans]
         a_ends = token_ends([x for x, _ in spans], [y for _, y in spans], a_pieces)
-        # B's spans are of the text behind the space, which the first piece holds too.
-        b_ends = token_ends([0 if k == 0 else x + 1 for k, (_, x, _) in enumerate(found)], [y + 1 for _, _, y in found], b_pieces)
-        cuts = np.intersect1d(a_ends, b_ends)
-        a_at, b_at = (np.append(0, np.searchsorted(e, cuts, side="right")).tolist() for e in (a_ends, b_ends))
-        groups, pairs = [], {}
-        for a0, a1, b0, b1 in zip(a_at[:-1], a_at[1:], b_at[:-1], b_at[1:]):
-            groups.append(",".join(map(str, a_ids[a0:a1])) + "|" + ",".join(map(str, b_ids[b0:b1])))
-            for i in a_ids[a0:a1]:
-                for j in b_ids[b0:b1]:
-                    pairs[i << 32 | j] = pairs.get(i << 32 | j, 0) + 1
-        return Word(len(a_ids), len(b_ids), len(groups), sum(pairs.values()), ";".join(groups).encode(), list(pairs), list(pairs.values()))
-
-
-def _numbers(kind: str, values) -> bytes:
-    return np.asarray(values, dtype=kind).tobytes()
+        b_ends = token_ends([x for _, x, _ in found], [y for _, _, y in found], b_pieces)
+        groups, pairs, links, i, j = [], {}, 0, 0, 0
+        for cut_at in sorted(set(a_ends).intersection(b_ends)):
+            a0, b0 = i, j
+            while i < len(a_ends) and a_ends[i] <= cut_at:
+                i += 1
+            while j < len(b_ends) and b_ends[j] <= cut_at:
+                j += 1
+            own, others = a_ids[a0:i], b_ids[b0:j]
+            groups.append(",".join(map(str, own)) + "|" + ",".join(map(str, others)))
+            links += len(own) * len(others)
+            for x in own:
+                for y in others:
+                    pairs[x << 32 | y] = pairs.get(x << 32 | y, 0) + 1
+        return Word(len(a_ids), len(b_ids), len(groups), links, ";".join(groups).encode(), tuple(pairs), tuple(pairs.values()))
 
 
 def align_chunks(docs: DataFrame, key: str, text: str, first: str | None, second: str | None, chunk_bytes: int) -> DataFrame:
-    """Two kinds of rows, told apart by `pairs`. A document: its counts and digest, and the words it has, as numbers
-    inside its chunk with their times. A chunk: its distinct pairs, in how many documents each is, and the pairs of each
-    word with their times."""
+    """Two kinds of rows, told apart by `times`. A document: its counts and digest, and its distinct pairs, as numbers
+    inside its chunk, with the times it links each. A chunk (`times` is null): its distinct pairs, and in how many of its
+    documents each is. Both as packed numbers, compressed."""
+    import zstandard
+
     kind = docs.schema[key].dataType.simpleString()
     numbers = ["n_a", "n_b", "n_groups", "n_links"]
-    packed = ["words", "times", "pairs", "docs", "word_at", "word_pair", "word_times"]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         aligned = aligner(first, second)
@@ -190,6 +220,7 @@ def align_chunks(docs: DataFrame, key: str, text: str, first: str | None, second
                 yield from one_chunk(aligned, part, chunk)
 
     def one_chunk(aligned: Aligner, part: pa.RecordBatch, chunk: int) -> Iterator[pa.RecordBatch]:
+        squeeze = zstandard.ZstdCompressor(level=1)
         body, at = text_bytes(part.column(1))
         body = body.tobytes()
         texts = [body[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
@@ -199,16 +230,17 @@ def align_chunks(docs: DataFrame, key: str, text: str, first: str | None, second
         order = {w: k for k, w in enumerate(known)}
         entries = list(known.values())
         fine = np.array([e is not None for e in entries], dtype=bool)
-        figures = np.array([[e.n_a, e.n_b, e.n_groups, e.n_links] if e else [0] * 4 for e in entries], dtype=np.int64).reshape(-1, 4)
+        figures = np.array([e[:4] if e else [0] * 4 for e in entries], dtype=np.int64).reshape(-1, 4)
         groups = [e.groups if e else b"" for e in entries]
         flat = np.array([p for e in entries if e for p in e.pairs], dtype=np.int64)
         word_times = np.array([t for e in entries if e for t in e.times], dtype=np.int64)
         pairs, word_pair = np.unique(flat, return_inverse=True)
         size = np.array([len(e.pairs) if e else 0 for e in entries], dtype=np.int64)
-        word_at = np.append(0, np.cumsum(size))
+        word_at = np.cumsum(size) - size
         in_docs = np.zeros(len(pairs), dtype=np.int64)
         totals, digest = np.zeros((part.num_rows, 4), dtype=np.int64), [""] * part.num_rows
-        held, times = [b""] * part.num_rows, [b""] * part.num_rows
+        nothing = squeeze.compress(b"")
+        held, times = [nothing] * part.num_rows, [nothing] * part.num_rows
         for k, own in spelled.items():
             which = np.fromiter((order[w] for w in own), dtype=np.int64, count=len(own))
             distinct, often = np.unique(which, return_counts=True)
@@ -216,38 +248,48 @@ def align_chunks(docs: DataFrame, key: str, text: str, first: str | None, second
                 continue
             totals[k] = often @ figures[distinct]
             digest[k] = hashlib.sha256(b";".join([groups[w] for w in which.tolist()])).hexdigest()
-            held[k], times[k] = _numbers("<u4", distinct), _numbers("<u4", often)
-            in_docs[np.unique(word_pair[ranges(word_at[distinct], size[distinct])])] += 1
-        n = part.num_rows
-        yield batch(part.column(0), np.full(n, chunk), totals, digest, [held, times, *[[None] * n] * 5])
-        yield batch(pa.nulls(1, part.column(0).type), np.array([chunk]), np.zeros((1, 4), dtype=np.int64), [None], [
-            [None], [None], [_numbers("<i8", pairs)], [_numbers("<i8", in_docs)], [_numbers("<i8", word_at)],
-            [_numbers("<u4", word_pair)], [_numbers("<u4", word_times)],
-        ])
-
-    def batch(keys: pa.Array, chunk: np.ndarray, totals: np.ndarray, digest: list, binaries: list) -> pa.RecordBatch:
+            link = ranges(word_at[distinct], size[distinct])
+            linked, place = np.unique(word_pair[link], return_inverse=True)
+            total = np.bincount(place, weights=np.repeat(often, size[distinct]) * word_times[link], minlength=len(linked))
+            held[k], times[k] = squeeze.compress(linked.astype("<u4").tobytes()), squeeze.compress(total.astype("<u4").tobytes())
+            in_docs[linked] += 1
+        there = np.flatnonzero(in_docs)
+        yield batch(part.column(0), np.full(part.num_rows, chunk), totals, digest, held, times)
+        index = [squeeze.compress(np.stack([there, pairs[there], in_docs[there]]).astype("<i8").tobytes())]
+        yield batch(pa.nulls(1, part.column(0).type), np.array([chunk]), np.zeros((1, 4), dtype=np.int64), [None], index, [None])
+
+    def batch(keys: pa.Array, chunk: np.ndarray, totals: np.ndarray, digest: list, held: list, times: list) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays(
             [keys, pa.array(chunk, pa.int64()), *[pa.array(totals[:, c]) for c in range(4)], pa.array(digest, pa.string()),
-             *[pa.array(b, pa.binary()) for b in binaries]],
-            [key, "chunk", *numbers, "groups_sha256", *packed],
+             pa.array(held, pa.binary()), pa.array(times, pa.binary())],
+            [key, "chunk", *numbers, "groups_sha256", "pairs", "times"],
         )
 
-    schema = f"`{key}` {kind}, chunk bigint, " + "".join(f"{c} bigint, " for c in numbers) + "groups_sha256 string, "
-    return docs.select(F.col(key), F.col(text)).mapInArrow(work, schema + ", ".join(f"{c} binary" for c in packed))
+    schema = f"`{key}` {kind}, chunk bigint, " + "".join(f"{c} bigint, " for c in numbers) + "groups_sha256 string, pairs binary, times binary"
+    return docs.select(F.col(key), F.col(text)).mapInArrow(work, schema)
 
 
-def pair_counts(aligned: DataFrame) -> DataFrame:
-    """(pair, n, best): in how many documents each id pair is linked, and whether no pair of its A id is in more."""
+def chunk_pairs(aligned: DataFrame) -> DataFrame:
+    """(chunk, place, pair, n): the pairs of each chunk's documents, their numbers there, and how many have them."""
+    import zstandard
 
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        expand = zstandard.ZstdDecompressor()
         for rows in batches:
-            for pairs, docs in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist()):
+            for chunk, packed in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist()):
+                place, pair, n = np.frombuffer(expand.decompress(packed), dtype="<i8").reshape(3, -1)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.frombuffer(pairs, "<i8")), pa.array(np.frombuffer(docs, "<i8"))], ["pair", "n"]
+                    [pa.array(np.full(len(pair), chunk)), pa.array(place), pa.array(pair), pa.array(n)], ["chunk", "place", "pair", "n"]
                 )
 
-    each = aligned.where(F.col("pairs").isNotNull()).select("pairs", "docs").mapInArrow(unpack, "pair bigint, n bigint")
-    total = cut(each.where(F.col("n") > 0).groupBy("pair").agg(F.sum("n").alias("n")))
+    chunk_rows = aligned.where(F.col("times").isNull()).select("chunk", "pairs")
+    return chunk_rows.mapInArrow(unpack, "chunk bigint, place bigint, pair bigint, n bigint")
+
+
+def pair_counts(aligned: DataFrame) -> DataFrame:
+    """(pair, n, best): in how many documents each id pair is linked, and whether no pair of its A id is in more."""
+
+    total = cut(chunk_pairs(aligned).groupBy("pair").agg(F.sum("n").alias("n")))
     own = F.shiftright("pair", 32)
     top = total.groupBy(own.alias("a")).agg(F.max("n").alias("most"))
     return total.join(top, own == F.col("a")).select("pair", "n", (F.col("n") == F.col("most")).alias("best"))
@@ -263,48 +305,26 @@ def align_tokens(
     n_best counts the links whose id pair is in as many documents as any pair with its A id, and count_sum adds up these
     numbers of documents over the links. The digest is of `a1,a2|b1;a3|b2,b3`: the ids of each group.
     """
-    aligned = cut(align_chunks(docs, key, text, first, second, chunk_bytes))
-    counted = pair_counts(aligned)
+    import zstandard
 
-    def wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in batches:
-            for chunk, pairs in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist()):
-                pairs = np.frombuffer(pairs, "<i8")
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(pairs), chunk)), pa.array(np.arange(len(pairs))), pa.array(pairs)], ["chunk", "place", "pair"]
-                )
-
-    chunk_rows = aligned.where(F.col("pairs").isNotNull())
-    asked = chunk_rows.select("chunk", "pairs").mapInArrow(wanted, "chunk bigint, place bigint, pair bigint")
-    answers = asked.join(counted, "pair").select("chunk", "place", "n", "best")
-    parts = aligned.select(key, "chunk", *[c for c in aligned.columns if c not in (key, "chunk", "pairs", "docs")])
+    aligned = cut(align_chunks(docs, key, text, first, second, chunk_bytes))
+    answers = chunk_pairs(aligned).drop("n").join(pair_counts(aligned), "pair").select("chunk", "place", "n", "best")
+    rows = aligned.where(F.col("times").isNotNull())
     columns = [key, "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"]
 
     def finish(left: pa.Table, right: pa.Table) -> pa.Table:
-        n = np.zeros(int(right.column("place").to_numpy().max(initial=-1)) + 1, dtype=np.int64)
+        expand = zstandard.ZstdDecompressor()
+        place = right.column("place").to_numpy()
+        n = np.zeros(int(place.max(initial=-1)) + 1, dtype=np.int64)
         best = np.zeros(len(n), dtype=np.int64)
-        n[right.column("place").to_numpy()] = right.column("n").to_numpy()
-        best[right.column("place").to_numpy()] = right.column("best").to_numpy(zero_copy_only=False) if right.num_rows else 0
-        is_chunk = pc.is_valid(left.column("word_at"))
-        index = left.filter(is_chunk)
-        rows = left.filter(pc.invert(is_chunk))
-        at = np.frombuffer(index.column("word_at")[0].as_py(), "<i8")
-        pair = np.frombuffer(index.column("word_pair")[0].as_py(), "<u4")
-        often = np.frombuffer(index.column("word_times")[0].as_py(), "<u4").astype(np.int64)
-        # A pair of words that are only in documents without tokens is in no document, and asked for by none.
-        known = pair < len(n)
-        safe = np.where(known, pair, 0)
-        per_word = []
-        for values in (best, n):
-            each = np.where(known, values[safe] * often, 0) if len(n) else np.zeros(len(pair), dtype=np.int64)
-            run = np.append(0, np.cumsum(each))
-            per_word.append(run[at[1:]] - run[at[:-1]])
-        sums = np.zeros((rows.num_rows, 2), dtype=np.int64)
-        for k, (words, times) in enumerate(zip(rows.column("words").to_pylist(), rows.column("times").to_pylist())):
-            own, often = np.frombuffer(words, "<u4"), np.frombuffer(times, "<u4").astype(np.int64)
-            sums[k] = [often @ values[own] for values in per_word]
-        found = rows.append_column("n_best", pa.array(sums[:, 0])).append_column("count_sum", pa.array(sums[:, 1]))
+        n[place] = right.column("n").to_numpy()
+        best[place] = right.column("best").to_numpy() if right.num_rows else 0
+        sums = np.zeros((left.num_rows, 2), dtype=np.int64)
+        for k, (pairs, times) in enumerate(zip(left.column("pairs").to_pylist(), left.column("times").to_pylist())):
+            own, often = (np.frombuffer(expand.decompress(x), dtype="<u4").astype(np.int64) for x in (pairs, times))
+            sums[k] = often @ best[own], often @ n[own]
+        found = left.append_column("n_best", pa.array(sums[:, 0])).append_column("count_sum", pa.array(sums[:, 1]))
         return found.select(columns)
 
     schema = f"`{key}` {docs.schema[key].dataType.simpleString()}, " + "".join(f"{c} bigint, " for c in columns[1:-1]) + "groups_sha256 string"
-    return parts.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(finish, schema)
+    return rows.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(finish, schema)
