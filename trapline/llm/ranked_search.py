@@ -44,7 +44,7 @@ from trapline.session import cut
 
 TOP = 50
 BLOCK = 128
-SEGMENT_BYTES = 8 << 20
+SEGMENT_BYTES = 4 << 20
 ITEM_BYTES = 2 << 20  # of terms of the items that are searched at a time
 
 #: Which bytes are no part of a term.
