@@ -171,25 +171,116 @@ def test_probe_learns_a_separable_table(separable):
     assert scores["test_acc"] > 95 and scores["test_acc_bal"] > 95
 
 
-def test_probe_matches_a_direct_minimization(spark, separable):
+def plain_fit(x, y, classes, c, rounds=6000):
+    """The weights and intercepts that minimize c * sum(loss) + |w|^2 / 2, by plain gradient steps."""
+    w, b, step = np.zeros((classes, x.shape[1])), np.zeros(classes), 0.5 / (1 + c * len(x) * 0.5)
+    for _ in range(rounds):
+        p = np.exp(x @ w.T + b)
+        p /= p.sum(axis=1, keepdims=True)
+        gap = p - np.eye(classes)[y]
+        w -= step * (c * gap.T @ x + w)
+        b -= step * c * gap.sum(axis=0)
+    return w, b
+
+
+def prepared(train, test):
+    """Standardized unit rows and codes of both tables, sorted by id, and the ids of the training rows."""
+    train, test = (sorted(t.collect(), key=lambda r: r.id) for t in (train, test))
+    raw = [np.array([r.features for r in t]) for t in (train, test)]
+    scaled = [(r - raw[0].mean(axis=0)) / raw[0].std(axis=0, ddof=1) for r in raw]
+    x = [s / np.linalg.norm(s, axis=1, keepdims=True) for s in scaled]
+    return x, [np.array([int(r.label[1:]) for r in t]) for t in (train, test)], [r.id for r in train]
+
+
+def test_probe_matches_a_direct_minimization(separable):
     """The fitted weights minimize C * sum(loss) + 0.5 * ||w||^2 over the scaled rows."""
-    from pyspark.ml.functions import vector_to_array
+    fits, _, _ = probe.fit_probes(*separable, "id", [probe.Task("label")], c=0.1)
+    (x, _), (y, _), _ = prepared(*separable)
+    w, b = plain_fit(x, y, 3, 0.1)
+    assert fits[0].converged and np.allclose(fits[0].weights[:, :-1], w, atol=5e-3)
+    assert np.allclose(np.diff(fits[0].weights[:, -1]), np.diff(b), atol=5e-3)
+
+
+def noisy(spark):
+    """Classes that overlap, so that strengths differ in their fold accuracies."""
+    rng = np.random.default_rng(11)
+    centres = np.eye(3, 8) * 1.2
+    rows = [(i, (centres[i % 3] + rng.normal(size=8)).tolist(), f"c{i % 3}", f"l{i % 2}", i % 5 == 0, i % 3 != 1 or i < 150) for i in range(300)]
+    table = spark.createDataFrame(rows, "id bigint, features array<double>, label string, location string, test boolean, p1 boolean").cache()
+    return table.where(~F.col("test")), table.where("test")
 
-    from trapline.operators.encoding import joint_label_encode
 
-    x_train, _ = probe.prepare(*joint_label_encode(*separable, "label", "y"))
-    data = x_train.select(vector_to_array("x").alias("x"), "y").collect()
-    x, y = np.array([r.x for r in data]), np.array([r.y for r in data])
-    w, b, c = np.zeros((3, x.shape[1])), np.zeros(3), 0.1
-    for _ in range(4000):
-        logits = x @ w.T + b
-        p = np.exp(logits - logits.max(axis=1, keepdims=True))
-        p /= p.sum(axis=1, keepdims=True)
-        gap = p - np.eye(3)[y]
-        w -= 0.02 * (c * gap.T @ x + w)
-        b -= 0.02 * c * gap.sum(axis=0)
-    model = probe.fit(x_train, c)
-    assert np.allclose(model.coefficientMatrix.toArray(), w, atol=5e-3)
+def test_grid_and_accuracies_as_plain_fits(spark):
+    """Fold means, the chosen strength, and both accuracies, against plain fits of every fold."""
+    train, test = noisy(spark)
+    grid, folds = (0.01, 0.3, 10.0), 3
+    fits, results, means = probe.fit_probes(train, test, "id", [probe.Task("label")], grid=grid, folds=folds)
+    (x, held), (y, truth), ids = prepared(train, test)
+    dealt = {r.id: r.fold for r in probe.stratified_folds(train, "id", "label", folds).collect()}
+    fold = np.array([dealt[i] for i in ids])
+    want = {}
+    for c in grid:
+        scores = []
+        for f in range(folds):
+            w, b = plain_fit(x[fold != f], y[fold != f], 3, c)
+            scores.append(((x[fold == f] @ w.T + b).argmax(axis=1) == y[fold == f]).mean() * 100)
+        want[c] = np.mean(scores)
+    assert means[0] == pytest.approx(want)
+    best = max(grid, key=lambda c: want[c])
+    assert fits[0].c == results[0]["c"] == best
+    w, b = plain_fit(x, y, 3, best)
+    hit = (held @ w.T + b).argmax(axis=1) == truth
+    assert results[0]["test_acc"] == pytest.approx(hit.mean() * 100)
+    assert results[0]["test_acc_bal"] == pytest.approx(np.mean([hit[truth == k].mean() for k in range(3)]) * 100)
+
+
+def test_side_by_side_as_one_by_one(spark, monkeypatch):
+    """Several targets and budgets in one go give what each gives alone, also in many passes and many blocks."""
+    from trapline.operators import blocked_fit
+
+    train, test = noisy(spark)
+    tasks = [probe.Task("label"), probe.Task("label", "p1"), probe.Task("location", "p1")]
+    grid = (0.1, 1.0)
+    _, alone, _ = zip(*[probe.fit_probes(train, test, "id", [t], grid=grid, folds=3) for t in tasks])
+    monkeypatch.setattr(blocked_fit, "BLOCK_BYTES", 700)
+    monkeypatch.setattr(blocked_fit, "PASS_BYTES", 300)
+    monkeypatch.setattr(blocked_fit, "SHARES", 2)
+    _, together, _ = probe.fit_probes(train.repartition(5), test, "id", tasks, grid=grid, folds=3)
+    assert together == [r[0] for r in alone]
+    assert together[1]["n_train"] == train.where("p1").count() and together[0]["n_train"] == train.count()
+
+
+def test_classes_that_a_sample_lacks(spark):
+    """A class only in the test rows is never predicted, one of a single row is learned where it is; null labels stay out."""
+    rows = [(i, [float(i % 2), 1.0 - i % 2, 0.1 * i], f"c{i % 2}", i < 20) for i in range(24)]
+    rows += [(30, [5.0, 5.0, 1.0], "only", False), (31, [-3.0, -3.0, 0.0], "single", True), (32, [0.0, 0.0, 0.0], None, True)]
+    table = spark.createDataFrame(rows, "id bigint, features array<double>, label string, train boolean")
+    got = probe.linear_probe(table.where("train"), table.where(~F.col("train")), grid_search=True)
+    assert (got["n_train"], got["n_test"], got["n_classes"]) == (21, 5, 4)
+    assert got["test_acc"] == pytest.approx(80.0) and got["test_acc_bal"] == pytest.approx(200 / 3)
+    one = table.where("id = 31")
+    assert probe.linear_probe(one, table.where(~F.col("train")), grid_search=True)["c"] == probe.C_GRID[0]
+
+
+def test_evaluation_joins_by_key_and_writes_results(spark, tmp_path, separable):
+    """The plan takes a dataset's splits, the sample flags and features by key, list parts once."""
+    from trapline.plans import evaluation
+
+    rows = separable[0].unionByName(separable[1])
+    context = rows.select(
+        F.concat(F.lit("p"), "id").alias("img_path"), F.when(F.col("test"), "test").otherwise("train").alias("img_set"),
+        F.col("label").alias("species"), "location", F.col("p1").alias("is_in_train_1perc"), F.col("p10").alias("is_in_train_10perc"),
+        F.explode(F.array(F.lit(0), F.lit(1))).alias("list_part"),
+    ).unionByName(spark.createDataFrame([("none", "train", "c0", "l0", True, True, 0)], "img_path string, img_set string, species string, location string, is_in_train_1perc boolean, is_in_train_10perc boolean, list_part int"))
+    features = rows.select(F.concat(F.lit("p"), "id").alias("img_path"), "features")
+    path = str(tmp_path / "results")
+    found = evaluation.evaluate(context, features, "serengeti", path=path, settings={"run": 1}, grid_search=False)
+    got = {(r.target, r.split_pct, r.metric): r.value for r in found.collect()}
+    train = separable[0]
+    assert got["species", 1, "n_train"] == train.where("p1").count() and got["location", 10, "n_train"] == train.where("p10").count()
+    assert got["species", 100, "n_train"] == 270 and got["species", 100, "test_acc"] > 95
+    written = spark.read.json(path)
+    assert written.count() == found.count() and '"run": 1' in written.first().settings
 
 
 def test_standardized_training_rows(separable):
@@ -212,10 +303,8 @@ def test_grid_folds_and_budgets(separable):
 
 
 def test_grid_search_picks_the_first_best(separable):
-    from trapline.operators.encoding import joint_label_encode
-
-    x_train, _ = probe.prepare(*joint_label_encode(*separable, "label", "y"))
-    best, means = probe.probe_grid_search(x_train.select("id", "x", "y"), "id", grid=(0.01, 1.0), folds=3, max_iter=30)
+    train, _ = separable
+    best, means = probe.probe_grid_search(train, "id", grid=(0.01, 1.0), folds=3, max_iter=30)
     assert set(means) == {0.01, 1.0} and best == max((0.01, 1.0), key=means.get)
 
 
@@ -223,18 +312,20 @@ def test_registered_target_probe_searches(spark, separable, monkeypatch):
     """Every fit of the query takes the strength with the greatest mean of its folds."""
     from trapline.checks import vector_checks
 
-    flags = {"p1": "is_in_train_1perc", "p10": "is_in_train_10perc"}
-    parts = [part.withColumnsRenamed(flags) for part in separable]
-    search, found = probe.probe_grid_search, []
-
-    def small(train, key, **options):
-        best, means = search(train, key, grid=(0.001, 100.0), folds=2, max_iter=5)
-        found.append(max(means, key=means.get))
-        return best, means
-
-    monkeypatch.setattr(vector_checks, "split_features", lambda spark, d: parts)
-    monkeypatch.setattr(vector_checks, "comparable", lambda scores: scores)
-    monkeypatch.setattr(probe, "probe_grid_search", small)
-    rows = vector_checks.probe_targets(spark, "").where(F.col("metric") == "c").collect()
-    chosen = {(r.target, r.split_pct): r.value for r in rows}
-    assert [chosen[target, percent] for target in ("label", "location") for percent in (1, 10, 100)] == found
+    seen, fit = [], probe.fit_probes
+
+    def watched(*args, **options):
+        out = fit(*args, **options)
+        seen.append((options["grid"], [f.c for f in out[0]], out[2]))
+        return out
+
+    names = {"p1": "is_in_train_1perc", "p10": "is_in_train_10perc", "id": "img_path", "label": "species", "location": "region"}
+    parts = tuple(part.withColumnsRenamed(names) for part in separable)
+    monkeypatch.setattr(vector_checks.evaluation, "probe_rows", lambda *_: parts)
+    monkeypatch.setattr(vector_checks, "labelled_crops", lambda *_: None)
+    monkeypatch.setattr(vector_checks, "crop_features", lambda *_: None)
+    monkeypatch.setattr(probe, "fit_probes", watched)
+    rows = vector_checks.probe_targets(spark, "").collect()
+    (grid, chosen, means), = seen
+    assert grid == probe.C_GRID and chosen == [max(grid, key=m.get) for m in means] and len(chosen) == 6
+    assert {r.metric for r in rows} == {"n_train", "n_test", "n_classes", "converged", "test_acc", "test_acc_bal"}
