@@ -4,9 +4,15 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+ARROW_BYTES = 32 << 20
+
+_recorded: list[list[str]] = []  # one list for every `tables_of` that is open
+
 
 def configure(spark: SparkSession) -> SparkSession:
     """UTC capture times, runtime re-planning, and splitting of skewed join partitions."""
@@ -15,6 +21,7 @@ def configure(spark: SparkSession) -> SparkSession:
     spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "true")
     spark.conf.set("spark.sql.adaptive.forceOptimizeSkewedJoin", "true")  # split hot keys even if it costs a shuffle
     spark.conf.set("spark.sql.execution.arrow.pyspark.enabled", "true")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))  # long rows make small batches
     return spark
 
 
@@ -43,7 +50,26 @@ def cut(df: DataFrame) -> DataFrame:
     lets Catalyst broadcast what is really small.
     """
     path = shared_path(df.sparkSession, "table")
-    df.write.parquet(path)
+    for paths in _recorded:
+        paths.append(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def tables_of() -> Iterator[list[str]]:
+    """The paths of all tables that `cut` writes inside the block."""
+    paths: list[str] = []
+    _recorded.append(paths)
+    try:
+        yield paths
+    finally:
+        _recorded.remove(paths)
+
+
+def remove_tables(spark: SparkSession, paths: list[str]) -> None:
+    """Deletes tables that no later step reads."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    for path in paths:
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(conf).delete(where, True)
