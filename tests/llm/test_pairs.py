@@ -197,6 +197,19 @@ def test_later_copies_of_whole_runs_go(spark, min_words):
     assert line_runs.drop_later_runs(frame(spark, texts).limit(0)).count() == 0
 
 
+def test_line_dedup_of_its_own_output_and_odd_names(spark):
+    """Columns that are named like helpers or like the result are no hindrance."""
+    texts = [f"a\n{LONG_LINE}", f"b\n{LONG_LINE}\nc", None]
+    docs = frame(spark, texts).withColumnsRenamed({"cls": "_doc", "z": "_gone", "n": "n_removed", "line": "c0", "row": "_removed", "root": "id"})
+    for drop in (line_runs.drop_later_runs, line_runs.drop_repeated_lines):
+        once = drop(docs)
+        assert once.columns == [*[c for c in docs.columns if c != "n_removed"], "n_removed"]
+        again = drop(once).collect()
+        assert [r.n_removed for r in again] == [0, 0, 0] and {r["_doc"] for r in again} == {"c"} and {r.c0 for r in again} == {"l"}
+    rows = {r.doc_id: r for r in line_runs.drop_later_runs(docs, removed="_gone").collect()}
+    assert rows[1].text == "b\nc" and rows[1]["_gone"] == 1 and rows[1].n_removed == 1
+
+
 def test_suffix_array_and_common_prefixes(spark):
     draw = random.Random(9)
     docs = [[draw.randrange(4) for _ in range(draw.randrange(1, 30))] for _ in range(20)]

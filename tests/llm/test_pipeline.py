@@ -4,7 +4,7 @@ import brute
 import corpus_pipeline as cp
 import pytest
 from test_packing import check, ids_of
-from test_pairs import brute_components, brute_lines
+from test_pairs import brute_components, brute_runs
 
 from trapline.llm import decision_list
 
@@ -57,7 +57,7 @@ def test_every_stage_on_what_the_one_before_kept(spark, sf_dir, monkeypatch):
     assert found == {k: tuple(r) for k, r in rows.items() if plain_verdict(rules, r.text)}
 
     ids = sorted(found)
-    texts = brute_lines([found[i][1] for i in ids], 2, 10)
+    texts = brute_runs([found[i][1] for i in ids], 10)
     expected = {}
     for k, i in enumerate(ids):
         text, gone = texts[k]

@@ -24,6 +24,7 @@ from trapline.session import cut
 
 WINDOW = 5
 BINS = 32
+LEARN_ROWS = 50_000
 MAX_RULES = 16
 MAX_CONDITIONS = 4
 MIN_PRECISION = 0.9
@@ -258,15 +259,24 @@ def judged(statistics: DataFrame, rules: list[Rule]) -> DataFrame:
     return found.withColumn("kept", ~F.col("base_failed") & F.col("rule").isNull())
 
 
-def keep_good(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", quality: str = "quality") -> DataFrame:
-    """The rows of `docs` that are kept, with all columns.
+def keep_good(
+    docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", quality: str = "quality", learn_rows: int = LEARN_ROWS
+) -> DataFrame:
+    """The rows of `docs` that are kept, with all columns. Rules are learned from about `learn_rows` labelled rows at most,
+    by a hash of the id; so many ids are sent to all tasks.
 
-    The rows are written out once with their statistics: learning reads the statistics alone, and a filter on
-    statistics that are not written would be pushed below them and compute them again for each of its conditions.
+    Of all rows only the statistics that the rules ask about are computed, in the pass that filters them: nothing but the
+    labelled statistics is written.
     """
+    marked = labels.where(F.col(quality).isNotNull() & F.col(key).isNotNull()).select(key).distinct()
+    share = F.lit(learn_rows) / F.greatest(F.lit(marked.count()), F.lit(1))
+    some = marked.where(F.pmod(F.xxhash64(F.lit("learn"), key), F.lit(1 << 30)) < share * (1 << 30))
+    labelled = with_statistics(docs.join(F.broadcast(some), key, "left_semi"), key, text)
+    rules = learn(with_labels(labelled, labels, key, quality))
     columns = [F.col(c).alias(f"_{i}") for i, c in enumerate(docs.columns)]
     carried = docs.select(F.struct(*columns).alias("_doc"), F.col(key), F.col(text))
-    statistics = cut(with_statistics(carried, key, text, carry=["_doc"]))
-    rules = learn(with_labels(statistics.drop("_doc"), labels, key, quality))
-    rows = judged(statistics, rules).where("kept")
+    asked = sorted({"n_words", "n_repeat_words", *[c for rule in rules for x in rule for c in FEATURES[x.feature] if c]})
+    # A filter would be pushed below the statistics, and compute them again for each of its conditions; not past a generator.
+    statistics = with_statistics(carried, key, text, carry=["_doc"]).select("_doc", F.explode(F.array(F.struct(*asked))).alias("_s"))
+    rows = judged(statistics.select("_doc", "_s.*"), rules).where("kept")
     return rows.select(*[F.col(f"_doc._{i}").alias(c) for i, c in enumerate(docs.columns)])

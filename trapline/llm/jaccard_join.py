@@ -195,11 +195,25 @@ def prefix_lists(docs: DataFrame, key: str, text: str, width: int, percent: int,
     return cut(light.unionByName(sized))
 
 
+def _own_class(width: int):
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in batches:
+            for at in range(0, rows.num_rows, 500):
+                z = rows.column("z").slice(at, 500)
+                cls = [class_number(s) for s in shingle_sets(unpack_texts(z), width)]
+                yield pa.RecordBatch.from_arrays([pa.array(cls, pa.int64()), z], ["cls", "z"])
+
+    return work
+
+
 def class_texts(docs: DataFrame, key: str, text: str, width: int, classes: DataFrame, wanted: DataFrame) -> DataFrame:
     """(cls, n, signature, z) of the wanted classes: the text of one document of each, compressed."""
     first = classes.groupBy("cls").agg(F.min(key).alias("_id")).join(wanted.select("cls").distinct(), "cls")
-    texts = compressed_text(docs, key, text)
-    joined = texts.join(first, texts[key].eqNullSafe(first["_id"])).select("cls", "z")
+    texts = compressed_text(docs.where(F.col(key).isNotNull()), key, text)
+    joined = texts.join(first, texts[key] == first["_id"]).select("cls", "z")
+    # Classes of rows without an id are found by their sets.
+    unnamed = compressed_text(docs.where(F.col(key).isNull()), key, text).mapInArrow(_own_class(width), "cls bigint, z binary")
+    joined = joined.unionByName(unnamed.join(first.where(F.col("_id").isNull()).select("cls"), "cls", "left_semi"))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
@@ -310,20 +324,24 @@ def pairs_across(lists: DataFrame, comps: DataFrame, texts: DataFrame, percent:
 
 
 def verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs whose sets are alike."""
+    """The pairs whose sets are alike. Pairs stay where the second join has dealt them; a class with many pairs is split
+    there as other skewed keys are, and a text is taken apart once for a slice of pairs."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in groups(batches, 1):
-            one = shingle_sets(unpack_texts(table.column("z_a").combine_chunks().slice(0, 1)), width)[0]
-            for at in range(0, table.num_rows, 500):
-                part = table.slice(at, 500)
-                others = shingle_sets(unpack_texts(part.column("z_b").combine_chunks()), width)
-                alike = pa.array([linked(one, other, percent) for other in others], pa.bool_())
-                yield from part.select(["a", "b"]).filter(alike).to_batches()
+        for rows in batches:
+            for at in range(0, rows.num_rows, 500):
+                part = rows.slice(at, 500)
+                sets = []
+                for name in ("a", "b"):
+                    _, first, place = np.unique(part.column(name).to_numpy(), return_index=True, return_inverse=True)
+                    distinct = shingle_sets(unpack_texts(part.column(f"z_{name}").take(pa.array(first))), width)
+                    sets.append([distinct[k] for k in place])
+                alike = pa.array([linked(one, other, percent) for one, other in zip(*sets)], pa.bool_())
+                yield part.select(["a", "b"]).filter(alike)
 
     z = texts.select("cls", "z")
     joined = pairs.join(z.withColumnsRenamed({"cls": "b", "z": "z_b"}), "b").join(z.withColumnsRenamed({"cls": "a", "z": "z_a"}), "a")
-    return side_by_side(joined.select("a", "b", "z_a", "z_b"), "a").mapInArrow(work, "a bigint, b bigint")
+    return joined.select("a", "b", "z_a", "z_b").mapInArrow(work, "a bigint, b bigint")
 
 
 def jaccard_components(

@@ -14,7 +14,8 @@ corpus order (id, then line) stays, and the lines of all others are deleted if t
 
 A null text is empty, has no lines and stays null. Blank lines are never compared nor deleted. Rows that are equal in
 id and text are one document, reported as often as they are there; rows with equal ids and different texts are
-different documents. An empty table gives no rows; other columns are kept.
+different documents. An empty table gives no rows; other columns are kept, whatever their names, but one that has the name
+of the number of deleted lines is replaced.
 
 `drop_later_runs` deletes the later copies of whole maximal runs, of one line or of many, whose words reach MIN_WORDS
 in total. A maximal run at a place is the longest that also stands at an earlier place, which may overlap it. Its lines
@@ -169,14 +170,15 @@ def repeated_runs(docs: DataFrame, key: str = "doc_id", text: str = "text", min_
 
 
 def drop_repeated_lines(
-    docs: DataFrame, key: str = "doc_id", text: str = "text", min_lines: int = MIN_LINES, min_words: int = MIN_WORDS
+    docs: DataFrame, key: str = "doc_id", text: str = "text", min_lines: int = MIN_LINES, min_words: int = MIN_WORDS,
+    removed: str = "n_removed",
 ) -> DataFrame:
     """All rows and columns of `docs`, with later copies of repeated runs deleted from the text, and `n_removed`, the
     number of deleted lines. A place counts if its first `min_lines` lines have `min_words` words or more."""
     runs = repeated_runs(docs, key, text, min_lines)
     later = runs.where(~F.col("first") & (F.col("words") >= min_words)).select(F.col("doc").alias("_doc"), "ahead")
     gone = later.groupBy("_doc").agg(F.array_distinct(F.flatten(F.collect_list("ahead"))).alias("_gone"))
-    return _delete(docs, key, text, gone, lambda lines, places: set(places))
+    return _delete(docs, key, text, gone, lambda lines, places: set(places), removed)
 
 
 def least_windows(lines: DataFrame, array: DataFrame, min_words: int) -> DataFrame:
@@ -239,16 +241,18 @@ def _windows(min_words: int):
     return work
 
 
-def drop_later_runs(docs: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
+def drop_later_runs(
+    docs: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS, removed: str = "n_removed"
+) -> DataFrame:
     """All rows and columns of `docs`, with the later copies of maximal repeated runs of lines with `min_words` words or
-    more (at least one) in total deleted from the text, and `n_removed`, the number of deleted lines."""
+    more (at least one) in total deleted from the text, and the number of deleted lines in `removed`."""
     lines = cut(repeated_lines(line_sequences(docs, key, text, 1)))
     places = cut(least_windows(lines, suffix_array(lines, min_words), min_words))
     group, order = ["size", "one", "two"], F.struct("id", "doc", "idx")
     firsts = places.groupBy(*group).agg(F.min(order).alias("_least"), F.count("*").alias("_n")).where(F.col("_n") > 1)
     later = places.join(firsts, group).where(~order.eqNullSafe(F.col("_least")))
     spans = later.groupBy(F.col("doc").alias("_doc")).agg(F.collect_set(F.struct("start", "stop")).alias("_gone"))
-    return _delete(docs, key, text, spans, _in_spans)
+    return _delete(docs, key, text, spans, _in_spans, removed)
 
 
 def _in_spans(lines: list[str], gone: list[dict]) -> set[int]:
@@ -257,15 +261,21 @@ def _in_spans(lines: list[str], gone: list[dict]) -> set[int]:
     return {k for k in inside if lines[k].strip(" \t\n\v\f\r")}
 
 
-def _delete(docs: DataFrame, key: str, text: str, gone: DataFrame, places) -> DataFrame:
-    """`docs` without the lines that `places` makes of a text's lines and the document's `_gone`."""
-    sent = docs.withColumn("_doc", document_number(key, text)).mapInArrow(
-        _compress(docs.columns.index(text)), StructType([*_with_type(docs, text, BinaryType()), StructField("_doc", LongType())])
+def _delete(docs: DataFrame, key: str, text: str, gone: DataFrame, places, removed: str) -> DataFrame:
+    """`docs` without the lines that `places` makes of a text's lines and the document's `_gone`; their number in
+    `removed`, in place of a column of that name. Helper columns have names that no column of `docs` has."""
+    docs = docs.drop(removed)
+    columns = [f"c{i}" for i in range(len(docs.columns))]
+    plain = docs.toDF(*columns)
+    at, kind = docs.columns.index(text), docs.schema[text].dataType
+    number = document_number(columns[docs.columns.index(key)], columns[at])
+    sent = plain.withColumn("_doc", number).mapInArrow(
+        _compress(at), StructType([*_with_type(plain, columns[at], BinaryType()), StructField("_doc", LongType())])
     )
     # What is deleted grows with the corpus, so this join is by a shuffle at every size, never by a broadcast.
-    joined = sent.join(cut(gone).hint("merge"), "_doc", "left").select(*docs.columns, "_gone")
-    result = StructType([*_with_type(docs, text, docs.schema[text].dataType), StructField("n_removed", IntegerType())])
-    return joined.mapInArrow(_without_lines(docs.columns.index(text), places), result)
+    joined = sent.join(cut(gone).hint("merge"), "_doc", "left").select(*columns, "_gone")
+    result = StructType([*_with_type(plain, columns[at], kind), StructField("_removed", IntegerType())])
+    return joined.mapInArrow(_without_lines(at, places), result).toDF(*docs.columns, removed)
 
 
 def _with_type(docs: DataFrame, column: str, kind: DataType) -> list[StructField]:
@@ -304,7 +314,7 @@ def _without_lines(at: int, places):
                 removed.append(len(left_out))
             kept = batch.set_column(at, batch.schema.names[at], pa.array(texts, pa.string()))
             last = kept.schema.get_field_index("_gone")
-            yield kept.set_column(last, "n_removed", pa.array(removed, pa.int32()))
+            yield kept.set_column(last, "_removed", pa.array(removed, pa.int32()))
 
     return work
 

@@ -58,11 +58,11 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_runs.line_report(line_runs.drop_repeated_lines(table(spark, sf_dir, "documents")))
+    return line_runs.line_report(line_runs.drop_later_runs(table(spark, sf_dir, "documents")))
 
 
-def op10_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_runs.line_report(line_runs.drop_later_runs(table(spark, sf_dir, "documents")))
+def op10_line_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_runs.line_report(line_runs.drop_repeated_lines(table(spark, sf_dir, "documents")))
 
 
 def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -87,8 +87,8 @@ CHECKS = {
     "op7_decontamination": (op7_decontamination, containment.ORACLE_SQL),
     "op8_quality_classifier": (op8_quality_classifier, None),
     "op9_url_filter": (op9_url_filter, None),
-    "op10_line_dedup": (op10_line_dedup, line_runs.ORACLE_SQL),
-    "op10_line_runs": (op10_line_runs, line_runs.RUNS_SQL),
+    "op10_line_dedup": (op10_line_dedup, line_runs.RUNS_SQL),
+    "op10_line_windows": (op10_line_windows, line_runs.ORACLE_SQL),
     "op11_token_alignment": (op11_token_alignment, None),
     "op12_minhash_dedup": (op12_minhash_dedup, bbit_minhash.ORACLE_SQL),
     "op13_ranked_search": (op13_ranked_search, ranked_search.ORACLE_SQL),
