@@ -1,16 +1,21 @@
 """From raw documents to packed sequences: quality rules, line dedup, n-gram Jaccard join, decontamination, packing.
 
 Each stage works on all rows that the stage before has kept, returns the columns of `documents` (the last one: the
-pieces of packed sequences), and is written out as Parquet before the next one reads it.
+pieces of packed sequences), and is written out as Parquet before the next one reads it. A stage's own tables are deleted
+when the next stage begins, unless that stage's input still reads them.
 """
 
 from __future__ import annotations
 
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trapline.llm import containment, decision_list, jaccard_join, line_runs, packing
-from trapline.session import configure, cut
+from trapline.session import configure, cut, remove_tables, tables_of
+
+_left: list[str] = []  # tables of the stage before
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -20,7 +25,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Later copies of repeated runs of lines go, and documents of which no words are left then. `n_chars` follows."""
-    found = line_runs.drop_repeated_lines(docs)
+    found = line_runs.drop_later_runs(docs)
     changed = F.col("n_removed") > 0
     kept = found.where(~changed | F.col("text").rlike("[^\\x20\\x09-\\x0D]"))
     length = F.when(changed, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
@@ -42,12 +47,29 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return packing.pack(docs)
 
 
+def tidied(stage):
+    """The stage, after the tables of the stage before are deleted."""
+
+    @wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        sources = docs.inputFiles() if _left else []
+        done = [path for path in _left if not any(path.rsplit("/", 1)[-1] in source for source in sources)]
+        remove_tables(spark, done)
+        kept = [path for path in _left if path not in done]
+        with tables_of() as paths:
+            found = stage(spark, docs, sf_dir)
+        _left[:] = [*kept, *paths]
+        return found
+
+    return run_stage
+
+
 STAGES = [
-    ("quality_rules", quality_rules),
-    ("line_dedup", line_dedup),
-    ("ngram_jaccard", ngram_jaccard),
-    ("decontamination", decontamination),
-    ("packing", pack_sequences),
+    ("quality_rules", tidied(quality_rules)),
+    ("line_dedup", tidied(line_dedup)),
+    ("ngram_jaccard", tidied(ngram_jaccard)),
+    ("decontamination", tidied(decontamination)),
+    ("packing", tidied(pack_sequences)),
 ]
 
 #: A learned list and token ids are beyond SQL; the tests compare the pipeline with plain versions of its stages.
