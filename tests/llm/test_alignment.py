@@ -77,7 +77,7 @@ def brute(texts, encoders):
 ODD = [
     None, "", " ", "  a", "a  b ", "end ", "\n", "x\ny", " \t\n  z", "a\n  b", "a \n b", "a  b", "a　 b  c", "日本語 é 😀ok 👩‍👩‍👧 ｆｕｌｌ",
     "a▁b c", "plain", "<|endoftext|> <s> </s> <unk> <0x41> <pad>", "it's we'll DON'T  I'm", "0123456789 1,234.56", "\x00a \x7f b\x01 c",
-    "é ́x ﬁ ½ ™", "x" * 3_000, "ab" * 500 + " " + "日" * 300, "tab\there  two\r\nlines \r x", " line  par", "a\x1c b\x85 c", "!?... -- __ @@ ##", "a.b, (c) d1 2e 3.4% f\n\ng\nh. \ni \n", "x'y 'z ''s 's' e.\n", "a\n", "(a) ", "العربية текст ελληνικά",
+    "é ́x ﬁ ½ ™", "x" * 3_000, "ab" * 500 + " " + "日" * 300, "tab\there  two\r\nlines \r x", " line  par", "a\x1c b\x85 c", "!?... -- __ @@ ##", "a.b, (c) d1 2e 3.4% f\n\ng\nh. \ni \n", "x'y 'z ''s 's' e.\n", "a\n", "(a) ", "é à ñ\nü ×\n ß÷ Ж д\n\nж ", "العربية текст ελληνικά",
 ]
 
 
@@ -118,7 +118,7 @@ def test_words_are_where_whole_texts_are_cut(encoders):
         assert b"".join(words) == b" " + text.encode()
         known = aligned.look_up(set(words))
         if all(known[w] for w in words):
-            groups = b";".join(known[w].groups for w in words).decode()
+            groups = b";".join(known[w][ta.GROUPS] for w in words).decode()
             a = [int(x) for g in groups.split(";") for x in g.split("|")[0].split(",")]
             assert a == [i for i, _ in encoders[0](text)]
 

@@ -28,7 +28,6 @@ import hashlib
 import os
 from collections.abc import Iterator
 from itertools import accumulate
-from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -42,7 +41,7 @@ from trapline.session import cut
 
 FIRST_VOCABULARY = "byte_bpe_50k.json"
 SECOND_VOCABULARY = "piece_bpe_32k.model"
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 2 << 20
 REMEMBERED = 300_000
 AT_ONCE = 10_000  # words that go to a tokenizer in one call
 BLANK = "▁"
@@ -82,16 +81,10 @@ def token_ends(begins: list[int], ends: list[int], decoded: list[bytes], low: in
     return out
 
 
-class Word(NamedTuple):
-    """Tokens and groups of a distinct word; `pairs` are its linked id pairs and `times` how often each is linked."""
-
-    n_a: int
-    n_b: int
-    n_groups: int
-    n_links: int
-    groups: bytes
-    pairs: tuple[int, ...]
-    times: tuple[int, ...]
+#: (A tokens, B tokens, groups, links, their text, linked id pairs, how often each is linked) of a distinct word. Plain
+#: tuples of plain values, as the garbage collector leaves them alone.
+Word = tuple[int, int, int, int, bytes, tuple[int, ...], tuple[int, ...]]
+GROUPS, PAIRS, TIMES = 4, 5, 6
 
 
 LETTER, DIGIT, MARK = 1, 2, 3
@@ -115,8 +108,12 @@ class Aligner:
         pieces = [self.b.id_to_piece(i) for i in range(self.b.vocab_size())]
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace(BLANK, " ").encode() for i, p in enumerate(pieces)]
         self.cuts = self.places_to_cut(pieces)
+        self.whole_words = not any(BLANK in p.lstrip(BLANK) or "\n" in p for k, p in enumerate(pieces) if not self.b.is_byte(k))
+        self.a_text, self.b_text = ([str(i) for i in range(n)] for n in (max(self.a_bytes) + 1, len(pieces)))
         self.remembered = remembered
-        self.known: dict[bytes, Word | None] = {}
+        self.young: dict[bytes, Word | None] = {}  # words of late chunks, and before them
+        self.old: dict[bytes, Word | None] = {}
+        self.shared: dict = {}  # pairs and times that many words have
 
     def places_to_cut(self, pieces: list[str]) -> np.ndarray:
         """Whether a word can begin at the second of two bytes."""
@@ -140,6 +137,10 @@ class Aligner:
         stop = np.cumsum(size)
         begins = np.zeros(len(data), dtype=bool)
         begins[1:] = self.cuts[data[:-1], data[1:]]
+        if self.whole_words:  # a blank or line end behind a character of two bytes from U+00C0 on, none of which is space
+            ends = np.zeros(len(data), dtype=bool)
+            ends[2:] = (data[:-2] >= 0xC3) & (data[:-2] <= 0xDF) & (data[1:-1] >= 0x80)
+            begins |= ends & ((data == 0x20) | (data == 0x0A))
         # Behind a line end only if that is all of the space there, as A treats longer space by what follows.
         line = data == 0x0A
         alone = np.append(False, _KIND[data[:-1]] > 0) & line
@@ -155,36 +156,46 @@ class Aligner:
 
     def look_up(self, words: set[bytes]) -> dict[bytes, Word | None]:
         """The alignment of each word, None where the joined bytes of A or B differ from it."""
-        if len(self.known) > self.remembered:
-            self.known = {}
-        new = [w for w in words if w not in self.known]
+        if len(self.young) > self.remembered // 2:
+            self.young, self.old = {}, self.young
+        if len(self.shared) > self.remembered:
+            self.shared = {}
+        new = []
+        for w in words:
+            if w not in self.young:
+                if w in self.old:
+                    self.young[w] = self.old[w]
+                else:
+                    new.append(w)
         for at in range(0, len(new), AT_ONCE):
             part = new[at : at + AT_ONCE]
             text = [w.decode() for w in part]
             a = self.a.encode_batch(text, add_special_tokens=False)
             b = self.b.encode([t[1:] if t[0] == " " else "\n" + t for t in text], return_type="proto", num_threads=1)
             for word, t, x, y in zip(part, text, a, b):
-                self.known[word] = self.align(word, t, x, y)
-        return {w: self.known[w] for w in words}
+                self.young[word] = self.align(word, t, x, y)
+        return {w: self.young[w] for w in words}
 
     def align(self, word: bytes, text: str, a, b) -> Word | None:
         a_ids = a.ids
-        a_pieces = [self.a_bytes[i] for i in a_ids]
         found = [(p.id, p.begin, p.end) for p in b.pieces]
-        if text[0] == " ":  # spans are of the text behind the space, which the first piece holds too
-            found = [(i, x + 1 if k else 0, y + 1) for k, (i, x, y) in enumerate(found)]
-        else:
-            found = [(i, x - 1, y - 1) for i, x, y in found[2:]]
-        b_ids = [i for i, _, _ in found]
-        b_pieces = [self.b_bytes[i] for i in b_ids]
+        # B's spans are of the text behind the space, which its first piece holds too, or of a line end and the text.
+        shift = 1
+        if text[0] != " ":
+            found, shift = found[2:], -1
+        b_ids = [p[0] for p in found]
+        a_pieces, b_pieces = [self.a_bytes[i] for i in a_ids], [self.b_bytes[i] for i in b_ids]
         if b"".join(a_pieces) != word or b"".join(b_pieces) != word:
             return None
-        spans = a.offsets
-        if len(text) != len(word):  # characters to bytes
+        if len(text) == len(word):  # every character is a byte, so spans are the tokens' own
+            a_ends, b_ends = [x[1] for x in a.offsets], [p[2] + shift for p in found]
+        else:
             byte_at = [0, *accumulate(len(c.encode()) for c in text)]
-            spans = [(byte_at[x], byte_at[y]) for x, y in spans]
-        a_ends = token_ends([x for x, _ in spans], [y for _, y in spans], a_pieces)
-        b_ends = token_ends([x for _, x, _ in found], [y for _, _, y in found], b_pieces)
+            a_ends = token_ends([byte_at[x] for x, _ in a.offsets], [byte_at[y] for _, y in a.offsets], a_pieces)
+            begins = [p[1] + shift for p in found]
+            if shift == 1:
+                begins[0] = 0
+            b_ends = token_ends(begins, [p[2] + shift for p in found], b_pieces)
         groups, pairs, links, i, j = [], {}, 0, 0, 0
         for cut_at in sorted(set(a_ends).intersection(b_ends)):
             a0, b0 = i, j
@@ -193,12 +204,15 @@ class Aligner:
             while j < len(b_ends) and b_ends[j] <= cut_at:
                 j += 1
             own, others = a_ids[a0:i], b_ids[b0:j]
-            groups.append(",".join(map(str, own)) + "|" + ",".join(map(str, others)))
+            groups.append(",".join([self.a_text[x] for x in own]) + "|" + ",".join([self.b_text[y] for y in others]))
             links += len(own) * len(others)
             for x in own:
                 for y in others:
-                    pairs[x << 32 | y] = pairs.get(x << 32 | y, 0) + 1
-        return Word(len(a_ids), len(b_ids), len(groups), links, ";".join(groups).encode(), tuple(pairs), tuple(pairs.values()))
+                    pair = x << 32 | y
+                    pairs[pair] = pairs.get(pair, 0) + 1
+        keep = self.shared.setdefault
+        times = tuple(pairs.values())
+        return (len(a_ids), len(b_ids), len(groups), links, ";".join(groups).encode(), tuple([keep(p, p) for p in pairs]), keep(times, times))
 
 
 def align_chunks(docs: DataFrame, key: str, text: str, first: str | None, second: str | None, chunk_bytes: int) -> DataFrame:
@@ -231,11 +245,11 @@ def align_chunks(docs: DataFrame, key: str, text: str, first: str | None, second
         entries = list(known.values())
         fine = np.array([e is not None for e in entries], dtype=bool)
         figures = np.array([e[:4] if e else [0] * 4 for e in entries], dtype=np.int64).reshape(-1, 4)
-        groups = [e.groups if e else b"" for e in entries]
-        flat = np.array([p for e in entries if e for p in e.pairs], dtype=np.int64)
-        word_times = np.array([t for e in entries if e for t in e.times], dtype=np.int64)
+        groups = [e[GROUPS] if e else b"" for e in entries]
+        flat = np.array([p for e in entries if e for p in e[PAIRS]], dtype=np.int64)
+        word_times = np.array([t for e in entries if e for t in e[TIMES]], dtype=np.int64)
         pairs, word_pair = np.unique(flat, return_inverse=True)
-        size = np.array([len(e.pairs) if e else 0 for e in entries], dtype=np.int64)
+        size = np.array([len(e[PAIRS]) if e else 0 for e in entries], dtype=np.int64)
         word_at = np.cumsum(size) - size
         in_docs = np.zeros(len(pairs), dtype=np.int64)
         totals, digest = np.zeros((part.num_rows, 4), dtype=np.int64), [""] * part.num_rows
