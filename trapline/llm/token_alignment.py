@@ -27,7 +27,7 @@ from __future__ import annotations
 import hashlib
 import os
 from collections.abc import Iterator
-from itertools import accumulate
+from itertools import accumulate, chain
 
 import numpy as np
 import pyarrow as pa
@@ -109,7 +109,6 @@ class Aligner:
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace(BLANK, " ").encode() for i, p in enumerate(pieces)]
         self.cuts = self.places_to_cut(pieces)
         self.whole_words = not any(BLANK in p.lstrip(BLANK) or "\n" in p for k, p in enumerate(pieces) if not self.b.is_byte(k))
-        self.a_text, self.b_text = ([str(i) for i in range(n)] for n in (max(self.a_bytes) + 1, len(pieces)))
         self.remembered = remembered
         self.young: dict[bytes, Word | None] = {}  # words of late chunks, and before them
         self.old: dict[bytes, Word | None] = {}
@@ -172,47 +171,88 @@ class Aligner:
             text = [w.decode() for w in part]
             a = self.a.encode_batch(text, add_special_tokens=False)
             b = self.b.encode([t[1:] if t[0] == " " else "\n" + t for t in text], return_type="proto", num_threads=1)
-            for word, t, x, y in zip(part, text, a, b):
-                self.young[word] = self.align(word, t, x, y)
+            self.young.update(zip(part, self.align(part, text, a, b)))
         return {w: self.young[w] for w in words}
 
-    def align(self, word: bytes, text: str, a, b) -> Word | None:
-        a_ids = a.ids
-        found = [(p.id, p.begin, p.end) for p in b.pieces]
-        # B's spans are of the text behind the space, which its first piece holds too, or of a line end and the text.
-        shift = 1
-        if text[0] != " ":
-            found, shift = found[2:], -1
-        b_ids = [p[0] for p in found]
-        a_pieces, b_pieces = [self.a_bytes[i] for i in a_ids], [self.b_bytes[i] for i in b_ids]
-        if b"".join(a_pieces) != word or b"".join(b_pieces) != word:
-            return None
-        if len(text) == len(word):  # every character is a byte, so spans are the tokens' own
-            a_ends, b_ends = [x[1] for x in a.offsets], [p[2] + shift for p in found]
-        else:
-            byte_at = [0, *accumulate(len(c.encode()) for c in text)]
-            a_ends = token_ends([byte_at[x] for x, _ in a.offsets], [byte_at[y] for _, y in a.offsets], a_pieces)
-            begins = [p[1] + shift for p in found]
-            if shift == 1:
-                begins[0] = 0
-            b_ends = token_ends(begins, [p[2] + shift for p in found], b_pieces)
-        groups, pairs, links, i, j = [], {}, 0, 0, 0
-        for cut_at in sorted(set(a_ends).intersection(b_ends)):
-            a0, b0 = i, j
-            while i < len(a_ends) and a_ends[i] <= cut_at:
-                i += 1
-            while j < len(b_ends) and b_ends[j] <= cut_at:
-                j += 1
-            own, others = a_ids[a0:i], b_ids[b0:j]
-            groups.append(",".join([self.a_text[x] for x in own]) + "|" + ",".join([self.b_text[y] for y in others]))
-            links += len(own) * len(others)
-            for x in own:
-                for y in others:
-                    pair = x << 32 | y
-                    pairs[pair] = pairs.get(pair, 0) + 1
-        keep = self.shared.setdefault
-        times = tuple(pairs.values())
-        return (len(a_ids), len(b_ids), len(groups), links, ";".join(groups).encode(), tuple([keep(p, p) for p in pairs]), keep(times, times))
+    def align(self, words: list[bytes], texts: list[str], a: list, b: list) -> list[Word | None]:
+        a_ids, a_ends, a_n, b_ids, b_ends, b_n = [], [], [], [], [], []
+        for word, text, x, y in zip(words, texts, a, b):
+            ids, spans = x.ids, x.offsets
+            pieces = [(p.id, p.begin, p.end) for p in y.pieces]
+            # B's spans are of the text behind the space, which its first piece holds too, or of a line end and the text.
+            shift = 1
+            if text[0] != " ":
+                pieces, shift = pieces[2:], -1
+            others = [p[0] for p in pieces]
+            if len(text) == len(word):  # every character is a byte, so spans are the tokens' own
+                a_ends += [s[1] for s in spans]
+                b_ends += [p[2] + shift for p in pieces]
+            else:
+                byte_at = [0, *accumulate(len(c.encode()) for c in text)]
+                a_ends += token_ends([byte_at[s] for s, _ in spans], [byte_at[s] for _, s in spans], [self.a_bytes[i] for i in ids])
+                begins = [p[1] + shift for p in pieces]
+                if shift == 1 and begins:
+                    begins[0] = 0
+                b_ends += token_ends(begins, [p[2] + shift for p in pieces], [self.b_bytes[i] for i in others])
+            a_ids += ids
+            b_ids += others
+            a_n.append(len(ids))
+            b_n.append(len(others))
+        size = np.array([len(w) for w in words], dtype=np.int64)
+        fine = self._spells(a_ids, a_n, words, self.a_bytes) & self._spells(b_ids, b_n, words, self.b_bytes)
+        groups, pairs, times = self._groups(fine, size, *(np.array(x, dtype=np.int64) for x in (a_ids, a_ends, a_n, b_ids, b_ends, b_n)))
+        n_groups, n_links = groups[0], [sum(t) for t in times]
+        return [
+            (a_n[k], b_n[k], n_groups[k], n_links[k], groups[1][k], pairs[k], times[k]) if good else None for k, good in enumerate(fine.tolist())
+        ]
+
+    @staticmethod
+    def _spells(ids: list[int], counts: list[int], words: list[bytes], decoded) -> np.ndarray:
+        """Whether the joined bytes of each word's tokens are the word."""
+        pieces = [decoded[i] for i in ids]
+        at = np.append(0, np.cumsum([len(p) for p in pieces]))[np.append(0, np.cumsum(counts))].tolist()
+        body = b"".join(pieces)
+        return np.array([body[x:y] == w for x, y, w in zip(at[:-1], at[1:], words)], dtype=bool)
+
+    def _groups(self, fine, size, a_ids, a_ends, a_n, b_ids, b_ends, b_n):
+        """Per word: its number of groups and their text, its distinct linked pairs and their times."""
+        base = np.cumsum(size) - size
+        a_word, b_word = np.repeat(np.arange(len(size)), a_n), np.repeat(np.arange(len(size)), b_n)
+        a_ok, b_ok = fine[a_word], fine[b_word]
+        a_ids, a_word, a_at = a_ids[a_ok], a_word[a_ok], (a_ends + base[a_word])[a_ok]
+        b_ids, b_word, b_at = b_ids[b_ok], b_word[b_ok], (b_ends + base[b_word])[b_ok]
+        cuts = np.intersect1d(a_at, b_at)
+        a_group, b_group = np.searchsorted(cuts, a_at), np.searchsorted(cuts, b_at)
+        per_a, per_b = np.bincount(a_group, minlength=len(cuts)), np.bincount(b_group, minlength=len(cuts))
+        group_word = np.zeros(len(cuts), dtype=np.int64)
+        group_word[a_group] = a_word
+        n_groups = np.bincount(group_word, minlength=len(size)).tolist()
+        # All pairs: every A token of a group with each of its B tokens.
+        repeat = per_b[a_group]
+        one = np.repeat(a_ids, repeat)
+        two = b_ids[ranges((np.cumsum(per_b) - per_b)[a_group], repeat)]
+        word, pair = np.repeat(a_word, repeat), one << 32 | two
+        order = np.lexsort((pair, word))
+        word, pair = word[order], pair[order]
+        new = np.append(True, (word[1:] != word[:-1]) | (pair[1:] != pair[:-1]))[: len(word)]
+        first = np.flatnonzero(new)
+        often = np.diff(np.append(first, len(word))).tolist()
+        stop = np.searchsorted(word[first], np.arange(len(size) + 1)).tolist()
+        keep, distinct = self.shared.setdefault, pair[first].tolist()
+        distinct = [keep(p, p) for p in distinct]
+        pairs = [tuple(distinct[x:y]) for x, y in zip(stop[:-1], stop[1:])]
+        times = [keep(t, t) for t in (tuple(often[x:y]) for x, y in zip(stop[:-1], stop[1:]))]
+        # The text: every id with the sign behind it, in the order of groups, A before B; words end with a line end.
+        a_last = np.append(a_group[1:] != a_group[:-1], True)[: len(a_group)]
+        b_last = np.append(b_group[1:] != b_group[:-1], True)[: len(b_group)]
+        word_last = np.append(b_word[1:] != b_word[:-1], True)[: len(b_word)]
+        signs = np.concatenate([np.where(a_last, 1, 0), np.where(word_last, 3, np.where(b_last, 2, 0))])
+        place = np.argsort(np.concatenate([2 * a_group, 2 * b_group + 1]), kind="stable")
+        ids = np.concatenate([a_ids, b_ids])[place].tolist()
+        whole = "".join([f"{i}{sign}" for i, sign in zip(ids, [",|;\n"[s] for s in signs[place].tolist()])])
+        lines = iter(whole.encode().split(b"\n"))
+        texts = [next(lines) if good else b"" for good in fine.tolist()]
+        return (n_groups, texts), pairs, times
 
 
 def align_chunks(docs: DataFrame, key: str, text: str, first: str | None, second: str | None, chunk_bytes: int) -> DataFrame:
@@ -246,8 +286,8 @@ def align_chunks(docs: DataFrame, key: str, text: str, first: str | None, second
         fine = np.array([e is not None for e in entries], dtype=bool)
         figures = np.array([e[:4] if e else [0] * 4 for e in entries], dtype=np.int64).reshape(-1, 4)
         groups = [e[GROUPS] if e else b"" for e in entries]
-        flat = np.array([p for e in entries if e for p in e[PAIRS]], dtype=np.int64)
-        word_times = np.array([t for e in entries if e for t in e[TIMES]], dtype=np.int64)
+        flat = np.fromiter(chain.from_iterable([e[PAIRS] for e in entries if e]), dtype=np.int64)
+        word_times = np.fromiter(chain.from_iterable([e[TIMES] for e in entries if e]), dtype=np.int64)
         pairs, word_pair = np.unique(flat, return_inverse=True)
         size = np.array([len(e[PAIRS]) if e else 0 for e in entries], dtype=np.int64)
         word_at = np.cumsum(size) - size
@@ -255,8 +295,10 @@ def align_chunks(docs: DataFrame, key: str, text: str, first: str | None, second
         totals, digest = np.zeros((part.num_rows, 4), dtype=np.int64), [""] * part.num_rows
         nothing = squeeze.compress(b"")
         held, times = [nothing] * part.num_rows, [nothing] * part.num_rows
-        for k, own in spelled.items():
-            which = np.fromiter((order[w] for w in own), dtype=np.int64, count=len(own))
+        codes = np.fromiter(map(order.__getitem__, chain.from_iterable(spelled.values())), dtype=np.int64)
+        stop = np.cumsum([len(own) for own in spelled.values()]).tolist()
+        for k, at, end in zip(spelled, [0, *stop], stop):
+            which = codes[at:end]
             distinct, often = np.unique(which, return_counts=True)
             if not fine[distinct].all():
                 continue
