@@ -158,3 +158,17 @@ def test_uniform_sample_is_exact_and_stable(spark):
     b = {r.k for r in sampling.uniform_sample(rows.repartition(13), "k", 0.1, 7).collect()}
     assert a == b and len(a) == 100
     assert a != {r.k for r in sampling.uniform_sample(rows, "k", 0.1, 8).collect()}
+
+
+def test_uniform_sample_without_moving_rows(spark, monkeypatch):
+    """The threshold is found by counts of the hash; the sample itself is a filter."""
+    hashes = spark.createDataFrame([(h,) for h in ("a1", "a2", "a2b", "b", "c0ffee", "c0ffef", "d")], "h string")
+    for few in (1, 100):
+        assert [sampling.kth_smallest(hashes, k, few) for k in range(8)] == [None, "a1", "a2", "a2b", "b", "c0ffee", "c0ffef", "d"]
+    rows = spark.range(5_000).withColumnRenamed("id", "k")
+    want = {r.k for r in sampling.uniform_sample(rows, "k", 0.3, 7).collect()}
+    monkeypatch.setattr(sampling, "FEW", 1)
+    sample = sampling.uniform_sample(rows, "k", 0.3, 7)
+    assert "Exchange" not in sample._jdf.queryExecution().executedPlan().toString()
+    assert {r.k for r in sample.collect()} == want and len(want) == 1_500
+    assert sampling.uniform_sample(rows, "k", 0.0, 7).count() == 0 and sampling.uniform_sample(rows, "k", 1.0, 7).count() == 5_000

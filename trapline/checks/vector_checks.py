@@ -344,6 +344,13 @@ CHECKS = {
             from fold f join unit n on n.id = f.id and n.step = f.step + 1))
         select id, {spread_sql('e')} from (select id, arg_max(e, step) as e from fold group by id)""",
     ),
+    "nt_xent_score_tiled": (lambda s, d: per_batch(scoring.nt_xent_score(fx.pairs(s, d), tile=48)), _NT_XENT),
+    "topk_similar_tiled": (
+        lambda s, d: scoring.topk_similar(fx.pairs(s, d), tile=48).select(
+            "batch_id", "pos", "rank", "other_pos", near(F.col("cosine"), "cosine")
+        ),
+        f"""{_TOPK} select batch_id, pos, rank, other as other_pos, floor(v * 1e6 + 0.5e0) / 1e6 as cosine from ranked where rank < 2""",
+    ),
     "nt_xent_score": (lambda s, d: per_batch(scoring.nt_xent_score(fx.pairs(s, d))), _NT_XENT),
     "triplet_score": (
         lambda s, d: per_batch(scoring.triplet_score(fx.pairs(s, d))),

@@ -1,7 +1,7 @@
 """Batch scores over embedding pairs.
 
 A batch has a fixed, small number of pairs (256 by default), so a batch x batch product is one small
-matrix product inside a task. Nothing here compares rows across batches; table-wide draws are in `draws`.
+matrix product inside a task; with `tile`, scores over a batch work in tiles, for batches of any size. Nothing here compares rows across batches; table-wide draws are in `draws`.
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ from trapline.functions.hashing import digest, index_draw, unit_draw
 from trapline.functions.vectors import matrix
 from trapline.operators.ordinals import hex_bucket, with_ordinal
 from trapline.operators.positives import RUN_SEED
+from trapline.operators.tiles import nt_xent_tiled, topk_tiled
 
 # Defaults of the losses.
 BATCH_SIZE = 256
@@ -89,8 +90,10 @@ def softmax_weights(scores: Column, temperature: float) -> Column:
     return vectors.bind(F.array_max(scores), weigh)
 
 
-def nt_xent_score(pairs: DataFrame, temperature: float = TEMPERATURE) -> DataFrame:
+def nt_xent_score(pairs: DataFrame, temperature: float = TEMPERATURE, tile: int | None = None) -> DataFrame:
     """Normalized-temperature cross-entropy of every batch: (batch_id, n_pairs, loss)."""
+    if tile is not None:
+        return nt_xent_tiled(pairs, temperature, tile)
 
     def score(batch: pd.DataFrame) -> pd.DataFrame:
         batch = batch.sort_values("pos")
@@ -156,8 +159,10 @@ def triplet_score(
     )
 
 
-def topk_similar(pairs: DataFrame, k: int = NUM_CLOSEST) -> DataFrame:
+def topk_similar(pairs: DataFrame, k: int = NUM_CLOSEST, tile: int | None = None) -> DataFrame:
     """Per row, the k most similar other rows of its batch; ties go to the smaller position."""
+    if tile is not None:
+        return topk_tiled(pairs, k, tile)
 
     def score(batch: pd.DataFrame) -> pd.DataFrame:
         batch = batch.sort_values("pos")
@@ -188,9 +193,9 @@ def _closest(x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     return best, np.take_along_axis(scores, best, axis=1)
 
 
-def negative_hard(pairs: DataFrame, k: int = NUM_CLOSEST, seed: int = RUN_SEED) -> DataFrame:
+def negative_hard(pairs: DataFrame, k: int = NUM_CLOSEST, seed: int = RUN_SEED, tile: int | None = None) -> DataFrame:
     """A random pick among the k most similar other rows of the batch."""
-    best = topk_similar(pairs, k)
+    best = topk_similar(pairs, k, tile)
     n = F.count("*").over(W.partitionBy("batch_id", "pos"))
     pick = index_draw(F.col("n"), seed, "hard", F.col("batch_id"), F.col("pos"))
     return best.withColumn("n", n).where(F.col("rank") == pick).select("batch_id", "pos", F.col("other_pos").alias("neg_pos"))
