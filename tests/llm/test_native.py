@@ -154,3 +154,19 @@ def test_mined_rules_are_all_combinations_that_pass(spark):
     assert {tuple(r["items"]): (r.n_bad, r.n_pages) for r in mined} == expected and expected
     got = {r.page_id for r in url_rules.judge_urls(pages, labels, min_support=0.1, min_confidence=0.6).where("mined is not null").collect()}
     assert got == {i for i, t in tokens.items() if any(set(c) <= set(t) for c in expected)}
+
+
+def test_a_long_text_full_of_parts(spark):
+    """Five MB of endpoints in one text: its spans are gathered in blocks."""
+    import time
+
+    n = 360_000
+    text = "10.0.0.1:8080 " * n + "password = secret99"
+    docs = spark.createDataFrame([(1, text), (2, "10.0.0.1:8080 " * 600 + "user=abc")], "doc_id long, text string")
+    before = time.time()
+    rows = {r.doc_id: r for r in credentials.scan_secrets(docs).collect()}
+    assert time.time() - before < 60
+    assert [(s.start, s.stop) for s in rows[1].strong] == [(14 * n, 14 * n + 19)]
+    near = [s.start for s in rows[1].weak]
+    assert sorted(near) == [14 * k for k in range(n) if 14 * n - 14 * k <= 200]
+    assert sorted(s.start for s in rows[2].weak if s.kind == "endpoint") == [14 * k for k in range(600) if 8400 - 14 * k <= 200]

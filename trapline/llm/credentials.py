@@ -19,9 +19,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from trapline.functions.vectors import bind
 from trapline.session import cut
 
 REACH = 200
+BLOCK = 256  # matches whose spans are gathered at a time
 #: Fixed values, strong kinds in the order they are listed in spans: pattern, group measured, its least length, role.
 STRONG_KINDS = {
     "assign": (
@@ -60,16 +62,34 @@ def matches(text: Column, kind: str) -> Column:
                 fits = fits & piece["value"].rlike(letters)
         return fits
 
+    def width(piece: Column) -> Column:
+        return F.length(piece["gap"]) + F.coalesce(F.length(piece["whole"]), F.lit(0))  # the last gap has no match behind it
+
     def step(state: Column, piece: Column) -> Column:
-        start = state["at"] + F.length(piece["gap"])
-        stop = start + F.coalesce(F.length(piece["whole"]), F.lit(0))  # the last gap has no match behind it
+        start, stop = state["at"] + F.length(piece["gap"]), state["at"] + width(piece)
         span = F.struct(F.lit(kind).alias("kind"), start.alias("start"), stop.alias("stop"))
         return F.struct(
             stop.alias("at"), F.concat(state["found"], F.when(accepted(piece), F.array(span)).otherwise(none)).alias("found")
         )
 
-    found = F.aggregate(pieces, F.struct(F.lit(0).alias("at"), none.alias("found")), step, lambda state: state["found"])
-    return F.when(text.rlike(pattern), found).otherwise(none)
+    def placed(pieces: Column) -> Column:
+        """Starts of blocks of pieces first, then the spans of each block: a state that grows is copied for every piece, so
+        it must not have all spans of a long text."""
+        blocks = F.sequence(F.lit(0), F.floor((F.size(pieces) - 1) / BLOCK).cast("int"))
+        of = lambda b: F.slice(pieces, b * BLOCK + 1, F.lit(BLOCK))
+        widths = F.transform(blocks, lambda b: F.aggregate(of(b), F.lit(0), lambda n, piece: n + width(piece)))
+        starts = F.aggregate(
+            widths, F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts")),
+            lambda s, n: F.struct((s["at"] + n).alias("at"), F.array_append(s["starts"], s["at"]).alias("starts")), lambda s: s["starts"],
+        )
+
+        def spans(b: Column, at: Column) -> Column:
+            begin = F.struct(at.alias("at"), none.alias("found"))
+            return F.aggregate(of(b), begin, step, lambda state: state["found"])
+
+        return bind(starts, lambda known: F.flatten(F.transform(blocks, lambda b: spans(b, known[b]))))
+
+    return F.when(text.rlike(pattern), bind(pieces, placed)).otherwise(none)
 
 
 def find_parts(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
