@@ -9,8 +9,6 @@ from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
-ARROW_BYTES = 32 << 20
-
 _recorded: list[list[str]] = []  # one list for every `tables_of` that is open
 
 
@@ -21,7 +19,6 @@ def configure(spark: SparkSession) -> SparkSession:
     spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "true")
     spark.conf.set("spark.sql.adaptive.forceOptimizeSkewedJoin", "true")  # split hot keys even if it costs a shuffle
     spark.conf.set("spark.sql.execution.arrow.pyspark.enabled", "true")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))  # long rows make small batches
     return spark
 
 
