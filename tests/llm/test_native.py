@@ -156,6 +156,17 @@ def test_mined_rules_are_all_combinations_that_pass(spark):
     assert got == {i for i, t in tokens.items() if any(set(c) <= set(t) for c in expected)}
 
 
+def test_pages_of_one_long_path(spark):
+    """Sixty words that always stand together are one item, and a page with some of them meets its rule."""
+    path = "/".join(f"w{chr(97 + k // 26)}{chr(97 + k % 26)}" for k in range(60))
+    rows = [(i, f"http://trap.biz/{path}?q={i}") for i in range(40)] + [(i, f"http://fine.org/page{i}") for i in range(40, 80)]
+    rows += [(90, "http://other.org/waa/waz"), (91, "http://other.org/none"), (92, None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    labels = spark.createDataFrame([(i, int(i >= 40)) for i in range(80)], "doc_id long, quality int")
+    got = {r.page_id: r.verdict for r in url_rules.judge_urls(pages, labels).collect()}
+    assert {i for i, v in got.items() if v == "block"} == {*range(40), 90}
+
+
 def test_a_long_text_full_of_parts(spark):
     """Five MB of endpoints in one text: its spans are gathered in blocks."""
     import time

@@ -1,7 +1,9 @@
 """URL filters: given host and path rules first, then association rules mined from labelled pages.
 
 Spark's FP-growth finds the token combinations that many bad pages share. A combination becomes a rule if enough of
-all labelled pages that have it are bad. Rules are found again in URLs by an inverted index: each is filed under its
+all labelled pages that have it are bad. Tokens that stand on the same labelled pages, as the words of a path that is always
+the same, are one item: combinations of them would all have the same pages, and there are exponentially many. A page has
+an item if it has one of its tokens, so it meets a rule of items if it meets one of the combinations. Rules are found again in URLs by an inverted index: each is filed under its
 rarest token only, so a URL meets the few rules filed under its own tokens.
 
 Nulls: a null URL, or one without `://`, has an empty host, an empty path and no tokens, and no rule fits it. Labels
@@ -80,6 +82,24 @@ def holds(tokens: Column, items: Column) -> Column:
     return F.size(F.array_except(items, tokens)) == 0
 
 
+def token_items(labelled: DataFrame) -> DataFrame:
+    """(token, item): tokens on the same rows of `labelled` have one item, the least of them."""
+    rows = labelled.withColumn("row", F.monotonically_increasing_id()).select("row", F.explode("tokens").alias("token"))
+    same = ["n", "one", "two"]  # the rows of a token, by their number and two 64-bit sums
+    placed = rows.groupBy("token").agg(
+        F.count("*").alias("n"), F.bit_xor(F.xxhash64("row")).alias("one"), F.bit_xor(F.xxhash64(F.lit("two"), "row")).alias("two")
+    )
+    return placed.join(placed.groupBy(*same).agg(F.min("token").alias("item")), same).select("token", "item")
+
+
+def with_items(rows: DataFrame, items: DataFrame) -> DataFrame:
+    """`rows` with `items`: the items of their `tokens`; a token without an item is its own."""
+    sets = rows.select("tokens").distinct()
+    spread = sets.select("tokens", F.explode("tokens").alias("token")).join(items, "token", "left")
+    found = spread.groupBy("tokens").agg(F.array_sort(F.collect_set(F.coalesce("item", "token"))).alias("items"))
+    return rows.join(found, "tokens", "left").withColumn("items", F.coalesce("items", F.array().cast("array<string>")))
+
+
 def mine_rules(
     labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE,
     min_pages: int = MIN_PAGES,
@@ -136,8 +156,14 @@ def judge_urls(
     )
     marks = labels.select(F.col(label_key).alias(key), bad.alias("bad")).where(F.col("bad").isNotNull())
     labelled = cut(own.join(marks, key).select("tokens", "bad"))
-    mined = cut(mine_rules(labelled, min_support, min_confidence, min_pages))
-    met = match_rules(own, mined) if not mined.isEmpty() else own.select("tokens", F.lit("").alias("mined")).limit(0)
+    items = cut(token_items(labelled))
+    mined = cut(mine_rules(with_items(labelled, items).select(F.col("items").alias("tokens"), "bad"), min_support, min_confidence, min_pages))
+    if mined.isEmpty():
+        met = own.select("tokens", F.lit("").alias("mined")).limit(0)
+    else:
+        sets = with_items(own.select("tokens").distinct(), items)
+        met = sets.join(match_rules(sets.select(F.col("items").alias("tokens")), mined).withColumnRenamed("tokens", "items"), "items")
+        met = met.select("tokens", "mined")
     given = given_rule(F.col("host"), F.col("path"), rules)
     return (
         own.join(met, "tokens", "left").withColumn("given", given)
