@@ -156,3 +156,18 @@ def test_embeddings_around_centres_visit_few_pivots(spark, monkeypatch):
     assert len(found) == n and all(r.key % 40 == r.partner % 40 for r in found)
     assert sum(sizes) < n / 10, sizes
     assert math.isfinite(sum(sizes)) and table.where(F.col("key") < 0).count() == 0
+
+
+@pytest.mark.parametrize("tolerance", [1e-9, 0.05])
+def test_normalizers_are_the_sums_of_all_weights(spark, tolerance):
+    rng = np.random.default_rng(6)
+    x = np.concatenate([context_cloud(rng, 600), rng.normal(size=(600, 3))], axis=1)
+    geometry = race.Both(race.ContextBox(0.05), race.Ball(3, 0.5))
+    rows, pending = tables(spark, x, range(0, 600, 9))
+    tree = race.build_tree(rows, geometry, fanout=4, top=20)
+    found = {r.number: r.log_z for r in race.log_normalizers(pending, tree, tolerance, fanout=4).collect()}
+    _, logs = geometry.limits(x, geometry.leaves(x)[None])
+    top = logs.max(axis=1)
+    want = top + np.log(np.exp(logs - top[:, None]).sum(axis=1))
+    assert set(found) == set(range(0, 600, 9))
+    assert max(abs(found[i] - want[i]) for i in found) < max(1.1 * tolerance, 1e-7)

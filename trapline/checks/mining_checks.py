@@ -144,7 +144,26 @@ def context_sql(start: str, key: str, attempts: int, text: str) -> str:
                  else luck < exp(-(sqrt(pow(bound, 2) + {slow}) - bound) / {temp}) end)"""
 
 
+def normalizers(spark, d):
+    found = draws.context_log_normalizers(fx.items(spark, d), "vec_id", tolerance=1e-9)
+    return found.select("vec_id", near(F.col("log_z"), "log_z", 5))
+
+
+def normalizer_sql() -> str:
+    """The sum over all pairs of rows."""
+    turn = lambda a, span: f"pow(sin(pi() * (p.{a} - i.{a}) / {span}e0), 2)"
+    square = " + ".join([turn("day", DAY_SPAN), turn("hour", HOUR_SPAN), turn("minute", MINUTE_SPAN), turn("second", SECOND_SPAN)])
+    return f"""{fx.ITEMS_SQL}, ends as (select min(year(datetime)) as lo, max(year(datetime)) as hi from items),
+    timed as (select vec_id, location, case when hi = lo then 0e0 else (year(datetime) - lo) / (hi - lo)::double end as year,
+      dayofyear(make_date(2020, month(datetime), day(datetime))) - 1 as day, hour(datetime) as hour, minute(datetime) as minute,
+      floor(second(datetime)) as second from items, ends),
+    gaps as (select p.vec_id, sqrt({square} + pow(p.year - i.year, 2) + case when p.location = i.location then 0e0 else 2e0 end) as d
+             from timed p, timed i)
+    select vec_id, floor(ln(sum(exp(-d / {draws.CONTEXT_TEMPERATURE}e0))) * 1e5 + 0.5e0) / 1e5 as log_z from gaps group by vec_id"""
+
+
 CHECKS = {
+    "context_log_normalizers": (normalizers, normalizer_sql()),
     "positive_self": (
         lambda s, d: positives.positive_self(fx.crops(s, d)),
         f"{fx.CROPS_SQL} select img_path, img_path as partner from crops",

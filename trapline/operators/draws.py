@@ -34,7 +34,7 @@ from trapline.functions.vectors import batch_dot, matrix
 from trapline.operators.features import year_scale
 from trapline.operators.ordinals import hex_bucket, with_ordinal, with_ordinal_by_range, with_running_sum, with_sorted_ordinal
 from trapline.operators.positives import RUN_SEED
-from trapline.operators.race import Ball, Both, ContextBox, build_tree, context_point, race
+from trapline.operators.race import Ball, Both, ContextBox, build_tree, context_point, log_normalizers, race
 from trapline.session import cut
 
 CONTEXT_TEMPERATURE = 0.05
@@ -358,6 +358,18 @@ def positive_context(
     return found.unionByName(_without_partner(rows, key, F.col(location).isNull() | F.col(moment).isNull()))
 
 
+def context_log_normalizers(
+    rows: DataFrame, key: str, location: str = "location", moment: str = "datetime", temperature: float = CONTEXT_TEMPERATURE,
+    tolerance: float = 1e-6,
+) -> DataFrame:
+    """(key, log_z): the logarithm of the sum of exp(-distance / T) over all rows, so that a partner at distance d was drawn
+    with the probability exp(-d / T - log_z). Rows without location or time have none and count for none."""
+    index, _ = context_index(rows, key, location, moment)
+    points = cut(context_points(index, key))
+    tree = build_tree(points.select("number", "x"), ContextBox(temperature))
+    return points.select(key, "number").join(log_normalizers(points.select("number", "x"), tree, tolerance), "number").select(key, "log_z")
+
+
 def positive_combined(
     rows: DataFrame, key: str, vector: str, location: str = "location", moment: str = "datetime",
     context_temperature: float = CONTEXT_TEMPERATURE, embedding_temperature: float = EMBEDDING_TEMPERATURE,

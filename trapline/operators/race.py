@@ -300,3 +300,68 @@ def race(pending: DataFrame, tree: Tree, seed: int, round_: int = 0, exclude_sel
     for level in reversed(range(height)):
         frontier = cut(still_open(frontier).select(*down).join(tree.levels[level], "node").mapInArrow(descend(level, False), schema))
     return frontier.groupBy("number").agg(F.max_by("node", "limit").alias("winner"))
+
+
+def log_normalizers(rows: DataFrame, tree: Tree, tolerance: float = 1e-6, fanout: int = FANOUT) -> DataFrame:
+    """(number, log_z): the logarithm of the summed weights of all candidates for every row of `rows` (number, x).
+
+    A node's sum lies between its number of candidates times the least and the greatest weight that its bounds allow. It is
+    taken as the middle where both are so near that all such errors together stay below `tolerance` times the sum; only
+    other nodes are opened, level by level. Far candidates are therefore never looked at, and leaves are exact.
+    """
+    geometry, height, all_ = tree.geometry, len(tree.levels), int(tree.top[1].sum())
+    shared = rows.sparkSession.sparkContext.broadcast(tree.top)
+    schema = "number bigint, x array<double>, ref double, node bigint, n bigint, low double, high double"
+
+    def parts(number, x, ref, ids, sizes, bounds) -> pa.RecordBatch:
+        """What every node adds, at least and at most, relative to exp(ref) of the row."""
+        least, most = geometry.limits(x, bounds)
+        if ref is None:
+            ref = most.max(axis=1)
+        low, high = (sizes * np.exp(v - ref[:, None]) for v in (least, most))
+        i, j = np.nonzero(np.broadcast_to(sizes > 0, high.shape))
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(i) + 1) * geometry.dims, pa.int32()), pa.array(x[i].ravel()))
+        flat = [np.broadcast_to(v, high.shape)[i, j] for v in (ids, sizes, low, high)]
+        return pa.RecordBatch.from_arrays(
+            [pa.array(number[i]), lists, pa.array(ref[i]), *[pa.array(v) for v in flat]], ["number", "x", "ref", "node", "n", "low", "high"]
+        )
+
+    def opened(batches: Iterator[pa.RecordBatch], children: int) -> Iterator[tuple]:
+        step = max(1, SLICE_BYTES // (8 * geometry.width * children))
+        for batch in batches:
+            for at in range(0, batch.num_rows, step):
+                part = batch.slice(at, step)
+                yield part, part.column("number").to_numpy(), part.column("x").flatten().to_numpy().reshape(part.num_rows, geometry.dims)
+
+    def start(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, sizes, bounds = shared.value
+        for _, number, x in opened(batches, len(ids)):
+            yield parts(number, x, None, ids[None, :], sizes[None, :], bounds[None])
+
+    def descend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, number, x in opened(batches, fanout):
+            sizes, bounds = np.zeros((len(number), fanout), dtype=np.int64), np.zeros((len(number), fanout, geometry.width))
+            for k, (s, b) in enumerate(zip(part.column("sizes").to_pylist(), part.column("bounds").to_pylist())):
+                own = np.frombuffer(s, dtype=np.int64)
+                sizes[k, : len(own)] = own
+                bounds[k, : len(own)] = np.frombuffer(b).reshape(len(own), geometry.width)
+            ids = part.column("node").to_numpy()[:, None] * fanout + np.arange(fanout)
+            yield parts(number, x, part.column("ref").to_numpy(), ids, sizes, bounds)
+
+    # A row's sum is certain to be `sure` or more; a node may be off by its share of the candidates of the tolerance.
+    near = F.col("high") - F.col("low") <= F.col("sure") * F.col("n") * F.lit(tolerance / all_)
+    middle = ((F.col("low") + F.col("high")) / 2).alias("low")
+    nodes = cut(rows.select(F.col("number").cast("bigint"), "x").mapInArrow(start, schema))
+    shared.destroy()
+    settled = None
+    for level in reversed(range(height + 1)):
+        known = nodes.select("number", "ref", "low") if settled is None else nodes.select("number", "ref", "low").unionByName(settled)
+        sure = known.groupBy("number").agg(F.sum("low").alias("sure"))
+        judged = nodes.join(sure, "number")
+        done = judged if level == 0 else judged.where(near)
+        added = done.select("number", "ref", middle).groupBy("number", "ref").agg(F.sum("low").alias("low"))
+        settled = cut(added if settled is None else added.unionByName(settled).groupBy("number", "ref").agg(F.sum("low").alias("low")))
+        if level:
+            left = judged.where(~near).select("number", "x", "ref", "node")
+            nodes = cut(left.join(tree.levels[level - 1], "node").mapInArrow(descend, schema))
+    return settled.select("number", (F.col("ref") + F.log("low")).alias("log_z"))
