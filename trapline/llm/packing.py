@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from trapline.llm.tokens import CHUNK_BYTES, END_ID, encoder
+from trapline.llm.tokens import CHUNK_BYTES, END_ID, REMEMBERED, encoder
 from trapline.llm.words import chunks
 
 CAPACITY = 4096
@@ -151,12 +151,12 @@ class _Window:
 
 def pack(
     docs: DataFrame, key: str = "doc_id", text: str = "text", vocabulary: str | None = None, with_ids: bool = False,
-    capacity: int = CAPACITY, window_tokens: int = WINDOW_TOKENS, end_id: int = END_ID,
+    capacity: int = CAPACITY, window_tokens: int = WINDOW_TOKENS, end_id: int = END_ID, remembered: int = REMEMBERED,
 ) -> DataFrame:
     """One row per piece: key, start, length, ids_crc32, doc_tokens, sequence_id, offset, and `ids` on demand.
 
     `ids` are little-endian unsigned 32-bit numbers. `vocabulary` is the path of a tokenizer file on the executors;
-    without one the installed public vocabulary is used.
+    without one the installed public vocabulary is used. A worker keeps the ids of about `remembered` words.
     """
     kind = docs.schema[key].dataType.simpleString()
     schema = (
@@ -169,7 +169,7 @@ def pack(
         for batch in batches:
             window = window or _Window(batch.column(0).type, with_ids, capacity)
             for part in chunks(batch, text, CHUNK_BYTES):
-                window.add(part.column(0).to_pylist(), *encoder(vocabulary).encode_documents(part.column(1), end_id))
+                window.add(part.column(0).to_pylist(), *encoder(vocabulary, remembered).encode_documents(part.column(1), end_id))
                 if window.tokens >= window_tokens:
                     yield window.pack().rename_columns(names)
         if window and window.keys:

@@ -29,11 +29,12 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
     return public_tokenizers.path(name)
 
 
-def encoder(path: str | None = None) -> WordEncoder:
+def encoder(path: str | None = None, remembered: int = REMEMBERED) -> WordEncoder:
     """The worker's encoder for a vocabulary file; without a path, the one installed with `public_tokenizers`."""
     path = path or vocabulary_path()
     if path not in _encoders:
         _encoders[path] = WordEncoder(path)
+    _encoders[path].remembered = remembered
     return _encoders[path]
 
 

@@ -6,6 +6,7 @@ equal numbers; two different ones share a number with a chance of 2**-64.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -49,6 +50,19 @@ def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, dtype=np.uint8)[at[0] : at[-1]], at - at[0]
 
 
+try:
+    _LIBC = ctypes.CDLL("libc.so.6")
+except OSError:
+    _LIBC = None
+
+
+def give_back() -> None:
+    """Returns freed memory to the system: a worker is kept between stages, beside the executor's heap."""
+    pa.default_memory_pool().release_unused()
+    if _LIBC is not None:
+        _LIBC.malloc_trim(0)
+
+
 def chunks(batch: pa.RecordBatch, column: str, limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
     """Slices of a batch with about `limit` bytes of text each; one longer text is a slice of its own."""
     if batch.num_rows == 0:
@@ -59,6 +73,7 @@ def chunks(batch: pa.RecordBatch, column: str, limit: int = CHUNK_BYTES) -> Iter
         last = max(int(np.searchsorted(at, at[first] + limit, side="right")) - 1, first + 1)
         yield batch.slice(first, last - first)
         first = last
+    give_back()
 
 
 def runs(keep: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
