@@ -44,7 +44,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of packed sequences."""
-    return packing.pack(docs)
+    return packing.pack(docs, remembered=100_000)  # the other stages have memory of their own in these workers
 
 
 def tidied(stage):
