@@ -195,7 +195,7 @@ def comparable(scores):
 
 def probe_once(spark, d):
     train, test = evaluation.probe_rows(labelled_crops(spark, d), crop_features(spark, d), "cct20", ["species"])
-    scores = probe.linear_probe(train, test, "img_path", "species", c=100.0)
+    scores = probe.linear_probe(train, test, "img_path", "species")
     rows = [(100, name, float(value)) for name, value in scores.items()]
     return comparable(spark.createDataFrame(rows, "split_pct int, metric string, value double"))
 
