@@ -195,13 +195,18 @@ def prefix_lists(docs: DataFrame, key: str, text: str, width: int, percent: int,
     return cut(light.unionByName(sized))
 
 
-def _own_class(width: int):
+def _class_and_text(width: int):
+    """One pass for both: two in a row would keep two workers for every task."""
+    import zstandard
+
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        squeeze = zstandard.ZstdCompressor(level=3)
         for rows in batches:
-            for at in range(0, rows.num_rows, 500):
-                z = rows.column("z").slice(at, 500)
-                cls = [class_number(s) for s in shingle_sets(unpack_texts(z), width)]
-                yield pa.RecordBatch.from_arrays([pa.array(cls, pa.int64()), z], ["cls", "z"])
+            for part in chunks(rows, rows.schema.names[0]):
+                texts = part.column(0)
+                cls = [class_number(s) for s in shingle_sets(texts, width)]
+                z = [squeeze.compress((t or "").encode()) for t in texts.to_pylist()]
+                yield pa.RecordBatch.from_arrays([pa.array(cls, pa.int64()), pa.array(z, pa.binary())], ["cls", "z"])
 
     return work
 
@@ -212,7 +217,7 @@ def class_texts(docs: DataFrame, key: str, text: str, width: int, classes: DataF
     texts = compressed_text(docs.where(F.col(key).isNotNull()), key, text)
     joined = texts.join(first, texts[key] == first["_id"]).select("cls", "z")
     # Classes of rows without an id are found by their sets.
-    unnamed = compressed_text(docs.where(F.col(key).isNull()), key, text).mapInArrow(_own_class(width), "cls bigint, z binary")
+    unnamed = docs.where(F.col(key).isNull()).select(text).mapInArrow(_class_and_text(width), "cls bigint, z binary")
     joined = joined.unionByName(unnamed.join(first.where(F.col("_id").isNull()).select("cls"), "cls", "left_semi"))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
