@@ -3,6 +3,7 @@
 import math
 from collections import Counter
 from datetime import datetime, timedelta
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from test_mining import fits, softmax
 
 from trapline.operators import draws, race
+from trapline.session import tables_of
 
 
 def whole_race(x, geometry, mine, seed, round_, exclude_self, fanout, top):
@@ -171,3 +173,20 @@ def test_normalizers_are_the_sums_of_all_weights(spark, tolerance):
     want = top + np.log(np.exp(logs - top[:, None]).sum(axis=1))
     assert set(found) == set(range(0, 600, 9))
     assert max(abs(found[i] - want[i]) for i in found) < max(1.1 * tolerance, 1e-7)
+
+
+def test_normalizers_write_no_row_per_pair(spark):
+    """At a small tolerance most pairs are opened; tables that grow with the pairs would fill the disk."""
+    rng = np.random.default_rng(7)
+    n = 6000
+    geometry = race.ContextBox(0.05)
+    rows, _ = tables(spark, context_cloud(rng, n), [0])
+    tree = race.build_tree(rows, geometry)
+    with tables_of() as paths:
+        found = {r.number: r.log_z for r in race.log_normalizers(rows, tree, 1e-9).collect()}
+    written = sum(f.stat().st_size for p in paths for f in Path(p.removeprefix("file:")).glob("*.parquet"))
+    assert len(found) == n and written < 1000 * n
+    x = np.array([r.x for r in rows.orderBy("number").collect()])
+    some = rng.integers(0, n, 50)
+    want = np.log(np.exp(geometry.limits(x[some], geometry.leaves(x)[None])[1]).sum(axis=1))
+    assert max(abs(found[i] - w) for i, w in zip(some, want)) < 1e-8

@@ -35,6 +35,10 @@ TOP = 512
 SLICE_BYTES = 32 << 20  # of bounds that a task holds against rows at a time
 LOWEST = -1e300  # stands for nothing certain
 SLACK = 1e-9  # what rounding may take from a limit, relative to it
+CLOSE = 1e-3  # squared distances below are summed up from differences
+ROW_TILE, LEAF_TILE, LEAF_BOX = 32_768, 8_192, 256  # rows and candidates that meet as a tile, candidates in a box of a tile
+ROW_TILES = 16  # at least so many, if they can have 1,024 rows each
+TASKS = 16_384  # that tiles are dealt to, at most
 
 
 def context_point(year: Column, day: Column, cell: Column, place: Column) -> Column:
@@ -77,6 +81,22 @@ class ContextBox:
         far = np.sqrt((far**2).sum(axis=-1) + 2.0 * other)
         return -far / self.temperature, -near / self.temperature
 
+    def points(self, leaves: np.ndarray) -> np.ndarray:
+        return leaves[:, : self.dims]
+
+    def log_weights(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Log weights (m, c) of rows (m, dims) and points (c, dims)."""
+        a, b = x[:, :-1], y[:, :-1]
+        square = a @ (-2.0 * b.T)
+        square += (a**2).sum(axis=1)[:, None]
+        square += (b**2).sum(axis=1)
+        square += 2.0 * (x[:, -1:] != y[:, -1])
+        i, j = np.nonzero(square < CLOSE)
+        square[i, j] = ((a[i] - b[j]) ** 2).sum(axis=1)  # what is left of a product's digits would be too few
+        np.sqrt(square, out=square)
+        square *= -1.0 / self.temperature
+        return square
+
 
 class Ball:
     """A mean and a radius around it; the log weight is the inner product / T."""
@@ -100,6 +120,12 @@ class Ball:
         swing = np.sqrt((x**2).sum(axis=1))[:, None] * bounds[..., -1]
         return (middle - swing) / self.temperature, (middle + swing) / self.temperature
 
+    def points(self, leaves: np.ndarray) -> np.ndarray:
+        return leaves[:, : self.dims]
+
+    def log_weights(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        return x @ y.T / self.temperature
+
 
 class Both:
     """The sum of two log weights, over the coordinates of both."""
@@ -120,6 +146,14 @@ class Both:
         b = self.two.limits(x[:, self.one.dims :], bounds[..., self.one.width :])
         return a[0] + b[0], a[1] + b[1]
 
+    def points(self, leaves: np.ndarray) -> np.ndarray:
+        a, b = leaves[:, : self.one.width], leaves[:, self.one.width :]
+        return np.concatenate([self.one.points(a), self.two.points(b)], axis=1)
+
+    def log_weights(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        dims = self.one.dims
+        return self.one.log_weights(x[:, :dims], y[:, :dims]) + self.two.log_weights(x[:, dims:], y[:, dims:])
+
 
 def gumbel(row: np.ndarray, level: int, node: np.ndarray, seed: int, round_: int) -> np.ndarray:
     """Noise of rows (m,) and nodes (m or 1, c) of a level: the same on every run."""
@@ -305,63 +339,89 @@ def race(pending: DataFrame, tree: Tree, seed: int, round_: int = 0, exclude_sel
 def log_normalizers(rows: DataFrame, tree: Tree, tolerance: float = 1e-6, fanout: int = FANOUT) -> DataFrame:
     """(number, log_z): the logarithm of the summed weights of all candidates for every row of `rows` (number, x).
 
-    A node's sum lies between its number of candidates times the least and the greatest weight that its bounds allow. It is
-    taken as the middle where both are so near that all such errors together stay below `tolerance` times the sum; only
-    other nodes are opened, level by level. Far candidates are therefore never looked at, and leaves are exact.
+    The sum of a group of candidates lies between their number times the least and the greatest weight that its bounds
+    allow. It is taken as the middle where both are so near that all such errors together stay below `tolerance` times
+    the sum; other groups are opened, and single candidates are exact. How much is opened depends on the tolerance: at a
+    small one it is most of all pairs, so nothing is written or moved per pair. Tiles of rows meet tiles of candidates,
+    a task opens a tile in its own memory, and what leaves it is one sum a row.
     """
-    geometry, height, all_ = tree.geometry, len(tree.levels), int(tree.top[1].sum())
+    geometry, all_ = tree.geometry, int(tree.top[1].sum())
     shared = rows.sparkSession.sparkContext.broadcast(tree.top)
-    schema = "number bigint, x array<double>, ref double, node bigint, n bigint, low double, high double"
 
-    def parts(number, x, ref, ids, sizes, bounds) -> pa.RecordBatch:
-        """What every node adds, at least and at most, relative to exp(ref) of the row."""
-        least, most = geometry.limits(x, bounds)
-        if ref is None:
-            ref = most.max(axis=1)
-        low, high = (sizes * np.exp(v - ref[:, None]) for v in (least, most))
-        i, j = np.nonzero(np.broadcast_to(sizes > 0, high.shape))
-        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(i) + 1) * geometry.dims, pa.int32()), pa.array(x[i].ravel()))
-        flat = [np.broadcast_to(v, high.shape)[i, j] for v in (ids, sizes, low, high)]
-        return pa.RecordBatch.from_arrays(
-            [pa.array(number[i]), lists, pa.array(ref[i]), *[pa.array(v) for v in flat]], ["number", "x", "ref", "node", "n", "low", "high"]
-        )
+    def middles(x, ref, sure, sizes, bounds) -> tuple[np.ndarray, np.ndarray]:
+        """Per row and group of candidates the middle of its sum relative to exp(ref), and whether it is near enough."""
+        low, high = (sizes * np.exp(v - ref[:, None]) for v in geometry.limits(x, bounds[None]))
+        return (low + high) / 2, high - low <= sure[:, None] * sizes * (tolerance / all_)
 
-    def opened(batches: Iterator[pa.RecordBatch], children: int) -> Iterator[tuple]:
-        step = max(1, SLICE_BYTES // (8 * geometry.width * children))
+    def start(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A row's sum is certain to be `sure` or more, relative to exp(ref)."""
+        _, sizes, bounds = shared.value
+        step = max(1, SLICE_BYTES // (8 * geometry.width * len(sizes)))
         for batch in batches:
             for at in range(0, batch.num_rows, step):
                 part = batch.slice(at, step)
-                yield part, part.column("number").to_numpy(), part.column("x").flatten().to_numpy().reshape(part.num_rows, geometry.dims)
-
-    def start(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, sizes, bounds = shared.value
-        for _, number, x in opened(batches, len(ids)):
-            yield parts(number, x, None, ids[None, :], sizes[None, :], bounds[None])
-
-    def descend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, number, x in opened(batches, fanout):
-            sizes, bounds = np.zeros((len(number), fanout), dtype=np.int64), np.zeros((len(number), fanout, geometry.width))
-            for k, (s, b) in enumerate(zip(part.column("sizes").to_pylist(), part.column("bounds").to_pylist())):
-                own = np.frombuffer(s, dtype=np.int64)
-                sizes[k, : len(own)] = own
-                bounds[k, : len(own)] = np.frombuffer(b).reshape(len(own), geometry.width)
-            ids = part.column("node").to_numpy()[:, None] * fanout + np.arange(fanout)
-            yield parts(number, x, part.column("ref").to_numpy(), ids, sizes, bounds)
-
-    # A row's sum is certain to be `sure` or more; a node may be off by its share of the candidates of the tolerance.
-    near = F.col("high") - F.col("low") <= F.col("sure") * F.col("n") * F.lit(tolerance / all_)
-    middle = ((F.col("low") + F.col("high")) / 2).alias("low")
-    nodes = cut(rows.select(F.col("number").cast("bigint"), "x").mapInArrow(start, schema))
+                least, most = geometry.limits(part.column("x").flatten().to_numpy().reshape(part.num_rows, geometry.dims), bounds[None])
+                ref = most.max(axis=1)
+                sure = (sizes * np.exp(least - ref[:, None])).sum(axis=1)
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(ref), pa.array(sure)], ["number", "x", "ref", "sure"])
+
+    begun = rows.select(F.col("number").cast("bigint"), "x").mapInArrow(start, "number bigint, x array<double>, ref double, sure double")
+    if not tree.levels:  # the top's nodes are candidates
+        return begun.select("number", (F.col("ref") + F.log("sure")).alias("log_z"))
+
+    def pack_rows(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks().sort_by("number")
+        x = table.column("x").combine_chunks().flatten().to_numpy()
+        packed = [x.tobytes(), *(table.column(c).to_numpy().tobytes() for c in ("number", "ref", "sure"))]
+        return pa.table({"r": table.column("r").slice(0, 1), **{k: pa.array([v], pa.binary()) for k, v in zip(("x", "number", "ref", "sure"), packed)}})
+
+    def pack_leaves(table: pa.Table) -> pa.Table:
+        table = table.sort_by("node")
+        points = geometry.points(np.frombuffer(b"".join(table.column("bounds").to_pylist())).reshape(-1, geometry.width))
+        return pa.table({"c": table.column("c").slice(0, 1), "y": pa.array([points.tobytes()], pa.binary())})
+
+    def summed(x, ref, sure, y) -> np.ndarray:
+        """What the candidates of a tile add to every row."""
+        points = geometry.leaves(y)
+        starts = np.arange(0, len(y), LEAF_BOX)
+        sizes = np.diff(np.append(starts, len(y)))
+        boxes = geometry.merge(points, np.ones(len(y), dtype=np.int64), starts)
+        whole = geometry.merge(boxes, sizes, np.zeros(1, dtype=np.int64))
+        added = np.zeros(len(x))
+        step = max(1, SLICE_BYTES // (8 * geometry.width * len(starts)))
+        for at in range(0, len(x), step):
+            own = np.arange(at, min(at + step, len(x)))
+            middle, near = middles(x[own], ref[own], sure[own], np.array([len(y)]), whole)
+            added[own] += np.where(near[:, 0], middle[:, 0], 0.0)
+            own = own[~near[:, 0]]
+            middle, near = middles(x[own], ref[own], sure[own], sizes, boxes)
+            added[own] += np.where(near, middle, 0.0).sum(axis=1)
+            for k, first in enumerate(starts):
+                far = own[~near[:, k]]
+                for part in np.split(far, range(LEAF_BOX, len(far), LEAF_BOX)):
+                    logs = geometry.log_weights(x[part], y[first : first + LEAF_BOX])
+                    logs -= ref[part][:, None]
+                    added[part] += np.exp(logs, out=logs).sum(axis=1)
+        return added
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                x, number, ref, sure, y = (np.frombuffer(batch.column(c)[k].as_buffer(), t) for c, t in zip(packed_names, [float, np.int64, *[float] * 3]))
+                added = summed(x.reshape(-1, geometry.dims), ref, sure, y.reshape(-1, geometry.dims))
+                yield pa.RecordBatch.from_arrays([pa.array(number), pa.array(ref), pa.array(added)], ["number", "ref", "added"])
+
+    packed_names = ("x", "number", "ref", "sure", "y")
+    span = min(ROW_TILE, max(-(-all_ // ROW_TILES), 1024))
+    row_tiles, leaf_tiles = -(-all_ // span), -(-all_ // LEAF_TILE)
+    tiles = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint")))
+    left = begun.withColumn("r", F.floor(F.col("number") / span)).groupBy("r").applyInArrow(pack_rows, "r bigint, x binary, number binary, ref binary, sure binary")
+    leaves = tree.levels[0].select("node", "bounds", F.floor(F.col("node") * fanout / LEAF_TILE).alias("c"))
+    right = leaves.groupBy("c").applyInArrow(pack_leaves, "c bigint, y binary")
+    tasks = min(row_tiles * leaf_tiles, TASKS)  # a given number: tiles are few bytes and much work, and must not be coalesced
+    dealt = lambda side: side.repartition(tasks, "r", "c")
+    met = dealt(cut(left).withColumn("c", tiles(leaf_tiles))).join(dealt(cut(right).withColumn("r", tiles(row_tiles))), ["r", "c"])
+    parts = met.select(*packed_names).mapInArrow(meet, "number bigint, ref double, added double")
+    found = cut(parts.groupBy("number", "ref").agg(F.sum("added").alias("total")))
     shared.destroy()
-    settled = None
-    for level in reversed(range(height + 1)):
-        known = nodes.select("number", "ref", "low") if settled is None else nodes.select("number", "ref", "low").unionByName(settled)
-        sure = known.groupBy("number").agg(F.sum("low").alias("sure"))
-        judged = nodes.join(sure, "number")
-        done = judged if level == 0 else judged.where(near)
-        added = done.select("number", "ref", middle).groupBy("number", "ref").agg(F.sum("low").alias("low"))
-        settled = cut(added if settled is None else added.unionByName(settled).groupBy("number", "ref").agg(F.sum("low").alias("low")))
-        if level:
-            left = judged.where(~near).select("number", "x", "ref", "node")
-            nodes = cut(left.join(tree.levels[level - 1], "node").mapInArrow(descend, schema))
-    return settled.select("number", (F.col("ref") + F.log("low")).alias("log_z"))
+    return found.select("number", (F.col("ref") + F.log("total")).alias("log_z"))
