@@ -329,3 +329,34 @@ def test_registered_target_probe_searches(spark, separable, monkeypatch):
     (grid, chosen, means), = seen
     assert grid == probe.C_GRID and chosen == [max(grid, key=m.get) for m in means] and len(chosen) == 6
     assert {r.metric for r in rows} == {"n_train", "n_test", "n_classes", "converged", "test_acc", "test_acc_bal"}
+
+
+def test_large_problems_begin_on_a_share_of_their_rows(spark, monkeypatch):
+    """They end at the same optimum, after fewer passes over all rows, and a small problem reads a table of its own."""
+    from trapline.operators import blocked_fit
+
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(4000, 4))
+    label = (x @ rng.normal(size=(4, 3)) + rng.gumbel(size=(4000, 3))).argmax(axis=1)
+    rows = [(i, v.tolist(), f"c{k}", i % 10 == 0) for i, (v, k) in enumerate(zip(x, label))]
+    train = spark.createDataFrame(rows, "id bigint, features array<double>, label string, few boolean").repartition(4).cache()
+    passes = []
+
+    def counted(blocks, asked, plain=blocked_fit.gradients):
+        found = plain(blocks, asked)
+        passes.append((max(seen for *_, seen in found), len(asked)))
+        return found
+
+    monkeypatch.setattr(blocked_fit, "gradients", counted)
+    tasks = [probe.Task("label"), probe.Task("label", "few")]
+    want, scores, _ = probe.fit_probes(train, train, "id", tasks)
+    plain = sum(n for seen, n in passes if seen == 4000)
+    passes.clear()
+    monkeypatch.setattr(blocked_fit, "LEAST_ROWS", 50)
+    found, same, _ = probe.fit_probes(train, train, "id", tasks)
+    assert sum(n for seen, n in passes if seen == 4000) < plain / 2
+    assert all(n == 1 for _, n in passes)  # the small problem is not in the passes of the large one
+    for a, b in zip(found, want):
+        assert a.converged and np.abs(a.weights[:, :-1] - b.weights[:, :-1]).max() < 2e-3
+    assert [s["n_train"] for s in same] == [s["n_train"] for s in scores] == [4000, 400]
+    train.unpersist()
