@@ -272,3 +272,44 @@ def test_other_draws_without_self(spark):
     pairs = positives.positive_class(crops, exclude_self=True).collect()
     assert len(pairs) == 601 and all(p.partner != p.img_path for p in pairs)
     assert all(p.partner is None if p.img_path == "only" else truth[p.partner] == truth[p.img_path] for p in pairs)
+
+
+@pytest.mark.parametrize("without_self", [False, True])
+def test_proposals_do_not_meet_every_cell(monkeypatch, without_self):
+    """Picks are those of plain running sums over all cells, but distances are taken of picked cells only."""
+    import pandas as pd
+
+    rng = np.random.default_rng(3)
+    cells = np.sort(rng.choice(86_400, 3_000, replace=False))
+    sizes = rng.integers(1, 4, len(cells))
+    firsts = np.cumsum(sizes) - sizes
+    own_gid = rng.integers(0, sizes.sum(), 500)
+    own = cells[np.repeat(np.arange(len(cells)), sizes)[own_gid]]
+    tries = pd.DataFrame({
+        "key": np.arange(500), "attempt": 0, "loc": "a", "cell": own, "day": 0, "year": 0.0, "own_gid": own_gid,
+        "u_cell": rng.random(500), "u_member": rng.random(500),
+    })
+    measured, gap = [], draws.clock_gap
+    monkeypatch.setattr(draws, "clock_gap", lambda c, hands: measured.append(len(hands[0])) or gap(c, hands))
+    n, temperature = int(sizes.sum()) * 50, 0.5
+    pick = draws._cell_picker("key", n, temperature, without_self)
+    found = pick(tries, pd.DataFrame({"cells": [cells], "sizes": [sizes], "firsts": [firsts]}))
+    assert sum(measured) <= len(tries)
+
+    def hand(c):
+        return ((c // 3600, 23.0), (c // 60 % 60, 59.0), (c % 60, 59.0))
+
+    elsewhere = n * math.exp(-math.sqrt(2) / temperature)
+    for k in range(len(tries)):
+        square = sum(np.sin(np.pi * (a - b) / span) ** 2 for (a, span), (b, _) in zip(hand(own[k]), hand(cells)))
+        counts = sizes - (cells == own[k]) if without_self else sizes
+        upto = np.cumsum(counts * np.exp(-np.sqrt(square) / temperature))
+        mark = tries["u_cell"][k] * (upto[-1] + elsewhere)
+        assert found["foreign"][k] == (mark >= upto[-1])
+        if mark >= upto[-1]:
+            assert found["gid"][k] == int(tries["u_member"][k] * n)
+        else:
+            at = int(np.searchsorted(upto, mark, side="right"))
+            gid = firsts[at] + int(tries["u_member"][k] * counts[at])
+            gid += without_self and cells[at] == own[k] and gid >= own_gid[k]
+            assert found["gid"][k] == gid and abs(found["bound"][k] - math.sqrt(square[at])) < 1e-12

@@ -19,6 +19,7 @@ locations, at distance sqrt(2) or more, are one further component of the proposa
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Callable
 
@@ -39,7 +40,8 @@ from trapline.session import cut
 
 CONTEXT_TEMPERATURE = 0.05
 EMBEDDING_TEMPERATURE = 0.5
-GROUP_ROWS = 16_384
+GROUP_ROWS = 65_536
+DRAWN = 16_384  # attempts that are drawn at a time, at most
 ROUNDS = 4  # rounds of proposals
 PIVOTS = 256  # of the embedding race
 
@@ -209,13 +211,92 @@ def clock_hands(cells: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return cells // 3600, cells // 60 % 60, cells % 60
 
 
-def clock_gap(cell: int, hands: tuple[np.ndarray, np.ndarray, np.ndarray]) -> np.ndarray:
-    """Distance of one clock cell to others in the cyclic hour, minute and second."""
+def clock_gap(cells: np.ndarray, hands: tuple[np.ndarray, np.ndarray, np.ndarray]) -> np.ndarray:
+    """Distance of clock cells to others, one each, in the cyclic hour, minute and second."""
     hours, minutes, seconds = hands
-    square = HOURS[cell // 3600].take(hours)
-    square += MINUTES[cell // 60 % 60].take(minutes)
-    square += SECONDS[cell % 60].take(seconds)
-    return np.sqrt(square, out=square)
+    return np.sqrt(HOURS[cells // 3600, hours] + MINUTES[cells // 60 % 60, minutes] + SECONDS[cells % 60, seconds])
+
+
+@functools.lru_cache(maxsize=2)
+def _clock_weights(temperature: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """What cells weigh in the proposals, by how far each hand is away.
+
+    `single`: weight by the difference of the hours, minutes and seconds. Seconds on both sides of the dial are alike, so
+    there are about half as many kinds of distance as differences; `sums`: weight by minute, difference of the hours, other minute
+    and kind; `fold`: ones where a second has a kind, for every own second.
+    """
+    single = np.exp(-np.sqrt(HOURS[0][:, None, None] + MINUTES[0][:, None] + SECONDS[0]) / temperature)
+    square, kinds = np.unique(SECONDS.round(12), return_inverse=True)
+    kinds = kinds.reshape(SECONDS.shape)
+    gap = np.sqrt(HOURS[0][:, None, None] + MINUTES[:, None, :, None] + square)
+    fold = (kinds[:, :, None] == np.arange(len(square))).astype(float)
+    return single, np.exp(-gap / temperature), fold
+
+
+def _within(upto: np.ndarray, mark: np.ndarray) -> np.ndarray:
+    """The first place whose running sum (m, c) is above each mark (m,), which is kept inside the whole sum, as its digits
+    may differ by the order of summation. A place without weight is never taken."""
+    mark = np.clip(mark, 0.0, np.nextafter(upto[:, -1], -1.0))
+    return (upto <= mark[:, None]).sum(axis=1)
+
+
+class _ClockSums:
+    """Sums of a location's weights as cells of the clock see them, from the counts of its cells.
+
+    The weight of an hour is a product of counts and weights by minute and kind of second; cells that differ by the hour
+    only share one such product over all hours, so no cell meets every other cell.
+    """
+
+    def __init__(self, sizes: np.ndarray, temperature: float):
+        self.sizes = sizes.reshape(24, 60, 60)
+        self.single, self.sums, self.fold = _clock_weights(temperature)
+        self.folded, self.second = np.zeros(0), -1
+
+    def draw(self, minute: int, second: int, hour: np.ndarray, mark: np.ndarray, elsewhere: float, without_one: bool) -> np.ndarray:
+        """The cells that the marks (shares of the whole sum) of rows at these hours fall on, -1 for those beyond the location.
+
+        With `without_one` a row's own cell has a member less. Its sums are made anew: taking a member off a sum would leave
+        too few digits.
+        """
+        if second != self.second:
+            self.second = second
+            self.folded = (self.sizes.reshape(1440, 60) @ self.fold[second]).reshape(24, 60, -1)
+        by_gap = self.folded.reshape(24, -1) @ self.sums[minute].reshape(24, -1).T
+        others, apart = np.arange(24), np.abs(np.arange(60) - second)
+        own, mine = np.unique(hour, return_inverse=True)
+        weights = by_gap[others, np.abs(others - own[:, None])]
+        if without_one:
+            seconds = self.sizes[own, minute].copy()
+            seconds[:, second] -= 1.0
+            seconds *= self.single[0, 0, apart]
+            minutes = np.einsum("pmk,mk->pm", self.folded[own], self.sums[minute, 0])
+            minutes[:, minute] = seconds.sum(axis=1)
+            weights[np.arange(len(own)), own] = minutes.sum(axis=1)
+        upto = np.cumsum(weights, axis=1)
+        mark = mark * (upto[:, -1] + elsewhere)[mine]
+        near = np.flatnonzero(mark < upto[mine, -1])
+        mark, mine = mark[near], mine[near]
+        at = _within(upto[mine], mark)
+        rest = mark - (upto - weights)[mine, at]
+        # The minute inside the hour, for all pairs of an own and another hour, and the second inside that.
+        pair, place = np.unique(mine * 24 + at, return_inverse=True)
+        one, two = pair // 24, pair % 24
+        gap = np.abs(own[one] - two)
+        weights = np.einsum("pmk,pmk->pm", self.folded[two], self.sums[minute, gap])
+        if without_one:
+            weights[gap == 0] = minutes[one[gap == 0]]
+        upto = np.cumsum(weights, axis=1)
+        at_minute = _within(upto[place], rest)
+        rest = rest - (upto - weights)[place, at_minute]
+        inner, place = np.unique(place * 60 + at_minute, return_inverse=True)
+        pair, other = inner // 60, inner % 60
+        weights = self.sizes[two[pair], other] * self.single[gap[pair], np.abs(other - minute)][:, apart]
+        if without_one:
+            itself = (gap[pair] == 0) & (other == minute)
+            weights[itself] = seconds[one[pair[itself]]]
+        out = np.full(len(hour), -1, dtype=np.int64)
+        out[near] = at * 3600 + at_minute * 60 + _within(np.cumsum(weights, axis=1)[place], rest)
+        return out
 
 
 def _cell_picker(key: str, n_rows: int, temperature: float, exclude_self: bool):
@@ -227,34 +308,27 @@ def _cell_picker(key: str, n_rows: int, temperature: float, exclude_self: bool):
 
     def pick(tries: pd.DataFrame, location: pd.DataFrame) -> pd.DataFrame:
         cells = np.asarray(location["cells"].iloc[0], dtype=np.int64)
-        sizes = np.asarray(location["sizes"].iloc[0], dtype=np.int64)
-        firsts = np.asarray(location["firsts"].iloc[0], dtype=np.int64)
-        hands = clock_hands(cells)
+        sizes, firsts = np.zeros(86_400), np.zeros(86_400, dtype=np.int64)
+        sizes[cells] = np.asarray(location["sizes"].iloc[0], dtype=np.int64)
+        firsts[cells] = np.asarray(location["firsts"].iloc[0], dtype=np.int64)
+        sums = _ClockSums(sizes, temperature)
         own = tries["cell"].to_numpy()
         which = tries["u_cell"].to_numpy()
         member = tries["u_member"].to_numpy()
-        gid = np.empty(len(tries), dtype=np.int64)
-        bound = np.zeros(len(tries))
-        foreign = np.zeros(len(tries), dtype=bool)
-        order = np.argsort(own, kind="stable")
-        cuts = np.flatnonzero(np.diff(own[order])) + 1
-        for part in np.split(order, cuts):
-            gap = clock_gap(own[part[0]], hands)
-            counts = sizes - (cells == own[part[0]]) if exclude_self else sizes
-            upto = np.cumsum(counts * np.exp(-gap / temperature))
-            mark = which[part] * (upto[-1] + elsewhere)
-            away = mark >= upto[-1]
-            at = np.minimum(np.searchsorted(upto, mark, side="right"), len(cells) - 1)
-            gid[part] = np.where(
-                away,
-                np.floor(member[part] * n_rows),
-                firsts[at] + np.floor(member[part] * counts[at]),
-            ).astype(np.int64)
-            if exclude_self:
-                me = tries["own_gid"].to_numpy()[part]
-                gid[part] += ~away & (counts[at] < sizes[at]) & (gid[part] >= me)
-            bound[part] = np.where(away, 0.0, gap[at])
-            foreign[part] = away
+        at = np.empty(len(tries), dtype=np.int64)
+        hour, minute, second = clock_hands(own)
+        order = np.lexsort((hour, minute, second))
+        for alike in np.split(order, np.flatnonzero(np.diff(own[order] % 3600)) + 1):
+            for part in np.split(alike, range(DRAWN, len(alike), DRAWN)):
+                at[part] = sums.draw(int(minute[part[0]]), int(second[part[0]]), hour[part], which[part], elsewhere, exclude_self)
+        foreign = at < 0
+        counts = sizes[at]
+        if exclude_self:
+            counts = counts - (at == own)
+        gid = np.where(foreign, np.floor(member * n_rows), firsts[at] + np.floor(member * counts)).astype(np.int64)
+        if exclude_self:
+            gid += ~foreign & (at == own) & (gid >= tries["own_gid"].to_numpy())
+        bound = np.where(foreign, 0.0, clock_gap(own, clock_hands(np.maximum(at, 0))))
         return pd.DataFrame(
             {key: tries[key], "attempt": tries["attempt"], "loc": tries["loc"], "cell": own, "day": tries["day"],
              "year": tries["year"], "gid": gid, "bound": bound, "foreign": foreign}
@@ -300,20 +374,20 @@ def context_proposer(
         def shares(size: str) -> Column:
             return F.ceil(F.col(size) * F.lit(width) / F.lit(GROUP_ROWS))
 
-        # The pending rows of a location are cut by cell and those of a crowded cell again by row; each part meets
-        # the whole histogram.
+        # The pending rows of a location are cut by minute and second, as hours share sums, and those of a crowded cell
+        # again by row; each part meets the whole histogram.
         per_cell = pending.groupBy("loc", "cell").agg(F.count("*").alias("cell_left"))
         per_loc = per_cell.groupBy("loc").agg(F.sum("cell_left").alias("loc_left"))
         sized = pending.join(per_cell.join(per_loc, "loc"), ["loc", "cell"])
         tries = _attempts(sized, start, width).select(
             key, "attempt", "loc", "cell", "day", "year", F.col("gid").alias("own_gid"),
-            F.pmod(F.hash("cell"), shares("loc_left")).alias("part"),
+            F.pmod(F.hash(F.col("cell") % 3600), shares("loc_left")).alias("part"),
             F.pmod(F.hash(key), shares("cell_left")).alias("salt"),
             unit_draw(seed, round_, "cell", F.col(key), F.col("attempt")).alias("u_cell"),
             unit_draw(seed, round_, "member", F.col(key), F.col("attempt")).alias("u_member"),
         )
         needed = sized.select(
-            "loc", F.pmod(F.hash("cell"), shares("loc_left")).alias("part"),
+            "loc", F.pmod(F.hash(F.col("cell") % 3600), shares("loc_left")).alias("part"),
             F.pmod(F.hash(key), shares("cell_left")).alias("salt"),
         ).distinct()
         histograms = needed.join(cells, "loc").withColumnsRenamed({c: f"h_{c}" for c in by})
