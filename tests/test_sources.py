@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from trapline.operators import pixels
 from trapline.operators.pixels import crop_pixels
 from trapline.sources import coco, images, tables
 
@@ -129,3 +130,18 @@ def test_pictures_and_crops(spark, tmp_path):
         assert bytes(r.data) == want.tobytes(), r.img_path
         if want.size:
             assert (r.height, r.width) == want.shape[:2]
+
+
+def test_pixels_are_dealt_by_their_size(spark, monkeypatch):
+    """Pictures that shrink to nothing in a shuffle get as many tasks as their pixels need; a crowded one is in several."""
+    monkeypatch.setattr(pixels, "TASK_BYTES", 1_000, raising=False)
+    monkeypatch.setattr(pixels, "LISTS_PER_PART", 1, raising=False)
+    rows = [(f"i{n}", 10, 20, 1, 0, bytes([n]) * 200) for n in range(100)]
+    pictures = spark.createDataFrame(rows, "img_id string, height int, width int, nChannels int, mode int, data binary")
+    boxes = [(f"i{n}", f"c{n}", 1, 4, 2, 5) for n in range(99)] + [("i99", f"d{k}", k % 20, k % 20 + 1, 0, 10) for k in range(300)]
+    boxes += [(None, "none", 0, 1, 0, 1), ("i0", "c0", 1, 4, 2, 5)]
+    manifest = spark.createDataFrame(boxes, "img_id string, img_path string, x1 int, x2 int, y1 int, y2 int")
+    found = crop_pixels(pictures, manifest)
+    assert found.rdd.getNumPartitions() >= 20
+    want = sorted((i, p, bytes([int(i[1:])]) * ((x2 - x1) * (y2 - y1))) for i, p, x1, x2, y1, y2 in boxes if i)
+    assert sorted((r.img_id, r.img_path, bytes(r.data)) for r in found.collect()) == want
