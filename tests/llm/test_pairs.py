@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+from pathlib import Path
 
 import brute
 import numpy as np
@@ -67,6 +68,39 @@ def test_components_with_common_elements_put_last(spark, monkeypatch):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in found} == brute_components(texts, 4, 85)
 
 
+@pytest.mark.parametrize("few", [1, 8, 32])
+def test_pairs_of_short_lists_meet_signatures_once(spark, monkeypatch, few):
+    """Few members as pairs, more of them in trees: the same pairs, each once, whatever the number of lists they share."""
+    monkeypatch.setattr(jaccard_join, "FEW", few)
+    draw = np.random.default_rng(few)
+    base = [draw.integers(0, 1 << 62, 90, dtype=np.uint64) for _ in range(4)]
+    sets = [np.unique(np.concatenate([base[k % 4][: 90 - k // 4], draw.integers(0, 1 << 62, k // 2, dtype=np.uint64)])) for k in range(60)]
+    texts = spark.createDataFrame(
+        [(k, len(s), bytearray(signature_tree.signature(s).tobytes())) for k, s in enumerate(sets)], "cls long, n long, signature binary"
+    )
+    members = [(100 * t + f, k, 0) for f in range(4) for t in range(6) for k in range(60) if k % 4 == f and (k // 4 + t) % 5 != 0]
+    members += [(1000 + k, c, 0) for k in range(59) for c in (k, k + 1)]
+    sizes = {name: sum(m[0] == name for m in members) for name, *_ in members}
+    lists = spark.createDataFrame([(name, k, sizes[name]) for name, k, _ in members], "list long, cls long, size long")
+    comps = spark.createDataFrame([(k, 0) for k in (0, 4, 8)], "node long, root long")
+    got = [tuple(r) for r in jaccard_join.pairs_across(lists, comps, texts, 80, 256).collect()]
+    alike = {(i, j) for i in range(60) for j in range(i + 1, 60) if signature_tree.linked(sets[i], sets[j], 80)}
+    met = {(i, j) for name in sizes for i in [m[1] for m in members if m[0] == name] for j in [m[1] for m in members if m[0] == name] if i < j}
+    wanted = {(i, j) for i, j in alike & met if not {i, j} <= {0, 4, 8}}
+    assert len(got) == len(set(got)) and wanted and wanted <= set(got) <= met
+    assert not any({i, j} <= {0, 4, 8} for i, j in got)
+
+
+def test_prefix_elements_do_not_stay_on_disk(spark):
+    with jaccard_join.tables_of() as paths:
+        frame_ = frame(spark, families(9))
+        assert jaccard_join.jaccard_components(frame_).count() == frame_.count()
+    left = [spark.read.parquet(p).columns for p in paths if Path(p.removeprefix("file:")).exists()]
+    assert left and ["slot", "keys", "classes"] not in left
+    texts = next(c for c in left if "z" in c)
+    assert texts == ["cls", "n", "signature", "z", "list", "size"]  # a text goes to its list without a join
+
+
 def test_repeated_ids_and_no_rows(spark):
     twice = frame(spark, ["a b c d e f", "a b c d e f"]).union(frame(spark, ["a b c d e f", None]))
     rows = jaccard_join.jaccard_components(twice).collect()

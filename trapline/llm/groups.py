@@ -7,7 +7,6 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 
 def side_by_side(df: DataFrame, *by: str) -> DataFrame:
@@ -42,21 +41,6 @@ def packed(kind: str, *arrays: np.ndarray) -> list[bytes]:
     return [a.astype(kind).tobytes() for a in arrays]
 
 
-def compressed_text(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, z): the texts, each compressed, for shuffles. A null text is empty."""
-    import zstandard
-
-    kind = docs.schema[key].dataType.simpleString()
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pack = zstandard.ZstdCompressor(level=3)
-        for batch in batches:
-            z = [pack.compress((t or "").encode()) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(z, pa.binary())], [key, "z"])
-
-    return docs.select(F.col(key), F.col(text)).mapInArrow(work, f"`{key}` {kind}, z binary")
-
-
 def unpack_texts(z: pa.Array) -> pa.Array:
     import zstandard
 

@@ -9,9 +9,10 @@
    itself, leaves the pairs that can be alike; they are verified by their sets, and pairs that are connected already
    are skipped. Lists of more blocks go on with a few representatives of what was connected, until one block holds
    them.
-4. Lists whose members are now in one component are done. In the others, signature trees find the pairs across
-   components that can be alike, blocks of large lists pairwise (blocks inside one component never meet); distinct
-   pairs are verified by their sets.
+4. Lists whose members are now in one component are done. In the others, the pairs across components that can be alike
+   are found: lists of few members give their pairs, which meet signatures once, however many lists they share; in
+   longer ones signature trees find them, blocks of large lists pairwise (blocks inside one component never meet).
+   Distinct pairs are verified by their sets.
 Every pair of classes that are alike shares a list, so none is lost. Components are found by alternating stars.
 
 A text without words (null, empty, blank) has an empty set and is alone. A text with fewer words than a shingle has
@@ -30,14 +31,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trapline.llm.components import components
-from trapline.llm.groups import compressed_text, groups, packed, side_by_side, unpack_texts
-from trapline.llm.signature_tree import candidates, link_block, linked, signature
+from trapline.llm.groups import groups, packed, side_by_side, unpack_texts
+from trapline.llm.signature_tree import candidates, link_block, linked, possible_pairs, signature
 from trapline.llm.words import chunks, shingle_sets
-from trapline.session import cut
+from trapline.session import cut, remove_tables, tables_of
 
 WIDTH = 5
 PERCENT = 80
 BLOCK = 256
+FEW = 32  # pairs of so many members, most of them met in several lists, take fewer bytes than the members' signatures
 REPRESENTATIVES = 8
 COMMON_LIST = 1_000_000  # the bound of the broadcast list of common elements: 8 MB
 COMMON_COUNT = 64
@@ -187,60 +189,58 @@ def prefix_lists(docs: DataFrame, key: str, text: str, width: int, percent: int,
                     [pa.array(np.frombuffer(keys, dtype="<u8").view("<i8")), pa.array(np.frombuffer(classes, dtype="<i8"))], ["list", "cls"]
                 )
 
-    emitted = cut(docs.select(key, text).mapInArrow(prefixes, "slot bigint, keys binary, classes binary"))
+    with tables_of() as paths:
+        emitted = cut(docs.select(key, text).mapInArrow(prefixes, "slot bigint, keys binary, classes binary"))
     met = emitted.where(F.col("slot") >= 0).groupBy("slot").applyInArrow(meet, "list bigint, members binary")
     light = met.dropDuplicates(["list"]).mapInArrow(members, "list bigint, cls bigint, size bigint")
     heavy = emitted.where(F.col("slot") < 0).mapInArrow(entries, "list bigint, cls bigint").distinct()
     sized = heavy.join(heavy.groupBy("list").agg(F.count("*").alias("size")).where(F.col("size") > 1), "list")
-    return cut(light.unionByName(sized))
+    found = cut(light.unionByName(sized))
+    remove_tables(docs.sparkSession, paths)  # nothing reads it again, and it holds every prefix element
+    return found
 
 
-def _class_and_text(width: int):
-    """One pass for both: two in a row would keep two workers for every task."""
-    import zstandard
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        squeeze = zstandard.ZstdCompressor(level=3)
-        for rows in batches:
-            for part in chunks(rows, rows.schema.names[0]):
-                texts = part.column(0)
-                cls = [class_number(s) for s in shingle_sets(texts, width)]
-                z = [squeeze.compress((t or "").encode()) for t in texts.to_pylist()]
-                yield pa.RecordBatch.from_arrays([pa.array(cls, pa.int64()), pa.array(z, pa.binary())], ["cls", "z"])
-
-    return work
+def largest_lists(lists: DataFrame) -> DataFrame:
+    """(cls, list, size): every class with its largest list, and how many classes that is the largest list of."""
+    largest = lists.groupBy("cls").agg(F.max(F.struct("size", "list")).alias("x")).select("cls", "x.list")
+    return cut(largest.join(largest.groupBy("list").agg(F.count("*").alias("size")), "list").select("cls", "list", "size"))
 
 
 def class_texts(docs: DataFrame, key: str, text: str, width: int, classes: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(cls, n, signature, z) of the wanted classes: the text of one document of each, compressed."""
-    first = classes.groupBy("cls").agg(F.min(key).alias("_id")).join(wanted.select("cls").distinct(), "cls")
-    texts = compressed_text(docs.where(F.col(key).isNotNull()), key, text)
-    joined = texts.join(first, texts[key] == first["_id"]).select("cls", "z")
-    # Classes of rows without an id are found by their sets.
-    unnamed = docs.where(F.col(key).isNull()).select(text).mapInArrow(_class_and_text(width), "cls bigint, z binary")
-    joined = joined.unionByName(unnamed.join(first.where(F.col("_id").isNull()).select("cls"), "cls", "left_semi"))
+    """(cls, n, signature, z, list, size) of the wanted classes: the text of one document of each, compressed. `wanted` has
+    the list where the class's text is needed first, and its size.
+
+    Texts are moved once: the document of a class is found by class and id, so copies of one text are dealt out too.
+    """
+    import zstandard
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        squeeze = zstandard.ZstdCompressor(level=3)
         for rows in batches:
-            for at in range(0, rows.num_rows, 500):
-                part = rows.slice(at, 500)
-                sets = shingle_sets(unpack_texts(part.column("z")), width)
-                own = [k for k, (s, c) in enumerate(zip(sets, part.column("cls").to_pylist())) if class_number(s) == c]
+            for part in chunks(rows, rows.schema.names[1]):
+                sets = shingle_sets(part.column(1), width)
+                own = pa.array([k for k, s in enumerate(sets) if len(s)], pa.int64())
+                sets = [s for s in sets if len(s)]
+                z = [squeeze.compress(t.encode()) for t in part.column(1).take(own).to_pylist()]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("cls").take(pa.array(own, pa.int64())), pa.array([len(sets[k]) for k in own], pa.int64()),
-                     pa.array([signature(sets[k]).tobytes() for k in own], pa.binary()), part.column("z").take(pa.array(own, pa.int64()))],
-                    ["cls", "n", "signature", "z"],
+                    [part.column(0).take(own), pa.array([class_number(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()),
+                     pa.array([signature(s).tobytes() for s in sets], pa.binary()), pa.array(z, pa.binary())],
+                    ["id_number", "cls", "n", "signature", "z"],
                 )
 
-    found = joined.mapInArrow(work, "cls bigint, n bigint, signature binary, z binary")
-    return cut(found.dropDuplicates(["cls"]))
+    # The number of a null id is that of classes whose rows all lack one.
+    first = classes.groupBy("cls").agg(F.xxhash64(F.min(key)).alias("id_number")).join(wanted, "cls")
+    texts = docs.select(F.xxhash64(key).alias("id_number"), text)
+    found = texts.mapInArrow(work, "id_number bigint, cls bigint, n bigint, signature binary, z binary")
+    one = found.join(first, ["cls", "id_number"]).dropDuplicates(["cls", "id_number"])
+    return cut(one.select("cls", "n", "signature", "z", "list", "size"))
 
 
 def _chunk(size: Column, by: Column, block: int) -> Column:
     return F.pmod(F.xxhash64(by), F.ceil(size / block)).cast("bigint")
 
 
-def connect_in_lists(lists: DataFrame, texts: DataFrame, width: int, percent: int, block: int) -> DataFrame:
+def connect_in_lists(texts: DataFrame, width: int, percent: int, block: int) -> DataFrame:
     """(cls, root): members connected by links inside the blocks of their largest list."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -258,26 +258,48 @@ def connect_in_lists(lists: DataFrame, texts: DataFrame, width: int, percent: in
             )
 
     schema = "list bigint, size bigint, cls bigint, root bigint, rank bigint"
-    largest = lists.groupBy("cls").agg(F.max(F.struct("size", "list")).alias("x")).select("cls", "x.list")
-    at, edges = largest, None
-    sizes = at.groupBy("list").agg(F.count("*").alias("size"))
-    at = at.join(sizes.where(F.col("size") > 1), "list")
+    at, edges = texts.where(F.col("size") > 1).select("list", "size", "cls", "z"), None
     while True:
-        rows = at.withColumn("chunk", _chunk(F.col("size"), F.col("cls"), block)).join(texts.select("cls", "z"), "cls")
+        rows = at.withColumn("chunk", _chunk(F.col("size"), F.col("cls"), block))
         done = cut(side_by_side(rows.select("list", "chunk", "size", "cls", "z"), "list", "chunk").mapInArrow(work, schema))
         found = done.where(F.col("cls") != F.col("root")).select("cls", "root")
         edges = found if edges is None else edges.unionByName(found)
         left = done.where((F.col("size") > block) & (F.col("rank") <= REPRESENTATIVES)).select("list", "cls", F.col("size").alias("before"))
         counted = left.groupBy("list").agg(F.count("*").alias("size"), F.max("before").alias("before"))
-        at = cut(left.select("list", "cls").join(counted.where(F.col("size") * 2 <= F.col("before")), "list").select("list", "cls", "size"))
-        if at.isEmpty():
+        again = cut(left.select("list", "cls").join(counted.where(F.col("size") * 2 <= F.col("before")), "list").select("list", "cls", "size"))
+        if again.isEmpty():
             return edges
+        at = again.join(texts.select("cls", "z"), "cls")
+
+
+def pairs_of_few(members: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """(a, b), a < b: pairs of (list, cls, comp) that are not in one component and can be alike, each once.
+
+    The pairs go through two joins by class, so a signature is sent once for a class and once for a pair that its size
+    admits, and not once for every list.
+    """
+    sized = members.join(texts.select("cls", "n"), "cls")
+    one, two = (sized.select("list", F.col("cls").alias(x), F.col("comp").alias(f"comp_{x}"), F.col("n").alias(f"n_{x}")) for x in ("a", "b"))
+    near = F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent
+    met = one.join(two, "list").where((F.col("a") < F.col("b")) & (F.col("comp_a") != F.col("comp_b")) & near)
+    pairs = cut(met.select("a", "b", "n_a", "n_b").distinct())
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in batches:
+            bits = (rows.column(f"signature_{x}").to_pylist() for x in ("a", "b"))
+            sizes = (rows.column(f"n_{x}").to_numpy() for x in ("a", "b"))
+            yield rows.select(["a", "b"]).filter(pa.array(possible_pairs(*bits, *sizes, percent)))
+
+    bits = texts.select("cls", "signature")
+    for x in ("b", "a"):
+        pairs = pairs.join(bits.withColumnsRenamed({"cls": x, "signature": f"signature_{x}"}), x)
+    return pairs.select("a", "b", "n_a", "n_b", "signature_a", "signature_b").mapInArrow(work, "a bigint, b bigint")
 
 
 def pairs_across(lists: DataFrame, comps: DataFrame, texts: DataFrame, percent: int, block: int) -> DataFrame:
     """(a, b), a < b: pairs of a list that are not in one component and can be alike.
 
-    A pair that shares several lists is judged in the first of them only, and in the one meeting of its two chunks.
+    A pair that shares several long lists is judged in the first of them only, and in the one meeting of its two chunks.
     """
     placed = lists.join(comps.select(F.col("node").alias("cls"), F.col("root").alias("comp")), "cls", "left").withColumn(
         "comp", F.coalesce("comp", "cls")
@@ -285,7 +307,8 @@ def pairs_across(lists: DataFrame, comps: DataFrame, texts: DataFrame, percent:
     split = placed.groupBy("list").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where(F.col("lo") != F.col("hi"))
     open_ = cut(placed.join(split.select("list"), "list"))
     zero = F.lit(0).cast("bigint")
-    small = open_.where(F.col("size") <= block).select(
+    few = min(FEW, block)
+    small = open_.where((F.col("size") > few) & (F.col("size") <= block)).select(
         "list", zero.alias("one"), zero.alias("two"), zero.alias("chunk"), "cls", "comp"
     )
     big = open_.where(F.col("size") > block)
@@ -301,7 +324,7 @@ def pairs_across(lists: DataFrame, comps: DataFrame, texts: DataFrame, percent:
     ).select("list", "one", "two")
     sides = meet.withColumn("chunk", F.explode(F.array_distinct(F.array("one", "two"))))
     large = sides.join(chunked, ["list", "chunk"]).select("list", "one", "two", "chunk", "cls", "comp")
-    shared = open_.groupBy("cls").agg(F.sort_array(F.collect_list("list")).alias("lists"))  # no longer than a prefix
+    shared = open_.where(F.col("size") > few).groupBy("cls").agg(F.sort_array(F.collect_list("list")).alias("lists"))  # no longer than a prefix
     rows = small.unionByName(large).join(texts.select("cls", "n", "signature").join(shared, "cls"), "cls")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -325,12 +348,14 @@ def pairs_across(lists: DataFrame, comps: DataFrame, texts: DataFrame, percent:
 
     by = ["list", "one", "two"]
     dealt = side_by_side(rows.select(*by, "chunk", "cls", "comp", "n", "signature", "lists"), *by)
-    return dealt.mapInArrow(work, "a bigint, b bigint").distinct()
+    found = pairs_of_few(open_.where(F.col("size") <= few).select("list", "cls", "comp"), texts, percent)
+    return found.unionByName(dealt.mapInArrow(work, "a bigint, b bigint")).distinct()
 
 
 def verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
     """The pairs whose sets are alike. Pairs stay where the second join has dealt them; a class with many pairs is split
-    there as other skewed keys are, and a text is taken apart once for a slice of pairs."""
+    there as other skewed keys are, and a text is taken apart once for a slice of pairs. Only texts of classes that are in
+    a pair are joined."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
@@ -344,7 +369,9 @@ def verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> Da
                 alike = pa.array([linked(one, other, percent) for one, other in zip(*sets)], pa.bool_())
                 yield part.select(["a", "b"]).filter(alike)
 
-    z = texts.select("cls", "z")
+    pairs = cut(pairs)
+    named = cut(pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct())
+    z = texts.select("cls", "z").join(named, "cls", "left_semi")
     joined = pairs.join(z.withColumnsRenamed({"cls": "b", "z": "z_b"}), "b").join(z.withColumnsRenamed({"cls": "a", "z": "z_a"}), "a")
     return joined.select("a", "b", "z_a", "z_b").mapInArrow(work, "a bigint, b bigint")
 
@@ -361,8 +388,8 @@ def jaccard_components(
     total = filled.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] * (100 - percent) // 100
     slots = max(1, int(total // SLOT_ELEMENTS))
     lists = prefix_lists(docs, key, text, width, percent, common_elements(counted), slots)
-    texts = class_texts(docs, key, text, width, filled, lists)
-    edges = connect_in_lists(lists, texts, width, percent, block)
+    texts = class_texts(docs, key, text, width, filled, largest_lists(lists))
+    edges = connect_in_lists(texts, width, percent, block)
     comps = components(edges, "cls", "root")
     more = cut(verified(pairs_across(lists, comps, texts, percent, block), texts, width, percent))
     if not more.isEmpty():

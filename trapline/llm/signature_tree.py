@@ -127,6 +127,26 @@ def candidates(
     return tuple(np.concatenate(x) if found else np.zeros(0, dtype=np.int64) for x in zip(*found))  # type: ignore[return-value]
 
 
+def possible_pairs(one: list[bytes], two: list[bytes], n_one: np.ndarray, n_two: np.ndarray, percent: int) -> np.ndarray:
+    """Which pairs of sets, given by the bytes of their signatures and their sizes, can be linked."""
+    keep = np.zeros(len(one), dtype=bool)
+    words = np.array([(len(a) // 8, len(b) // 8) for a, b in zip(one, two)], dtype=np.int64).reshape(-1, 2)
+    for pair in np.unique(words, axis=0):
+        own = np.flatnonzero((words == pair).all(axis=1))
+        step = max(1, SLICE_BYTES // (8 * int(pair.max())))
+        for s in range(0, len(own), step):
+            at = own[s : s + step]
+            a, b = (
+                fold(np.frombuffer(b"".join([side[k] for k in at.tolist()]), dtype=np.uint64).reshape(len(at), w), int(pair.min()))
+                for side, w in ((one, pair[0]), (two, pair[1]))
+            )
+            n, m = n_one[at], n_two[at]
+            excess = [size - np.bitwise_count(bits).sum(axis=1).astype(np.int64) for size, bits in ((n, a), (m, b))]
+            shared = np.bitwise_count(a & b).sum(axis=1).astype(np.int64) + np.minimum(*excess)
+            keep[at] = np.minimum(shared, np.minimum(n, m)) * (100 + percent) >= percent * (n + m)
+    return keep
+
+
 class Links:
     """Union-find over the members of a block."""
 
