@@ -128,3 +128,16 @@ def test_empty_table_and_equal_ids(spark):
     rows = spark.createDataFrame([(1, "a b"), (1, "a b"), (None, "a")], "doc_id long, text string")
     found = sorted((r.doc_id is None, r.n_links, r.n_best, r.count_sum) for r in ta.align_tokens(rows).collect())
     assert found == [(False, 2, 2, 5), (False, 2, 2, 5), (True, 1, 1, 3)]
+
+
+def test_words_of_a_task_are_remembered(monkeypatch):
+    """A task meets some 600,000 words, most of them again and again: 300,000 are each aligned once."""
+    known = ta.Aligner(vocabulary_path(ta.FIRST_VOCABULARY), vocabulary_path(ta.SECOND_VOCABULARY))
+    aligned = []
+    monkeypatch.setattr(known, "a", type("A", (), {"encode_batch": lambda self, text, **_: text})())
+    monkeypatch.setattr(known, "b", type("B", (), {"encode": lambda self, text, **_: text})())
+    monkeypatch.setattr(known, "align", lambda words, *_: aligned.extend(words) or [None] * len(words))
+    for _ in range(2):
+        for at in range(0, 300_000, 50_000):
+            known.look_up({b"w%d" % k for k in range(at, at + 50_000)})
+    assert len(aligned) == 300_000
