@@ -68,6 +68,24 @@ def test_lists_hold_the_burst_without_the_crop(spark):
     assert {(r.relation, r.img_path) for r in members} == {("same", "p1"), ("same", "p2"), ("next", "p3")}
 
 
+def test_counts_come_with_the_neighbours(spark):
+    """Sizes by counts that images carry equal those looked up by links, which then takes no join."""
+    placed = [("a", "x", 0, "p1"), ("a", "x", 0, "p2"), ("a", "x", 0, "p2"), ("b", "x", 0, "p3"), ("c", "x", 3, "p4"), ("c", "y", 9, "p5"),
+              ("d", "x", 5, "p6"), ("e", "y", 12, "p7"), ("f", None, 1, "p8"), ("g", "x", None, "p9"), (None, "x", 4, "q1"), ("h", "x", 8, None)]
+    rows = spark.createDataFrame([(i, loc, START + timedelta(seconds=s) if s is not None else None, p, p) for i, loc, s, p in placed],
+                                 f"{IMAGE}, img_name string, img_path string")
+    counts = bursts.boxes_per_image(rows)
+    near = bursts.burst_neighbours(bursts.counted_images(rows, counts))
+    columns = ["img_id", "prev_img", "next_img", "boxes_per_img_id", "n_prev", "n_next", "burst_size"]
+    found = bursts.with_burst_sizes(near, counts).select(columns)
+    looked_up = bursts.with_burst_sizes(bursts.burst_neighbours(bursts.burst_images(rows)), counts).select(columns)
+    sizes = {r.img_id: r.burst_size for r in found.collect()}
+    # c has crops at two times: at x it follows a, at y it precedes e.
+    assert sizes["a"] == 1 + 2 and sizes["b"] == 2 and sizes["c"] == 1 + 2 + 1 and sizes["e"] == 2 and sizes["f"] == sizes["g"] == 0
+    assert sorted(map(str, found.collect())) == sorted(map(str, looked_up.collect()))
+    assert "Join" not in bursts.with_burst_sizes(spark.createDataFrame(near.limit(0).collect(), near.schema), counts)._jdf.queryExecution().optimizedPlan().toString()
+
+
 def one(spark, column):
     return spark.range(1).select(column.alias("v")).first().v
 

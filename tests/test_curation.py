@@ -55,6 +55,16 @@ def test_malformed_boxes_are_set_apart(spark, images):
     assert {r.id for r in curation.curated(rows).collect()} == {"a"}
 
 
+def test_malformed_boxes_are_found_without_a_lambda(spark):
+    """A lambda keeps the filter around it, and all it computes, out of the generated code."""
+    nan, inf = float("nan"), float("inf")
+    boxes_of = [[1, 2, 3, 4], [1, nan, 3, 4], [1, None, 3, 4], [nan, None, 3, 4], [1], [], [1, 2, 3, 4, 5], [inf, -0.0, 3, 4], [None] * 4, None]
+    rows = spark.createDataFrame([(str(i), b and [v if v is None else float(v) for v in b]) for i, b in enumerate(boxes_of)], "id string, bbox array<double>")
+    bad = curation.malformed_boxes(rows)
+    assert {r.id for r in bad.collect()} == {"1", "2", "3", "4", "5", "6", "8"}
+    assert "lambda" not in bad._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_report_counts_images_and_annotations(spark, images):
     rows = annotations(
         spark, [("a", "i1", 1, [0.0, 0, 90, 90], None), ("b", "i1", 1, None, None), ("c", "i2", 1, [0.0, 0, 2, 2], None),

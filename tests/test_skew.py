@@ -51,6 +51,18 @@ def test_ranges_cut_a_crowded_image(spark, monkeypatch):
     assert tuple(found) == (0, N - 1, N)
 
 
+@pytest.mark.parametrize("counters", [1, 7, 1 << 16])
+def test_crowded_groups_behind_counters(spark, monkeypatch, counters):
+    """Groups that share a full counter are still counted one by one."""
+    monkeypatch.setattr(ordinals, "PLAIN_ROWS", 100)
+    monkeypatch.setattr(ordinals, "COUNTERS", counters)
+    group = F.when(F.col("id") < 101, "a").when(F.col("id") < 300, "b").when(F.col("id") < 400, "c").otherwise(F.concat(F.lit("g"), F.col("id") % 40))
+    rows = spark.range(1000).select(group.alias("g"), (F.col("id") % 2).alias("k"), "id")
+    assert {r.g for r in ordinals.crowded_groups(rows, ["g"]).collect()} == {"a", "b"}
+    assert ordinals.crowded_groups(rows, ["g", "k"]) is None
+    assert ordinals.crowded_groups(rows.limit(0), ["g"]) is None
+
+
 def test_no_window_sees_a_crowded_group(crops, monkeypatch):
     monkeypatch.setattr(ordinals, "PLAIN_ROWS", 100)
     hashed = crops.withColumns({"_h": digest(F.col("img_path")), "n": F.lit(N // 3)})

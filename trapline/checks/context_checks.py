@@ -19,7 +19,9 @@ def neighbours(spark, d, gap):
 
 
 def sizes(spark, d, gap):
-    return bursts.with_burst_sizes(neighbours(spark, d, gap), bursts.boxes_per_image(fx.crops(spark, d)))
+    counts = bursts.boxes_per_image(fx.crops(spark, d))
+    images = bursts.counted_images(fx.crops(spark, d), counts)
+    return bursts.with_burst_sizes(bursts.burst_neighbours(images, gap), counts)
 
 
 def stored_sizes(spark, d):

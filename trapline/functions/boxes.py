@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -22,7 +24,9 @@ def box_area(bbox: Column) -> Column:
 
 def is_malformed(bbox: Column) -> Column:
     """A box that is present but is not four numbers."""
-    return bbox.isNotNull() & ((F.size(bbox) != 4) | F.exists(bbox, lambda v: v.isNull() | F.isnan(v)))
+    # Null for a box with a null in it. A lambda would be interpreted row by row, and the filter around it with it.
+    not_a_number = F.array_contains(bbox, F.lit(math.nan))
+    return bbox.isNotNull() & ((F.size(bbox) != 4) | F.coalesce(not_a_number, F.lit(True)))
 
 
 def truncated(bbox: Column) -> dict[str, Column]:

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from trapline.functions.capture_time import epoch_micros
+from trapline.session import cut
 
 GAP_SECONDS = 5.0
 BLOCK_SECONDS = 3600
@@ -33,15 +34,20 @@ def burst_neighbours(images: DataFrame, gap_seconds: float = GAP_SECONDS) -> Dat
     The nearest strictly earlier image sits at the previous distinct capture time of its location, so
     no pairs are formed: images shrink to one row per (location, time) holding the smallest id, and a
     window looks one row back and one ahead. Time is cut into blocks, with the rows near a block's
-    edge copied into the block next to it, so a busy location is spread over many tasks.
+    edge copied into the block next to it, so a busy location is spread over many tasks. What was found
+    per (location, time) is written out: where many images share a time it is small enough to be broadcast.
+
+    Images that carry `boxes_per_img_id` (`attach_box_count`) also get that of both neighbours, `n_prev` and `n_next`.
     """
+    counted = "boxes_per_img_id" in images.columns
+    first = F.struct("img_id", *["boxes_per_img_id"] * counted)
     gap = round(gap_seconds * 1_000_000)
     block = max(BLOCK_SECONDS * 1_000_000, 4 * gap)
     placed = F.col("location").isNotNull() & F.col("datetime").isNotNull()
     moments = (
         images.where(placed)
         .groupBy("location", "datetime")
-        .agg(F.min("img_id").alias("first_img"))
+        .agg(F.min(F.when(F.col("img_id").isNotNull(), first)).alias("first"))
         .withColumn("t", epoch_micros(F.col("datetime")))
     )
     block_of = lambda t: F.floor(t / F.lit(block))
@@ -51,22 +57,20 @@ def burst_neighbours(images: DataFrame, gap_seconds: float = GAP_SECONDS) -> Dat
     def near(step, name: str):
         diff = F.abs(step("t").over(by_time) - F.col("t"))
         ok = diff <= F.lit(gap)
-        return {
-            f"{name}_img": F.when(ok, step("first_img").over(by_time)),
-            f"{name}_gap": F.when(ok, diff / F.lit(1_000_000)),
-        }
+        found = F.when(ok, step("first").over(by_time))
+        count = {f"n_{name}": found["boxes_per_img_id"]} if counted else {}
+        return {f"{name}_img": found["img_id"], f"{name}_gap": F.when(ok, diff / F.lit(1_000_000)), **count}
 
-    linked = (
+    columns = ["prev_img", "next_img", "prev_gap", "next_gap", *["boxes_per_img_id", "n_prev", "n_next"] * counted]
+    linked = cut(
         moments.withColumn("block", F.explode(F.array_distinct(F.transform(shifts, lambda s: block_of(F.col("t") + s)))))
         .withColumns({**near(F.lag, "prev"), **near(F.lead, "next")})
         .where(F.col("block") == block_of(F.col("t")))
-        .select("location", "datetime", "prev_img", "next_img", "prev_gap", "next_gap")
+        .select("location", "datetime", *[c for c in columns if c != "boxes_per_img_id"])
     )
     found = images.where(placed).join(linked, ["location", "datetime"])
     unplaced = images.where(~placed)  # kept out of the join: null keys would all meet in one task
-    return found.unionByName(unplaced, allowMissingColumns=True).select(
-        "img_id", "location", "datetime", "prev_img", "next_img", "prev_gap", "next_gap"
-    )
+    return found.unionByName(unplaced, allowMissingColumns=True).select("img_id", "location", "datetime", *columns)
 
 
 def boxes_per_image(crops: DataFrame) -> DataFrame:
@@ -81,7 +85,12 @@ def burst_links(neighbours: DataFrame) -> DataFrame:
 
 
 def with_burst_sizes(neighbours: DataFrame, counts: DataFrame) -> DataFrame:
-    """Crop counts of the image itself and of both neighbours, at image grain: no list is built."""
+    """Crop counts of the image itself and of both neighbours, at image grain: no list is built.
+
+    Neighbours that come with their counts (see `burst_neighbours`) are not looked up in `counts` again.
+    """
+    if {"boxes_per_img_id", "n_prev", "n_next"} <= set(neighbours.columns):
+        return _sizes_of_counted(neighbours)
     sized = burst_links(neighbours).join(
         counts.select(F.col("img_id").alias("member_img"), F.col("boxes_per_img_id").alias("n")), "member_img"
     )
@@ -101,6 +110,26 @@ def with_burst_sizes(neighbours: DataFrame, counts: DataFrame) -> DataFrame:
     )
 
 
+def _sizes_of_counted(neighbours: DataFrame) -> DataFrame:
+    known = {f"{side}_img": F.when(F.col(f"n_{side}").isNotNull(), F.col(f"{side}_img")) for side in ("prev", "next")}
+    return (
+        neighbours.where(F.coalesce("boxes_per_img_id", "n_prev", "n_next").isNotNull())
+        .groupBy("img_id")
+        .agg(
+            *[F.max(image).alias(name) for name, image in known.items()],
+            F.max("boxes_per_img_id").alias("boxes_per_img_id"),
+            F.coalesce(F.max("n_prev"), F.lit(0)).alias("n_prev"),
+            F.coalesce(F.max("n_next"), F.lit(0)).alias("n_next"),
+        )
+        .withColumn("burst_size", F.col("boxes_per_img_id") - 1 + F.col("n_prev") + F.col("n_next"))
+    )
+
+
+def counted_images(crops: DataFrame, counts: DataFrame) -> DataFrame:
+    """`burst_images` with the number of crops of each; written out, as the neighbour search reads it several times."""
+    return cut(attach_box_count(burst_images(crops), counts))
+
+
 def burst_members(neighbours: DataFrame, crops: DataFrame) -> DataFrame:
     """The whole burst of every image as rows (img_id, relation, img_path), whatever its size.
 

@@ -141,13 +141,15 @@ def crop_manifest(
     Carries the annotation, image and category ids, so later steps need not parse names or match boxes, and all that
     later steps want from image and category, so they need not be joined again.
     """
-    kept = curated(annotations, threshold).select("id", "image_id", "category_id", "bbox")
+    sides = [f"_box_{i}" for i in range(4)]  # moved as numbers, which are narrower than an array
+    box = [F.col("bbox")[i].alias(name) for i, name in enumerate(sides)]
+    kept = curated(annotations, threshold).select("id", "image_id", "category_id", *box)
     numbered = crop_ordinal(kept)
     also = [c for c in ("file_name", "location", "datetime") if c in images.columns]
     frames = images.select(F.col("id").alias("image_id"), "img_set", "img_width", "img_height", *also)
     crops = category_lookup(numbered.join(frames, "image_id"), categories)
     name = names.crop_name(F.col("image_id"), F.col("num_box"), F.col("species"))
-    placed = crops.withColumn("img_name", name).withColumns(boxes.truncated(F.col("bbox")))
+    placed = crops.withColumn("img_name", name).withColumns(boxes.truncated(F.array(*sides)))
     return placed.select(
         F.col("id").alias("ann_id"), F.col("image_id").alias("img_id"), "category_id", "num_box", "img_name",
         "x1", "x2", "y1", "y2", "width", "height",

@@ -29,10 +29,11 @@ def context_table(
     """`crops` has a `species`; see `crops_with_images`.
 
     A crop whose burst is longer than one list part has a row per part; `list_part = 0` gives every crop once.
-    The crops and the bursts (one narrow row per image) feed several branches, so both are written out once.
+    The crops, their images and the bursts (narrow rows, one per image) feed several branches, so they are written out once.
     """
     crops = cut(crops)
-    neighbours = bursts.burst_neighbours(bursts.burst_images(crops), gap_seconds)
-    sizes = cut(bursts.with_burst_sizes(neighbours, bursts.boxes_per_image(crops)))
+    counts = bursts.boxes_per_image(crops)
+    neighbours = bursts.burst_neighbours(bursts.counted_images(crops, counts), gap_seconds)
+    sizes = cut(bursts.with_burst_sizes(neighbours, counts))
     flagged = sampling.stratified_sample(crops, rates, seed, train_sets)
     return bursts.attach_burst(flagged, sizes, bursts.burst_lists(sizes, crops))
