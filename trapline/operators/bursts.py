@@ -34,8 +34,7 @@ def burst_neighbours(images: DataFrame, gap_seconds: float = GAP_SECONDS) -> Dat
     The nearest strictly earlier image sits at the previous distinct capture time of its location, so
     no pairs are formed: images shrink to one row per (location, time) holding the smallest id, and a
     window looks one row back and one ahead. Time is cut into blocks, with the rows near a block's
-    edge copied into the block next to it, so a busy location is spread over many tasks. What was found
-    per (location, time) is written out: where many images share a time it is small enough to be broadcast.
+    edge copied into the block next to it, so a busy location is spread over many tasks.
 
     Images that carry `boxes_per_img_id` (`attach_box_count`) also get that of both neighbours, `n_prev` and `n_next`.
     """
@@ -62,7 +61,7 @@ def burst_neighbours(images: DataFrame, gap_seconds: float = GAP_SECONDS) -> Dat
         return {f"{name}_img": found["img_id"], f"{name}_gap": F.when(ok, diff / F.lit(1_000_000)), **count}
 
     columns = ["prev_img", "next_img", "prev_gap", "next_gap", *["boxes_per_img_id", "n_prev", "n_next"] * counted]
-    linked = cut(
+    linked = (
         moments.withColumn("block", F.explode(F.array_distinct(F.transform(shifts, lambda s: block_of(F.col("t") + s)))))
         .withColumns({**near(F.lag, "prev"), **near(F.lead, "next")})
         .where(F.col("block") == block_of(F.col("t")))
