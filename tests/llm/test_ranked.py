@@ -7,6 +7,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from trapline.llm import ranked_search
 
@@ -125,3 +126,22 @@ def test_a_threshold_spares_blocks():
     again, same = own.search(places, weights, int(score.min()), 10)
     assert own.blocks_read < 0.6 * read and set(zip(again, same)) == set(zip(doc, score))
     assert (own.scores == 0).all()
+
+
+def test_a_task_holds_few_segments(spark, monkeypatch, tmp_path):
+    """Segments of one file lie in row groups of their own, and a search is sent a few of them at a time."""
+    import pyarrow.parquet as pq
+
+    from trapline import session
+
+    monkeypatch.setitem(session.LARGE_ROWS, "parquet.block.size", "2000")
+    docs, _ = corpus(5)
+    d = spark.createDataFrame(docs, "doc_id long, text string").coalesce(1)
+    index = ranked_search.build_index(d, segment_bytes=8_000)
+    files = [pq.ParquetFile(f.removeprefix("file://")) for f in index.inputFiles()]
+    assert sum(f.num_row_groups for f in files) >= index.count() // 2 > 5
+    before = spark.conf.get(session.BATCH_BYTES)
+    with session.small_batches(spark):
+        held = index.select("terms").withColumn("terms", F.repeat(F.lit("x"), 3 << 20)).mapInArrow(lambda batches: (b.slice(0, 1) for b in batches), "terms string")
+        assert held.count() >= index.count() // 2
+    assert spark.conf.get(session.BATCH_BYTES) == before

@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 
 from trapline.llm.words import Words, chunks
 from trapline.operators.ordinals import with_running_sum
-from trapline.session import cut
+from trapline.session import cut, small_batches
 
 TOP = 50
 BLOCK = 128
@@ -138,7 +138,7 @@ def build_index(docs: DataFrame, key: str = "doc_id", text: str = "text", segmen
                 )
 
     schema = f"n_docs bigint, n_terms bigint, keys array<{kind}>, " + ", ".join(f"{name} binary" for name in ARRAYS)
-    return cut(docs.select(F.col(key), F.col(text)).mapInArrow(work, schema))
+    return cut(docs.select(F.col(key), F.col(text)).mapInArrow(work, schema), large_rows=True)
 
 
 def item_terms(items: DataFrame, key: str, text: str, item_bytes: int) -> DataFrame:
@@ -286,7 +286,8 @@ def _search_block(index: DataFrame, items: DataFrame, corpus: Corpus, item_kind:
     terms, term_of = np.unique(np.concatenate(per_item), return_inverse=True)
     item_at = np.cumsum([0, *[len(t) for t in per_item]])
     share = (2.0 * corpus.docs + 2) / (2 * F.col("df") + 1)
-    weighed = document_counts(index, terms).select("term", F.floor(1000 * F.log(share)).alias("w")).toArrow()
+    with small_batches(spark):
+        weighed = document_counts(index, terms).select("term", F.floor(1000 * F.log(share)).alias("w")).toArrow()
     weight = np.zeros(len(terms), dtype=np.int64)
     weight[np.searchsorted(terms, weighed.column("term").to_numpy().view(np.uint64))] = weighed.column("w").to_numpy()
     shared = spark.sparkContext.broadcast((own.column("row").to_pylist(), own.column("key").to_pylist(), terms, weight, term_of, item_at))
@@ -326,7 +327,8 @@ def _search_block(index: DataFrame, items: DataFrame, corpus: Corpus, item_kind:
                 ["row", "item", "doc", "score"],
             )
 
-    found = cut(index.select("keys", *ARRAYS).mapInArrow(work, f"row bigint, item {item_kind}, doc {key_type}, score bigint"))
+    with small_batches(spark):  # a segment at a time
+        found = cut(index.select("keys", *ARRAYS).mapInArrow(work, f"row bigint, item {item_kind}, doc {key_type}, score bigint"))
     shared.destroy()
     return found
 
