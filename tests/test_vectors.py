@@ -360,3 +360,19 @@ def test_large_problems_begin_on_a_share_of_their_rows(spark, monkeypatch):
         assert a.converged and np.abs(a.weights[:, :-1] - b.weights[:, :-1]).max() < 2e-3
     assert [s["n_train"] for s in same] == [s["n_train"] for s in scores] == [4000, 400]
     train.unpersist()
+
+
+def test_a_task_holds_few_blocks(spark, monkeypatch):
+    """Blocks of one file lie in row groups of a few blocks each, and so do those of a share of the rows."""
+    import pyarrow.parquet as pq
+
+    from trapline import session
+    from trapline.operators import blocked_fit
+
+    monkeypatch.setitem(session.LARGE_ROWS, "parquet.block.size", "20000")
+    monkeypatch.setattr(blocked_fit, "BLOCK_BYTES", 8_000)
+    rows = spark.range(5_000).select(F.array(*[F.col("id") * 1.0 + k for k in range(4)]).alias("x"), F.array(F.lit(0)).alias("y"), F.array(F.lit(1)).alias("fold"))
+    blocks = blocked_fit.packed(rows.coalesce(1), "x", 4, 1, 1)
+    for own in (blocks, blocked_fit.thinned(blocks, 2, 0)):
+        groups = sum(pq.ParquetFile(f.removeprefix("file://")).num_row_groups for f in own.table.inputFiles())
+        assert groups >= own.table.count() // 8 > 0
